@@ -236,14 +236,25 @@ def analyze(df: DataFrame, threshold: float = DEFAULT_THRESHOLD, text: str = "te
     }).drop("all_fields")
 
 
+def unnest(df: DataFrame, column: str | Column, *keys: str) -> DataFrame:
+    """(keys…, _item), one row per array element.
+
+    The outer form plus a filter on its output: a plain ``explode`` makes the optimizer infer a
+    ``size > 0`` filter, which it pushes below the projections that build the array and so has
+    the array built twice.
+    """
+    return df.select(*keys, F.posexplode_outer(column).alias("_pos", "_item")) \
+        .filter(F.col("_pos").isNotNull()).drop("_pos")
+
+
 def long_fields(df: DataFrame, *keys: str, column: str = "fields") -> DataFrame:
     """(keys…, pos, name, value, value_num, confidence), one row per field."""
-    exploded = df.select(*keys, F.posexplode(column).alias("pos", "f"))
+    exploded = df.select(*keys, F.posexplode_outer(column).alias("pos", "f")) \
+        .filter(F.col("pos").isNotNull())
     return exploded.select(*keys, "pos", "f.name", "f.value", "f.value_num", "f.confidence")
 
 
 def long_table_cells(df: DataFrame, *keys: str, column: str = "tables") -> DataFrame:
     """(keys…, row_no, header, cell), one row per table cell."""
-    rows = df.select(*keys, F.explode(column).alias("t")) \
-        .select(*keys, F.posexplode("t.rows").alias("row_no", "r"))
+    rows = unnest(df, column, *keys).select(*keys, F.posexplode("_item.rows").alias("row_no", "r"))
     return rows.select(*keys, "row_no", F.explode("r").alias("header", "cell"))

@@ -1,0 +1,30 @@
+"""Joins of a large side with a side that is small as a rule, not by proof."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, functions as F
+
+BROADCAST_ROWS = 100_000
+
+
+def fits(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> bool:
+    """Counts at most ``max_rows + 1`` rows."""
+    return df.limit(max_rows + 1).count() <= max_rows
+
+
+def join_small(large: DataFrame, small: DataFrame, on: str | list[str], how: str = "inner",
+               max_rows: int = BROADCAST_ROWS, salt: int = 64) -> DataFrame:
+    """Equi-join that never moves ``large`` when ``small`` is within the row bound.
+
+    Beyond the bound, rows of one key are spread over ``salt`` sub-keys and the small side is
+    repeated once per sub-key, so a hot key is shared by ``salt`` tasks.
+    ``how``: inner, left, left_semi, left_anti.
+    """
+    on = [on] if isinstance(on, str) else on
+    if fits(small, max_rows):
+        return large.join(F.broadcast(small), on, how)
+    spread = small.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salt - 1))))
+    # A hash of the row's own values: the same on every retry.
+    values = [name for name, kind in large.dtypes if "map<" not in kind and kind != "variant"]
+    return large.withColumn("_salt", F.pmod(F.xxhash64(*values), F.lit(salt)).cast("int")) \
+        .join(spread, [*on, "_salt"], how).drop("_salt")
