@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from papertrail import fixed_values as V
 from papertrail.functions import text as T
+from papertrail.functions.fence import fence
+from papertrail.functions.memo import memoized
 
 FIELD_TYPE = "array<struct<name:string,value:string,value_num:double,confidence:double>>"
 TABLE_TYPE = ("array<struct<headers:array<string>,rows:array<map<string,string>>,"
@@ -153,53 +155,67 @@ def is_nda_text(text: Column) -> Column:
     return test
 
 
+@memoized
+def _final_type(text: str, doc_type: str) -> Column:
+    return F.when(is_nda_text(F.col(text)), F.lit("nda")).otherwise(F.col(doc_type))
+
+
 def override_type(df: DataFrame, text: str = "text", doc_type: str = "document_type") -> DataFrame:
     """The content test for an NDA beats the classified type."""
-    return df.withColumn(doc_type, F.when(is_nda_text(F.col(text)), F.lit("nda"))
-                         .otherwise(F.col(doc_type)))
+    return df.withColumn(doc_type, _final_type(text, doc_type))
 
 
-def extract_fields(df: DataFrame, text: str = "text", doc_type: str = "document_type",
-                   output: str = "all_fields", override: bool = True) -> DataFrame:
-    """Adds ``output``: the document's fields in order of emission, by final type.
-
-    Shared matches are taken once per row and only for the types that read them; all
-    types are served in this one pass.
-    """
-    df = override_type(df, text, doc_type) if override else df
+@memoized
+def _shared_matches(text: str, doc_type: str) -> dict[str, Column]:
+    """Matches that several fields read, taken once per row and only for the types that need them."""
     t, kind = F.col(text), F.col(doc_type)
     generic = ~kind.isin("invoice", "receipt", "contract", "form", "nda")
+    contacts = kind.isin("form", "nda") | generic
     nothing = F.array().cast("array<string>")
-    matched = df.withColumns({
+    return {
         "_dates": F.when(kind.isin("invoice", "receipt") | generic,
                          T.find_all(t, V.PATTERNS["date"])),
         "_amounts": F.when((kind == "invoice") | generic, F.transform(
             T.find_all(t, V.PATTERNS["amount"]), T.parse_amount)),
-        "_emails": F.when(kind.isin("form", "nda") | generic, F.when(
-            F.contains(t, F.lit("@")), T.find_all(t, V.PATTERNS["email"])).otherwise(nothing)),
-        "_phones": F.when(kind.isin("form", "nda") | generic,
-                          T.find_all(t, V.PATTERNS["phone"])),
+        "_emails": F.when(contacts, F.when(F.contains(t, F.lit("@")), T.find_all(
+            t, V.PATTERNS["email"])).otherwise(nothing)),
+        "_phones": F.when(contacts, T.find_all(t, V.PATTERNS["phone"])),
         "_giver": F.when(kind == "nda", T.search(t, V.NDA_PARTIES_PATTERN, 1, dotall=True)),
         "_taker": F.when(kind == "nda", T.search(t, V.NDA_PARTIES_PATTERN, 2, dotall=True)),
-    })
+    }
+
+
+@memoized
+def _fields(text: str, doc_type: str) -> Column:
+    t, kind = F.col(text), F.col(doc_type)
     dates, amounts, emails, phones, giver, taker = (
         F.col(c) for c in ("_dates", "_amounts", "_emails", "_phones", "_giver", "_taker"))
-    fields = F.when(kind == "nda", nda_fields(t, giver, taker, emails, phones)) \
+    return F.when(kind == "nda", nda_fields(t, giver, taker, emails, phones)) \
         .when(kind == "invoice", invoice_fields(t, dates, amounts)) \
         .when(kind == "receipt", receipt_fields(t, dates)) \
         .when(kind == "contract", contract_fields(t)) \
         .when(kind == "form", form_fields(t, emails, phones)) \
-        .otherwise(generic_fields(dates, amounts, emails, phones))
-    return matched.withColumn(output, fields.cast(FIELD_TYPE)) \
-        .drop("_dates", "_amounts", "_emails", "_phones", "_giver", "_taker")
+        .otherwise(generic_fields(dates, amounts, emails, phones)).cast(FIELD_TYPE)
 
 
-def extract_tables(df: DataFrame, text: str = "text", output: str = "tables") -> DataFrame:
-    """Adds ``output``: at most one table, from every line with a tab, two spaces or a pipe."""
+def extract_fields(df: DataFrame, text: str = "text", doc_type: str = "document_type",
+                   output: str = "all_fields", override: bool = True) -> DataFrame:
+    """Adds ``output``: the document's fields in order of emission, by final type.
+
+    All types are served in this one pass over the text.
+    """
+    df = override_type(df, text, doc_type) if override else df
+    shared = _shared_matches(text, doc_type)
+    return df.withColumns(shared).withColumn(output, _fields(text, doc_type)).drop(*shared)
+
+
+@memoized
+def _table_steps(text: str, output: str) -> list[dict[str, Column]]:
     t = F.col(text)
-    marked = F.contains(t, F.lit("\t")) | F.contains(t, F.lit("  ")) | F.contains(t, F.lit("|"))
-    lines = F.filter(F.split(t, "\n"), lambda x: F.contains(x, F.lit("\t"))
-                     | F.contains(x, F.lit("  ")) | F.contains(x, F.lit("|")))
+
+    def marked(x: Column) -> Column:
+        return F.contains(x, F.lit("\t")) | F.contains(x, F.lit("  ")) | F.contains(x, F.lit("|"))
+
     cells = F.transform(F.col("_lines"), lambda x: F.filter(
         F.transform(F.split(x, T.java_regex(V.CELL_SEPARATOR)), T.strip), lambda c: c != ""))
     header = F.get("_cells", F.lit(0))
@@ -208,16 +224,37 @@ def extract_tables(df: DataFrame, text: str = "text", output: str = "tables") ->
     # A repeated header keeps its first place and takes the last cell.
     keys = F.array_distinct(header)
     last = F.transform(keys, lambda k: F.size(header) - F.array_position(F.reverse(header), k))
-    return df.withColumn("_lines", F.when(marked, lines)) \
-        .withColumn("_cells", F.when(F.size("_lines") > 2, cells)) \
-        .withColumns({"_body": F.when(F.size(header) > 1, body), "_keys": keys, "_last": last}) \
-        .withColumn(output, F.when(F.size("_body") > 0, F.array(F.struct(
+    return [
+        {"_lines": F.when(marked(t), F.filter(F.split(t, "\n"), marked))},
+        {"_cells": F.when(F.size("_lines") > 2, cells)},
+        {"_body": F.when(F.size(header) > 1, body), "_keys": keys, "_last": last},
+        {output: F.when(F.size("_body") > 0, F.array(F.struct(
             header.alias("headers"),
             F.transform(F.col("_body"), lambda row: F.map_from_arrays(
                 F.col("_keys"), F.transform(F.col("_last"), lambda p: F.get(row, p.cast("int")))
             )).alias("rows"),
-            F.lit(0.6).alias("confidence")))).otherwise(F.array()).cast(TABLE_TYPE)) \
-        .drop("_lines", "_cells", "_body", "_keys", "_last")
+            F.lit(0.6).alias("confidence")))).otherwise(F.array()).cast(TABLE_TYPE)},
+    ]
+
+
+def extract_tables(df: DataFrame, text: str = "text", output: str = "tables") -> DataFrame:
+    """Adds ``output``: at most one table, from every line with a tab, two spaces or a pipe."""
+    for step in _table_steps(text, output):
+        df = df.withColumns(step)
+    return df.drop("_lines", "_cells", "_body", "_keys", "_last")
+
+
+@memoized
+def _metrics(threshold: float) -> list[dict[str, Column]]:
+    total = F.aggregate("fields", F.lit(0.0), lambda acc, f: acc + f["confidence"])
+    return [
+        {"fields": F.filter("all_fields", lambda f: f["confidence"] >= threshold)},
+        {"total_fields_extracted": F.size("all_fields"),
+         "fields_above_threshold": F.size("fields"),
+         "has_tables": F.size("tables") > 0,
+         "extraction_confidence": F.when(F.size("fields") > 0, total / F.size("fields"))
+         .otherwise(F.lit(0.0))},
+    ]
 
 
 def analyze(df: DataFrame, threshold: float = DEFAULT_THRESHOLD, text: str = "text",
@@ -225,15 +262,10 @@ def analyze(df: DataFrame, threshold: float = DEFAULT_THRESHOLD, text: str = "te
     """Adds fields (at or above the threshold), tables and the analysis metrics; drops the text."""
     df = extract_tables(extract_fields(df, text, doc_type), text)
     df = df if keep_text else df.drop(text)
-    kept = F.filter("all_fields", lambda f: f["confidence"] >= threshold)
-    total = F.aggregate("fields", F.lit(0.0), lambda acc, f: acc + f["confidence"])
-    return df.withColumn("fields", kept).withColumns({
-        "total_fields_extracted": F.size("all_fields"),
-        "fields_above_threshold": F.size("fields"),
-        "has_tables": F.size("tables") > 0,
-        "extraction_confidence": F.when(F.size("fields") > 0, total / F.size("fields"))
-        .otherwise(F.lit(0.0)),
-    }).drop("all_fields")
+    df = fence(df, "all_fields", "tables")
+    for step in _metrics(threshold):
+        df = df.withColumns(step)
+    return df.drop("all_fields")
 
 
 def unnest(df: DataFrame, column: str | Column, *keys: str) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from papertrail import fixed_values as V
 from papertrail.functions import text as T
+from papertrail.functions.memo import memoized
 from papertrail.operators.extract import unnest
 
 PAIR = "struct<value:string,value_num:double>"
@@ -25,12 +26,19 @@ def last_wins(fields: Column) -> Column:
     return F.when(F.size(F.array_distinct(names)) < F.size(fields), unique).otherwise(fields)
 
 
-def partition_fields(df: DataFrame, fields: str = "fields") -> DataFrame:
-    """Adds ``record_fields`` / ``record_metadata``: identifiers go to the metadata part."""
-    return df.withColumn("_unique", last_wins(F.col(fields))).withColumns({
+@memoized
+def _partition_steps(fields: str) -> list[dict[str, Column]]:
+    return [{"_unique": last_wins(F.col(fields))}, {
         "record_fields": F.filter("_unique", lambda f: ~f["name"].isin(V.METADATA_FIELDS)),
         "record_metadata": F.filter("_unique", lambda f: f["name"].isin(V.METADATA_FIELDS)),
-    }).drop("_unique")
+    }]
+
+
+def partition_fields(df: DataFrame, fields: str = "fields") -> DataFrame:
+    """Adds ``record_fields`` / ``record_metadata``: identifiers go to the metadata part."""
+    for step in _partition_steps(fields):
+        df = df.withColumns(step)
+    return df.drop("_unique")
 
 
 def _as_map(fields: Column) -> Column:
@@ -110,40 +118,50 @@ def required_present(kind: Column, required: dict[str, list[str]] = V.REQUIRED_F
     return result
 
 
-def build_records(df: DataFrame, doc_type: str = "document_type", fields: str = "fields",
-                  tables: str = "tables", templates: list[tuple] | None = None) -> DataFrame:
-    """Adds record_fields, record_metadata, record_tables, flat (dotted leaves), line_items,
-    triggers, completeness and confidence_score."""
+def _freeze(templates: list[tuple] | None) -> tuple | None:
+    """Templates in a hashable form (conditions as JSON text)."""
+    return templates and tuple((k, a, json.dumps(c) if c else None, e) for k, a, c, e in templates)
+
+
+@memoized
+def _record_steps(doc_type: str, fields: str, tables: str, frozen: tuple | None) -> list[dict[str, Column]]:
     kind = F.col(doc_type)
-    df = partition_fields(df, fields).withColumns({
-        "_plain": _as_map(F.col("record_fields")), "_meta": _as_map(F.col("record_metadata"))})
+    templates = [(k, a, json.loads(c) if c else None, e) for k, a, c, e in frozen] if frozen \
+        else V.TRIGGER_TEMPLATES
     leaves = _structured(kind, lambda _, layout: F.array(*[
         F.struct(F.lit(f"{group}.{leaf}").alias("key"), _pick(source)["value"].alias("value"),
                  _pick(source)["value_num"].alias("value_num"))
         for group, members in layout.items() for leaf, source in members]))
     own = F.transform("record_fields", lambda f: F.struct(
         f["name"].alias("key"), f["value"].alias("value"), f["value_num"].alias("value_num")))
-    fired = _triggers(kind, templates or V.TRIGGER_TEMPLATES)
     fallback = F.array(_trigger("webhook", F.concat(F.lit(V.DEFAULT_TRIGGER_ENDPOINT), kind), None, 0))
-    df = df.withColumns({
-        "record_tables": F.transform(tables, lambda t: F.struct(
-            t["headers"].alias("headers"), t["rows"].alias("rows"),
-            F.size(t["rows"]).alias("row_count"), t["confidence"].alias("confidence"))),
-        "flat": F.concat(own, F.coalesce(leaves, F.array().cast(
-            "array<struct<key:string,value:string,value_num:double>>"))),
-        "line_items": F.when(kind.isin(list(V.LINE_ITEM_MEMBER)), F.coalesce(
-            F.get(F.col(tables), F.lit(0))["rows"], F.array().cast("array<map<string,string>>"))),
-        "_fired": fired, "completeness": required_present(kind),
-    })
     scores = F.aggregate(fields, F.lit(0.0), lambda a, f: a + f["confidence"]) \
         + F.aggregate(tables, F.lit(0.0), lambda a, t: a + t["confidence"]) \
         + F.coalesce("completeness", F.lit(0.0))
     count = F.size(fields) + F.size(tables) + F.col("completeness").isNotNull().cast("int")
-    return df.withColumns({
-        "triggers": F.when(F.size(F.coalesce("_fired", F.array())) > 0, F.col("_fired"))
-        .otherwise(fallback),
-        "confidence_score": F.when(count > 0, scores / count).otherwise(F.lit(0.5)),
-    }).drop("_fired", "_plain", "_meta")
+    return [
+        {"_plain": _as_map(F.col("record_fields")), "_meta": _as_map(F.col("record_metadata"))},
+        {"record_tables": F.transform(tables, lambda t: F.struct(
+            t["headers"].alias("headers"), t["rows"].alias("rows"),
+            F.size(t["rows"]).alias("row_count"), t["confidence"].alias("confidence"))),
+         "flat": F.concat(own, F.coalesce(leaves, F.array().cast(
+             "array<struct<key:string,value:string,value_num:double>>"))),
+         "line_items": F.when(kind.isin(list(V.LINE_ITEM_MEMBER)), F.coalesce(
+             F.get(F.col(tables), F.lit(0))["rows"], F.array().cast("array<map<string,string>>"))),
+         "_fired": _triggers(kind, templates), "completeness": required_present(kind)},
+        {"triggers": F.when(F.size("_fired") > 0, F.col("_fired")).otherwise(fallback),
+         "confidence_score": F.when(count > 0, scores / count).otherwise(F.lit(0.5))},
+    ]
+
+
+def build_records(df: DataFrame, doc_type: str = "document_type", fields: str = "fields",
+                  tables: str = "tables", templates: list[tuple] | None = None) -> DataFrame:
+    """Adds record_fields, record_metadata, record_tables, flat (dotted leaves), line_items,
+    triggers, completeness and confidence_score."""
+    df = partition_fields(df, fields)
+    for step in _record_steps(doc_type, fields, tables, _freeze(templates)):
+        df = df.withColumns(step)
+    return df.drop("_fired", "_plain", "_meta")
 
 
 def processing_metadata(df: DataFrame, fields: str = "fields", tables: str = "tables") -> Column:

@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from papertrail import fixed_values as V
 from papertrail.functions import text as T
+from papertrail.functions.fence import fence
+from papertrail.functions.memo import memoized
 from papertrail.operators.joins import join_small
 
 PASSED = "Validation passed"
@@ -46,6 +48,11 @@ def rules_for(kind: Column, rules: list[tuple] | None = None) -> Column:
     return result
 
 
+@memoized
+def _standard_rules(doc_type: str) -> Column:
+    return rules_for(F.col(doc_type))
+
+
 def attach_rules(df: DataFrame, rules: DataFrame, doc_type: str = "document_type") -> DataFrame:
     """Adds ``rules`` from a rule table (document_type, position, field, rule, fmt, min_val,
     max_val, pattern, message, severity)."""
@@ -197,31 +204,12 @@ def quality_check(share: Column, threshold: float = 0.7) -> Column:
         F.lit(None).cast("double"))).cast(CHECK_TYPE)
 
 
-def validate(df: DataFrame, rules: list[tuple] | DataFrame | None = None, strict: bool = True,
-             lenient_score: float = 0.7, document_id: str = "document_id",
-             doc_type: str = "document_type") -> DataFrame:
-    """Adds checks, is_valid, validation_score, total/passed/failed_checks, errors, warnings and
-    suggestions to rows that carry ``flat``."""
+@memoized
+def _check_steps(document_id: str, doc_type: str, strict: bool,
+                 lenient_score: float) -> list[dict[str, Column]]:
     kind, flat = F.col(doc_type), F.col("flat")
-    if isinstance(rules, DataFrame):
-        df = attach_rules(df, rules, doc_type)
-    else:
-        df = df.withColumn("rules", rules_for(kind, rules))
-    always = F.lit(True)
-    present = {"schema_version": always, "document_id": F.col(document_id).isNotNull(),
+    present = {"schema_version": F.lit(True), "document_id": F.col(document_id).isNotNull(),
                "document_type": kind.isNotNull(), "extracted_data": flat.isNotNull()}
-    df = df.withColumns({"_keys": F.transform(flat, lambda x: x["key"]),
-                         "_share": filled_share(flat)}) \
-        .withColumn("_rule_checks", rule_checks(flat, F.col("_keys"), F.col("rules"))) \
-        .withColumn("checks", F.concat(
-            F.col("_rule_checks"), structure_checks(present), cross_field_checks(kind, flat),
-            quality_check(F.col("_share"))))
-    failed = F.filter("checks", lambda c: ~c["passed"])
-    df = df.withColumn("_failed", failed).withColumns({
-        "total_checks": F.size("checks"), "failed_checks": F.size("_failed"),
-        "passed_checks": F.size("checks") - F.size("_failed"),
-        "validation_score": (F.size("checks") - F.size("_failed")) / F.size("checks"),
-    })
     rule_failures = F.filter("_rule_checks", lambda c: ~c["passed"])
 
     def messages(severity: str) -> Column:
@@ -235,12 +223,40 @@ def validate(df: DataFrame, rules: list[tuple] | DataFrame | None = None, strict
         F.when((kind == "invoice") & _first_truthy(flat, "line_items").isNull(),
                F.lit(V.SUGGEST_LINE_ITEMS)),
         F.when((kind == "contract") & _first_truthy(flat, "terms").isNull(), F.lit(V.SUGGEST_TERMS))))
+    score = (F.size("checks") - F.size("_failed")) / F.size("checks")
     valid = ~F.exists("_failed", lambda c: c["severity"] == "error") if strict \
-        else F.col("validation_score") >= lenient_score
-    return df.withColumns({
-        "is_valid": valid, "errors": messages("error"), "warnings": messages("warning"),
-        "suggestions": suggestions,
-    }).drop("_keys", "_share", "_rule_checks", "_failed", "rules")
+        else score >= lenient_score
+    return [
+        {"_keys": F.transform(flat, lambda x: x["key"]), "_share": filled_share(flat)},
+        {"_rule_checks": rule_checks(flat, F.col("_keys"), F.col("rules"))},
+        {"checks": F.concat(F.col("_rule_checks"), structure_checks(present),
+                            cross_field_checks(kind, flat), quality_check(F.col("_share")))},
+        {"_failed": F.filter("checks", lambda c: ~c["passed"])},
+        {"total_checks": F.size("checks"), "failed_checks": F.size("_failed"),
+         "passed_checks": F.size("checks") - F.size("_failed"), "validation_score": score,
+         "is_valid": valid, "errors": messages("error"), "warnings": messages("warning"),
+         "suggestions": suggestions},
+    ]
+
+
+def validate(df: DataFrame, rules: list[tuple] | DataFrame | None = None, strict: bool = True,
+             lenient_score: float = 0.7, document_id: str = "document_id",
+             doc_type: str = "document_type") -> DataFrame:
+    """Adds checks, is_valid, validation_score, total/passed/failed_checks, errors, warnings and
+    suggestions to rows that carry ``flat``.
+
+    ``rules``: a rule list, a rule table, or nothing for the standard catalogue.
+    """
+    if isinstance(rules, DataFrame):
+        df = attach_rules(df, rules, doc_type)
+    elif rules is not None:
+        df = df.withColumn("rules", rules_for(F.col(doc_type), rules))
+    else:
+        df = df.withColumn("rules", _standard_rules(doc_type))
+    steps = _check_steps(document_id, doc_type, strict, lenient_score)
+    for step in steps:
+        df = df.withColumns(step)
+    return fence(df.drop("_keys", "_share", "_rule_checks", "_failed", "rules"), "checks", *steps[-1])
 
 
 def long_checks(df: DataFrame, *keys: str) -> DataFrame:

@@ -5,12 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from papertrail import fixed_values as V
+from papertrail.functions.fence import fence
 from papertrail.operators import extract as X, records as R, validate as G
 from papertrail.plans.fixtures import table, view
 
 
 def rendered(spark: SparkSession, sf: str) -> DataFrame:
-    return view(spark, sf, "rendered").withColumnRenamed("doc_type", "document_type")
+    return fence(view(spark, sf, "rendered"), "text").withColumnRenamed("doc_type", "document_type")
 
 
 def raw_documents(spark: SparkSession, sf: str) -> DataFrame:

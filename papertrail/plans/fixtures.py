@@ -9,6 +9,8 @@ import re
 
 from pyspark.sql import DataFrame, SparkSession
 
+from papertrail.sources.readers import read_table
+
 RENDERED = r"""
 WITH o AS (
  SELECT o_orderkey AS k, c_name AS cn, o_custkey AS ck, n_name AS nn, o_orderdate AS d,
@@ -106,8 +108,13 @@ VIEWS = {
 }
 
 
+# Key to spread a small scan by; large scans are left as they are.
+SPREAD = {"orders": "o_orderkey", "documents": "doc_id", "events": "event_id",
+          "conversations": "conv_id", "pages": "page_id", "lineitem": "l_orderkey"}
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return read_table(spark, f"{sf_dir}/{name}.parquet", SPREAD.get(name))
 
 
 def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
