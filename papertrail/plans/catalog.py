@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from papertrail.plans import document_oracles, document_queries
+from papertrail.plans import (
+    document_oracles, document_queries, operations_oracles, operations_queries)
 
 
 def flagship(spark: SparkSession, sf: str) -> DataFrame:
@@ -16,8 +17,8 @@ def flagship(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {**document_queries.QUERIES}
+    return {**operations_queries.QUERIES, **document_queries.QUERIES}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {**document_oracles.oracles()}
+    return {**operations_oracles.oracles(), **document_oracles.oracles()}
