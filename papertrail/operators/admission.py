@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from papertrail import fixed_values as V
 from papertrail.functions import names as N
+from papertrail.functions.fence import fence
 
 
 def build_manifest(df: DataFrame, content: str = "content", name: str = "original_filename",
@@ -25,24 +26,21 @@ def build_manifest(df: DataFrame, content: str = "content", name: str = "origina
         "status": F.lit("processing")})
 
 
-def reject_reason(name: Column, size: Column, max_bytes: int = V.MAX_UPLOAD_BYTES,
-                  extensions: list[str] | None = None) -> Column:
-    """First failing check, NULL when admitted."""
-    checked = N.check_name(name)
-    ending = F.lower(N.suffix(checked["sanitized"]))
-    return F.when(name.isNull() | (name == ""), "name_missing") \
-        .when(~checked["ok"], "unsafe_name") \
-        .when(~ending.isin(extensions or V.ALLOWED_EXTENSIONS), "extension_not_allowed") \
-        .when(size > max_bytes, "too_large") \
-        .when(size == 0, "empty_file")
-
-
 def admit(df: DataFrame, name: str = "original_filename", size: str = "file_size",
           max_bytes: int = V.MAX_UPLOAD_BYTES, extensions: list[str] | None = None) -> DataFrame:
-    """Adds reject_reason and status_code (202 admitted, 400, or 413 for size)."""
-    return df.withColumn("reject_reason", reject_reason(F.col(name), F.col(size), max_bytes, extensions)) \
-        .withColumn("status_code", F.when(F.col("reject_reason").isNull(), 202)
-                    .when(F.col("reject_reason") == "too_large", 413).otherwise(400))
+    """Adds reject_reason (the first failing check, NULL when admitted) and status_code
+    (202 admitted, 400, or 413 for size)."""
+    given = F.col(name)
+    ending = F.lower(N.suffix(F.replace(given, F.lit("/"), F.lit("_"))))
+    reason = F.when(given.isNull() | (given == ""), "name_missing") \
+        .when(F.col("_class") != N.OK, "unsafe_name") \
+        .when(~ending.isin(extensions or V.ALLOWED_EXTENSIONS), "extension_not_allowed") \
+        .when(F.col(size) > max_bytes, "too_large") \
+        .when(F.col(size) == 0, "empty_file")
+    judged = df.withColumn("_class", N.name_class(given)).withColumn("reject_reason", reason)
+    return fence(judged.drop("_class"), "reject_reason").withColumn(
+        "status_code", F.when(F.col("reject_reason").isNull(), 202)
+        .when(F.col("reject_reason") == "too_large", 413).otherwise(400))
 
 
 def admitted(df: DataFrame) -> DataFrame:

@@ -9,9 +9,8 @@ from papertrail.functions import names as N
 from papertrail.operators.admission import resolve_mime
 
 
-def type_by_name(name: Column, keywords: list[tuple[str, list[str]]] | None = None) -> Column:
+def type_by_name(lowered: Column, keywords: list[tuple[str, list[str]]] | None = None) -> Column:
     """First keyword list with a word contained in the lower-cased name."""
-    lowered = F.lower(name)
     result = F.when(F.lit(False), F.lit(None).cast("string"))
     for doc_type, words in keywords or V.NAME_KEYWORDS:
         test = F.lit(False)
@@ -30,19 +29,21 @@ def type_confidence(doc_type: Column, mime: Column) -> Column:
 
 def classify(df: DataFrame, name: str = "original_filename", size: str = "file_size",
              declared: str = "content_type", content: str | None = None,
-             rejected: Column | None = None) -> DataFrame:
+             rejected: Column | None = None,
+             keywords: list[tuple[str, list[str]]] | None = None) -> DataFrame:
     """Adds document_type, confidence, mime_type, file_extension, is_supported and metadata.
 
     Rows for which ``rejected`` holds get the safe default.
     """
     bad = F.lit(False) if rejected is None else rejected
-    safe = N.check_name(F.col(name))["sanitized"]
-    head = F.col(content).cast("binary") if content else None
+    safe, head = F.col("_safe"), F.col(content).cast("binary") if content else None
+    df = df.withColumn("_safe", N.check_name(F.col(name))["sanitized"]).withColumn(
+        "_lower", F.lower("_safe"))
     df = df.withColumn("mime_type", F.when(bad, V.DEFAULT_MIME).otherwise(
         resolve_mime(F.col(declared), head, safe)))
     df = df.withColumns({
-        "document_type": F.when(bad, V.DEFAULT_TYPE).otherwise(type_by_name(safe)),
-        "file_extension": F.when(bad, ".unknown").otherwise(F.lower(N.suffix(safe))),
+        "document_type": F.when(bad, V.DEFAULT_TYPE).otherwise(type_by_name(F.col("_lower"), keywords)),
+        "file_extension": F.when(bad, ".unknown").otherwise(N.suffix(F.col("_lower"))),
         "is_supported": ~bad & F.col("mime_type").isin(V.SUPPORTED_MIME_TYPES),
     })
     return df.withColumns({
@@ -53,7 +54,7 @@ def classify(df: DataFrame, name: str = "original_filename", size: str = "file_s
             F.coalesce(F.col(size), F.lit(0)).alias("file_size"),
             F.col("file_extension"), F.col("mime_type").alias("detected_mime"),
             F.when(bad, "File validation failed").alias("error")),
-    })
+    }).drop("_safe", "_lower")
 
 
 def type_mix(df: DataFrame) -> DataFrame:

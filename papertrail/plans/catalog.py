@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from papertrail.plans import (
-    document_oracles, document_queries, operations_oracles, operations_queries)
+    document_oracles, document_queries, operations_oracles, operations_queries, streaming_oracles,
+    streaming_queries)
 
 
 def flagship(spark: SparkSession, sf: str) -> DataFrame:
@@ -17,8 +18,8 @@ def flagship(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {**operations_queries.QUERIES, **document_queries.QUERIES}
+    return {**operations_queries.QUERIES, **document_queries.QUERIES, **streaming_queries.QUERIES}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {**operations_oracles.oracles(), **document_oracles.oracles()}
+    return {**operations_oracles.oracles(), **document_oracles.oracles(), **streaming_oracles.oracles()}

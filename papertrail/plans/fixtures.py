@@ -117,7 +117,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return read_table(spark, f"{sf_dir}/{name}.parquet", SPREAD.get(name))
 
 
-def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+def bound_sql(name: str) -> str:
+    """The view's SQL with its base tables as ``{name}`` parameters."""
     sql, bases = VIEWS[name]
-    text = re.sub(rf"\b(FROM|JOIN) ({'|'.join(bases)})\b", r"\1 {\2}", sql)
-    return spark.sql(text, **{b: table(spark, sf_dir, b) for b in bases})
+    return re.sub(rf"\b(FROM|JOIN) ({'|'.join(bases)})\b", r"\1 {\2}", sql)
+
+
+def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.sql(bound_sql(name), **{b: table(spark, sf_dir, b) for b in VIEWS[name][1]})

@@ -175,7 +175,9 @@ FROM (SELECT DISTINCT job_id FROM l) j LEFT JOIN ff ON ff.job_id = j.job_id AND
                 "HAVING count(*) FILTER (NOT passed AND severity = 'error') = 0) ")
     sql["delivery_gate"] = gate_sql + "SELECT doc_id, document_type, 'document.processed' AS event FROM gated"
     match = ", hits AS (SELECT doc_id, webhook_id, url, list_contains(string_split(events_csv, ','), 'document.processed') AS ok FROM gated, reg WHERE active) "
-    sql["subscription_match"] = gate_sql + match + ("SELECT doc_id, webhook_id, CASE WHEN ok THEN 'eligible' ELSE 'skipped' END AS delivery_status, CASE WHEN NOT ok THEN "
+    all_events = (", named AS (SELECT doc_id, CASE WHEN count(*) FILTER (NOT passed AND severity = 'error') = 0 THEN 'document.processed' ELSE 'document.failed' END AS event "
+                  "FROM checks GROUP BY doc_id), hits AS (SELECT doc_id, webhook_id, list_contains(string_split(events_csv, ','), event) AS ok FROM named, reg WHERE active) ")
+    sql["subscription_match"] = gate_sql + all_events + ("SELECT doc_id, webhook_id, CASE WHEN ok THEN 'eligible' ELSE 'skipped' END AS delivery_status, CASE WHEN NOT ok THEN "
                                                     "'event_not_subscribed' END AS reason FROM hits")
     sql["outbox"] = gate_sql + match + ("SELECT sha256(concat_ws('|', CAST(doc_id AS VARCHAR), CAST(webhook_id AS VARCHAR), 'document.processed')) AS delivery_id, doc_id, webhook_id, url, "
                                         "'document.processed' AS event, sha256('job|' || doc_id) AS job_id FROM hits WHERE ok")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from papertrail import fixed_values as V
 from papertrail.functions import names as N
 from papertrail.operators import admission as A, assemble as B, classify as C, lifecycle as H, webhooks as I
 from papertrail.plans.document_queries import validated
@@ -303,7 +304,10 @@ def _matches(spark, sf, keep: tuple[str, ...] = ()):
 
 
 def subscription_match(spark, sf):
-    return _matches(spark, sf).select("doc_id", "webhook_id", "delivery_status", "reason")
+    event = F.when(F.col("is_valid"), V.PROCESSED_EVENT).otherwise("document.failed")
+    events = validated(spark, sf).select("doc_id", event.alias("event"))
+    matches = I.match_subscriptions(events, _registry(spark, sf), known_events=(V.PROCESSED_EVENT, "document.failed"))
+    return matches.select("doc_id", "webhook_id", "delivery_status", "reason")
 
 
 def outbox(spark, sf):

@@ -55,8 +55,10 @@ def stream_files(spark: SparkSession, folder: str, glob: str = "*",
                      .option("maxFilesPerTrigger", files_per_batch).load(folder))
 
 
-def stream_table(spark: SparkSession, path: str, schema, files_per_batch: int = 1000) -> DataFrame:
-    return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(path)
+def stream_table(spark: SparkSession, folder: str, schema, glob: str = "*.parquet",
+                 files_per_batch: int = 1000) -> DataFrame:
+    return spark.readStream.schema(schema).option("pathGlobFilter", glob) \
+        .option("maxFilesPerTrigger", files_per_batch).parquet(folder)
 
 
 def lookup(table: DataFrame, ids: DataFrame | list, key: str) -> DataFrame:
