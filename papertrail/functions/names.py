@@ -72,7 +72,7 @@ def path_parts(parts: Column) -> Column:
 
 def base_name_if_absolute(path: Column) -> Column:
     """An absolute path is reduced to its last non-empty component."""
-    leaf = F.element_at(F.array_remove(F.split(path, "/"), ""), -1)
+    leaf = F.try_element_at(F.array_remove(F.split(path, "/"), ""), F.lit(-1))
     return F.when(F.startswith(path, F.lit("/")), F.coalesce(leaf, F.lit(""))).otherwise(path)
 
 

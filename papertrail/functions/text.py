@@ -71,8 +71,13 @@ def first_of(col: Column, patterns: list[str], ignore_case: bool = True) -> Colu
 
 
 def parse_amount(col: Column) -> Column:
-    """Number behind a matched amount such as ``$ 1,234.50``."""
-    return F.regexp_replace(col, "[^0-9.]", "").try_cast("double")
+    """Number behind a matched amount such as ``$ 1,234.50``.
+
+    NULL when an ASCII match holds one of the separators U+001C..U+001F: float parsing does not
+    take those for white space.
+    """
+    return F.when(~col.rlike(r"\A[\x00-\x7f]*[\x1c-\x1f][\x00-\x7f]*\z"),
+                  F.regexp_replace(col, "[^0-9.]", "").try_cast("double"))
 
 
 def parse_float(col: Column) -> Column:
@@ -86,14 +91,19 @@ def float_text(col: Column) -> Column:
     """Shortest decimal text of a double with at least one decimal place:
     ``1100.0``, ``26000000.0``, ``1e+16``, ``1e-05``."""
     size = F.abs(col)
-    plain = F.regexp_replace(col.cast("decimal(38,18)").cast("string"), r"(\.[0-9]+?)0+$", "$1")
+
+    def plain(scale: int) -> Column:
+        return F.regexp_replace(
+            col.cast(f"decimal(38,{scale})").cast("string"), r"(\.[0-9]+?)0+$", "$1")
+
     mantissa = F.regexp_replace(F.substring_index(col.cast("string"), "E", 1), r"\.0$", "")
     exponent = F.substring_index(col.cast("string"), "E", -1).try_cast("int")
     scientific = F.concat(
         mantissa, F.lit("e"), F.when(exponent < 0, F.lit("-")).otherwise(F.lit("+")),
-        F.lpad(F.abs(exponent).cast("string"), 2, "0"))
+        F.when(F.abs(exponent) < 10, F.lit("0")).otherwise(F.lit("")), F.abs(exponent).cast("string"))
     return F.when((size == 0) | ((size >= 1e-3) & (size < 1e7)), col.cast("string")) \
-        .when((size >= 1e-4) & (size < 1e16), plain) \
+        .when((size >= 1e7) & (size < 1e16), plain(18)) \
+        .when((size >= 1e-4) & (size < 1e-3), plain(24)) \
         .when(size < float("inf"), scientific) \
         .when(F.isnan(col), F.lit("nan")) \
         .otherwise(F.when(col > 0, F.lit("inf")).otherwise(F.lit("-inf")))

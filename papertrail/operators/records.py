@@ -181,7 +181,7 @@ def _variant(f: Column) -> Column:
 
 
 def _flat_variant(key: str) -> Column:
-    hit = F.element_at(F.filter("flat", lambda x: x["key"] == key), 1)
+    hit = F.get(F.filter("flat", lambda x: x["key"] == key), F.lit(0))
     return _variant(hit)
 
 

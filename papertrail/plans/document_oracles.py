@@ -33,11 +33,11 @@ def nda_test(text: str = "text") -> str:
 
 P = V.PATTERNS
 CORPORA = f"""rendered AS ({RENDERED}),
-corpora AS (
+corpora AS MATERIALIZED (
  SELECT 'rendered' AS corpus, doc_id, doc_type, text FROM rendered
  UNION ALL SELECT 'documents', doc_id, 'document', text FROM documents)"""
 DOCS = f"""rendered AS ({RENDERED}),
-docs AS (SELECT 'rendered' AS corpus, doc_id, text,
+docs AS MATERIALIZED (SELECT 'rendered' AS corpus, doc_id, text,
  CASE WHEN {nda_test()} THEN 'nda' ELSE doc_type END AS document_type FROM rendered)"""
 
 
@@ -123,8 +123,8 @@ d_form AS (SELECT * FROM {source} WHERE document_type = 'form'),
 d_nda AS (SELECT * FROM {source} WHERE document_type = 'nda'),
 d_gen AS (SELECT * FROM {source} WHERE document_type NOT IN {known}),
 signers AS ({signer}),
-emitted AS ({' UNION ALL '.join(rows)}),
-all_fields AS (SELECT corpus, doc_id, document_type, row_number() OVER (PARTITION BY corpus, doc_id ORDER BY ord) - 1 AS pos,
+emitted AS MATERIALIZED ({' UNION ALL '.join(rows)}),
+all_fields AS MATERIALIZED (SELECT corpus, doc_id, document_type, row_number() OVER (PARTITION BY corpus, doc_id ORDER BY ord) - 1 AS pos,
  name, value, value_num, confidence FROM emitted WHERE value IS NOT NULL OR value_num IS NOT NULL)"""
 
 
@@ -134,10 +134,10 @@ def tables_cte(source: str) -> str:
     return f"""t_lines AS (SELECT corpus, doc_id, ln, line FROM (SELECT corpus, doc_id, unnest(string_split(text, chr(10))) AS line,
  generate_subscripts(string_split(text, chr(10)), 1) AS ln FROM {source}) u
  WHERE contains(line, chr(9)) OR contains(line, '  ') OR contains(line, '|')),
-t_cells AS (SELECT corpus, doc_id, row_number() OVER (PARTITION BY corpus, doc_id ORDER BY ln) AS rn,
+t_cells AS MATERIALIZED (SELECT corpus, doc_id, row_number() OVER (PARTITION BY corpus, doc_id ORDER BY ln) AS rn,
  count(*) OVER (PARTITION BY corpus, doc_id) AS n, {cells} AS cells FROM t_lines),
 t_head AS (SELECT corpus, doc_id, cells AS headers FROM t_cells WHERE rn = 1 AND n > 2 AND len(cells) > 1),
-t_rows AS (SELECT corpus, doc_id, headers, cells, row_number() OVER (PARTITION BY corpus, doc_id ORDER BY rn) - 1 AS row_no
+t_rows AS MATERIALIZED (SELECT corpus, doc_id, headers, cells, row_number() OVER (PARTITION BY corpus, doc_id ORDER BY rn) - 1 AS row_no
  FROM t_cells JOIN t_head USING (corpus, doc_id) WHERE rn > 1 AND len(cells) = len(headers)),
 t_sum AS (SELECT corpus, doc_id, array_to_string(any_value(headers), '|') AS headers, count(*) AS row_count FROM t_rows GROUP BY corpus, doc_id)"""
 
@@ -158,10 +158,10 @@ def flow(threshold: float = 0.7) -> str:
 {fields_cte()},
 {tables_cte('docs')},
 {kept_cte(threshold)},
-uniq AS (SELECT doc_id, document_type, name, min(pos) AS pos, arg_max_null(value, pos) AS value, arg_max_null(value_num, pos) AS value_num,
+uniq AS MATERIALIZED (SELECT doc_id, document_type, name, min(pos) AS pos, arg_max_null(value, pos) AS value, arg_max_null(value_num, pos) AS value_num,
  arg_max_null(confidence, pos) AS confidence FROM fields GROUP BY doc_id, document_type, name),
 layout(document_type, place, key, source) AS (VALUES {layout}),
-flat AS (SELECT doc_id, document_type, row_number() OVER (PARTITION BY doc_id ORDER BY part, pos) - 1 AS ord, key, value, value_num FROM (
+flat AS MATERIALIZED (SELECT doc_id, document_type, row_number() OVER (PARTITION BY doc_id ORDER BY part, pos) - 1 AS ord, key, value, value_num FROM (
  SELECT doc_id, document_type, 0 AS part, pos, name AS key, value, value_num FROM uniq WHERE name NOT IN ({meta})
  UNION ALL SELECT d.doc_id, d.document_type, 1, l.place, l.key, u.value, u.value_num
  FROM docs d JOIN layout l USING (document_type) LEFT JOIN uniq u ON u.doc_id = d.doc_id AND u.name = l.source) x)"""
@@ -185,7 +185,7 @@ def checks_cte(rows: list[tuple]) -> str:
 doc_rules AS (SELECT d.doc_id, d.document_type, r.position, r.field, r.rule, r.fmt, r.min_val, r.max_val, r.min_text, r.max_text, r.pattern, r.message,
  r.severity, row_number() OVER (PARTITION BY d.doc_id ORDER BY r.document_type = '*', r.position) - 1 AS rn
  FROM docs d JOIN rules r ON r.document_type = d.document_type OR r.document_type = '*'),
-ranked AS (SELECT doc_id, rn, value, value_num, row_number() OVER (PARTITION BY doc_id, rn ORDER BY rk, ord) AS best FROM (
+ranked AS MATERIALIZED (SELECT doc_id, rn, value, value_num, row_number() OVER (PARTITION BY doc_id, rn ORDER BY rk, ord) AS best FROM (
  SELECT r.doc_id, r.rn, f.ord, f.value, f.value_num, CASE WHEN f.key = r.field THEN 1 WHEN f.key = replace(r.field, '_', '.') THEN 2
   WHEN f.key = 'fields.' || r.field THEN 3 WHEN f.key = 'structured.' || r.field THEN 4
   WHEN ends_with(f.key, {SEGMENT.format('r.field')}) THEN 5
@@ -194,7 +194,7 @@ ranked AS (SELECT doc_id, rn, value, value_num, row_number() OVER (PARTITION BY
 looked AS (SELECT r.*, h.value, h.value_num, coalesce(h.value, CAST(h.value_num AS VARCHAR)) AS txt,
  coalesce(h.value_num, TRY_CAST(h.value AS DOUBLE)) AS num
  FROM doc_rules r LEFT JOIN ranked h ON h.doc_id = r.doc_id AND h.rn = r.rn AND h.best = 1),
-rule_fail AS (SELECT *, CASE rule
+rule_fail AS MATERIALIZED (SELECT *, CASE rule
   WHEN 'required' THEN CASE WHEN txt IS NULL OR value = '' THEN message END
   WHEN 'format' THEN CASE WHEN {TRUTHY} AND NOT {formats} THEN message END
   WHEN 'range' THEN CASE WHEN txt IS NULL THEN NULL WHEN num IS NULL THEN 'Value is not numeric'
@@ -222,7 +222,7 @@ quality AS (SELECT doc_id, document_type, 3000 AS pos, 'data_completeness' AS fi
  CASE WHEN share >= 0.7 THEN 'info' ELSE 'warning' END AS severity FROM shares),
 joined AS (SELECT doc_id, document_type, pos, field, rule, passed, message, severity FROM rule_checks UNION ALL SELECT * FROM structure
  UNION ALL SELECT * FROM crossed UNION ALL SELECT * FROM quality),
-checks AS (SELECT doc_id, document_type, row_number() OVER (PARTITION BY doc_id ORDER BY pos) - 1 AS pos, field, rule, passed, message, severity FROM joined)"""
+checks AS MATERIALIZED (SELECT doc_id, document_type, row_number() OVER (PARTITION BY doc_id ORDER BY pos) - 1 AS pos, field, rule, passed, message, severity FROM joined)"""
 
 
 def _default_rows() -> list[tuple]:

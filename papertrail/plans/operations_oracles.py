@@ -17,11 +17,11 @@ UNSAFE = " OR ".join(f"contains({NAME}, {p})" for p in ("'..'", "'~'", "'//'", "
 CLASS = (rf"CASE WHEN {NAME} IS NULL OR {NAME} = '' OR regexp_full_match({NAME}, '\s+') THEN 'value_error' WHEN length({NAME}) > 4096 THEN 'traversal' "
          rf"WHEN {UNSAFE} THEN 'traversal' WHEN regexp_matches({NAME}, '[\x00-\x08\x0a-\x1f]') THEN 'traversal' ELSE 'ok' END")
 SUFFIX = r"regexp_extract(safe_name, '^(?:.|\n)+(\.[^.]+)$', 1)"
-M = f"""WITH m0 AS ({MANIFEST}),
+M = f"""WITH m0 AS MATERIALIZED ({MANIFEST}),
 m1 AS (SELECT *, {CLASS} AS cls FROM m0),
 m2 AS (SELECT *, CASE WHEN cls = 'ok' THEN replace({NAME}, '/', '_') END AS safe_name FROM m1),
 m3 AS (SELECT *, {SUFFIX} AS suffix FROM m2),
-m AS (SELECT *, CASE WHEN {NAME} IS NULL OR {NAME} = '' THEN 'name_missing' WHEN cls <> 'ok' THEN 'unsafe_name'
+m AS MATERIALIZED (SELECT *, CASE WHEN {NAME} IS NULL OR {NAME} = '' THEN 'name_missing' WHEN cls <> 'ok' THEN 'unsafe_name'
  WHEN lower(suffix) NOT IN {in_list(V.ALLOWED_EXTENSIONS)} THEN 'extension_not_allowed' WHEN file_size > {V.MAX_UPLOAD_BYTES} THEN 'too_large'
  WHEN file_size = 0 THEN 'empty_file' END AS reject_reason FROM m3)
 """

@@ -9,12 +9,10 @@ from papertrail.plans import document_oracles as D, operations_oracles as O
 
 def _flow() -> str:
     """Admitted, extractable manifest rows as the ``docs`` of the document oracles."""
-    rendered = D.DOCS.split(",\ndocs AS", 1)[0]
     body = D.flow()
     assert body.startswith(D.DOCS)
-    docs = (f"docs AS (SELECT 'documents' AS corpus, document_id AS doc_id, text, CASE WHEN {D.nda_test()} THEN 'nda' ELSE {O.name_type('lower(safe_name)')} END "
+    docs = (f"docs AS MATERIALIZED (SELECT 'documents' AS corpus, document_id AS doc_id, text, CASE WHEN {D.nda_test()} THEN 'nda' ELSE {O.name_type('lower(safe_name)')} END "
             f"AS document_type FROM m WHERE reject_reason IS NULL AND file_size <= {V.MAX_EXTRACT_BYTES} AND text <> '')")
-    assert rendered
     return O.M + ", " + docs + body[len(D.DOCS):] + ", " + D.checks_cte(rule_rows())
 
 
