@@ -195,10 +195,13 @@ def to_schema_json(df: DataFrame, document_id: str = "document_id",
                   for g, members in layout.items()]
         if name in V.LINE_ITEM_MEMBER:
             groups.append(F.col("line_items").alias(V.LINE_ITEM_MEMBER[name]))
-        return F.to_json(F.struct(*groups))
+        return F.to_variant_object(F.struct(*groups))
 
     named = "array<struct<key:string,value:variant>>"
     trigger_id = F.sha2(F.concat_ws("|", F.col(document_id).cast("string"), F.lit("trigger")), 256)
+    facts = [c for c in ("extraction_confidence", "total_fields_extracted", "fields_above_threshold",
+                         "has_tables") if c in df.columns]
+    df = df.withColumn("_structured", _structured(kind, structured))
     record = F.struct(
         F.lit(V.SCHEMA_VERSION).alias("schema_version"),
         F.sha2(F.concat_ws("|", F.col(document_id).cast("string"), F.lit("schema")), 256)
@@ -214,18 +217,19 @@ def to_schema_json(df: DataFrame, document_id: str = "document_id",
                 f["name"], F.struct(_variant(f).alias("value"), f["confidence"].alias("confidence"))
             ))).alias("fields"),
             F.col("record_tables").alias("tables"),
-            F.parse_json(_structured(kind, structured)).alias("structured")).alias("extracted_data"),
+            *([F.struct(*facts).alias("raw_data")] if facts else []),
+            F.col("_structured").alias("structured")).alias("extracted_data"),
         processing_metadata(df).alias("processing_metadata"),
         F.transform("triggers", lambda t: F.struct(
             F.concat_ws("-", trigger_id, t["position"].cast("string")).alias("trigger_id"),
             t["action"].alias("action"), t["endpoint"].alias("endpoint"),
             t["method"].alias("method"), F.parse_json(t["condition"]).alias("condition"),
             F.struct(F.col(document_id).cast("string").alias("document_id"),
-                     kind.alias("document_type")).alias("payload_template"))
-        ).alias("automation_triggers"),
+                     kind.alias("document_type"), F.col("_structured").alias("data"))
+            .alias("payload_template"))).alias("automation_triggers"),
         F.lit("pending").alias("validation_status"),
         F.array().cast("array<string>").alias("validation_errors"))
-    return df.withColumn("schema_json", F.to_json(record))
+    return df.withColumn("schema_json", F.to_json(record)).drop("_structured")
 
 
 def long_triggers(df: DataFrame, *keys: str) -> DataFrame:
