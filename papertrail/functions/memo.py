@@ -17,7 +17,7 @@ def memoized(build):
 
     @wraps(build)
     def call(*args):
-        key = (id(SparkContext._active_spark_context), args)
+        key = (SparkContext._active_spark_context, args)
         if key not in kept:
             kept[key] = build(*args)
         return kept[key]

@@ -11,9 +11,10 @@ from papertrail import fixed_values as V
 from papertrail.functions import text as T
 from papertrail.functions.fence import fence
 from papertrail.functions.memo import memoized
-from papertrail.operators.joins import join_small
+from papertrail.operators.joins import fits, join_small
 
 PASSED = "Validation passed"
+MAX_RULES = 10_000
 RULE_TYPE = ("array<struct<position:int,field:string,rule:string,fmt:string,min_val:double,"
              "max_val:double,min_text:string,max_text:string,pattern:string,message:string,"
              "severity:string>>")
@@ -55,7 +56,12 @@ def _standard_rules(doc_type: str) -> Column:
 
 def attach_rules(df: DataFrame, rules: DataFrame, doc_type: str = "document_type") -> DataFrame:
     """Adds ``rules`` from a rule table (document_type, position, field, rule, fmt, min_val,
-    max_val, pattern, message, severity)."""
+    max_val, pattern, message, severity).
+
+    The table is configuration: its rows are counted (up to the bound) and a larger one is refused.
+    """
+    if not fits(rules, MAX_RULES):
+        raise ValueError(f"a rule table holds at most {MAX_RULES} rules")
     row = F.struct(
         F.col("position").cast("int").alias("position"), "field", "rule", "fmt", "min_val", "max_val",
         T.float_text(F.col("min_val")).alias("min_text"),

@@ -51,7 +51,7 @@ c AS (SELECT document_id, document_type, CASE WHEN bad THEN 0.0 ELSE round(least
 PAGES = f"""p0 AS ({TEXT_PAGES}),
 p AS (SELECT *, CASE WHEN document_id % 3 = 0 THEN 'image/png' ELSE 'application/pdf' END AS mime_type,
  len(list_filter(regexp_split_to_array(text, '\\s+'), lambda x: x <> '')) AS word_count FROM p0),
-a AS (SELECT document_id, count(*) AS total_pages, count(*) AS processed_pages, sum(word_count) AS n_words, avg(confidence) AS average_confidence,
+a AS (SELECT document_id, count(*) AS total_pages, count(*) AS processed_pages, sum(word_count)::BIGINT AS n_words, avg(confidence) AS average_confidence,
  string_agg(text, chr(10) || chr(10) ORDER BY page_number) AS full_text FROM p WHERE text <> '' GROUP BY document_id),
 e AS (SELECT d.doc_id AS document_id, coalesce(total_pages, 1) AS total_pages, coalesce(processed_pages, 0) AS processed_pages, coalesce(full_text, '') AS full_text,
  coalesce(average_confidence, 0.0) AS average_confidence FROM documents d LEFT JOIN a ON a.document_id = d.doc_id)"""
@@ -91,7 +91,7 @@ def oracles() -> dict[str, str]:
                                   "WHERE reject_reason IS NULL")
     sql["manifest_hash"] = M + (f"SELECT document_id AS row_id, sha256(text) AS content_hash, sha256(concat_ws('|', sha256(text), {NAME})) AS document_id FROM m")
     sql["admission"] = M + f"SELECT document_id, {CODE} AS status_code, reject_reason FROM m"
-    sql["admission_summary"] = M + (f"SELECT {CODE} AS status_code, coalesce(reject_reason, 'admitted') AS reason, count(*) AS n_files, sum(file_size) AS total_bytes "
+    sql["admission_summary"] = M + (f"SELECT {CODE} AS status_code, coalesce(reject_reason, 'admitted') AS reason, count(*) AS n_files, sum(file_size)::BIGINT AS total_bytes "
                                     "FROM m GROUP BY ALL")
     sql["filename_check"] = M + "SELECT document_id, cls = 'ok' AS ok, nullif(cls, 'ok') AS error_class, safe_name AS sanitized FROM m"
     sql["filename_safe_counts"] = M + "SELECT cls = 'ok' AS is_safe, count(*) AS n_files FROM m GROUP BY 1"
@@ -111,7 +111,7 @@ SELECT page_id, variant, verdict, depth, CASE WHEN verdict = 'ok' THEN path END
     sql["path_basename"] = f"WITH u AS (SELECT page_id, url, {URL_PATH} AS path FROM pages) SELECT page_id, {base.format('path')} AS base_name, {base.format('url')} AS url_name, path AS normalized FROM u"
     sql["storage_name"] = M + "SELECT document_id, CASE WHEN safe_name IS NOT NULL THEN document_id || suffix END AS storage_name, safe_name AS plain_name FROM m"
     sql["security_events"] = M + ("SELECT 'DANGEROUS_FILENAME_ATTEMPT' AS event_type, 'ERROR' AS level, count(*) AS n_events, min(document_id) AS first_document, "
-                                  "sum(file_size) AS total_bytes FROM m WHERE cls = 'traversal'")
+                                  "sum(file_size)::BIGINT AS total_bytes FROM m WHERE cls = 'traversal'")
     sql["content_dedup"] = "SELECT min(doc_id) AS doc_id, md5(text) AS content_hash FROM documents GROUP BY md5(text)"
     sql["duplicate_groups"] = "SELECT md5(text) AS content_hash, count(*) AS n_copies, min(doc_id) AS first_id FROM documents GROUP BY md5(text) HAVING count(*) > 1"
     sql["mime_resolve"] = M + (f"SELECT document_id, {mime(chr(40) + 'CASE WHEN document_id % 5 = 0 THEN ' + q('%PDF-1.7') + ' || text ELSE text END' + chr(41))} AS mime_type, "
@@ -183,6 +183,6 @@ FROM (SELECT DISTINCT job_id FROM l) j LEFT JOIN ff ON ff.job_id = j.job_id AND
                                         "'document.processed' AS event, sha256('job|' || doc_id) AS job_id FROM hits WHERE ok")
     sql["delivery_outcome"] = V_ + "SELECT delivery_id, webhook_id, delivery_status FROM v"
     sql["delivery_rollup"] = V_ + ("SELECT webhook_id, count(*) FILTER (delivery_status = 'success') AS webhooks_triggered, count(*) FILTER (delivery_status <> 'success') AS webhooks_failed, "
-                                   "0 AS webhooks_skipped, max(response_time_ms) AS total_time_ms FROM v GROUP BY webhook_id")
+                                   "0::BIGINT AS webhooks_skipped, max(response_time_ms) AS total_time_ms FROM v GROUP BY webhook_id")
     sql["delivery_details"] = V_ + "SELECT delivery_id, webhook_id, delivery_status, coalesce(status_code, 0) AS status_code, response_time_ms FROM v"
     return sql

@@ -56,7 +56,7 @@ def path_audit(spark, sf):
     pages = table(spark, sf, "pages")
     path = F.regexp_extract("url", URL_PATH, 1)
     variants = F.array(*[F.struct(F.lit(n).alias("variant"), parts.alias("parts")) for n, parts in (
-        ("url", F.array("url")), ("path", F.array(path)), ("tail", F.array(F.lit("in"), F.substring(path, 2, 100000))),
+        ("url", F.array("url")), ("path", F.array(path)), ("tail", F.array(F.lit("in"), F.substr(path, F.lit(2)))),
         ("deep", F.array_repeat(F.lit("a/b"), 5 + (F.col("page_id") % 2).cast("int"))))])
     return pages.select("page_id", F.inline(variants)).select(
         "page_id", "variant", N.path_parts(F.col("parts")).alias("p")).select("page_id", "variant", "p.verdict", "p.depth", "p.path")

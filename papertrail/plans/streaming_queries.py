@@ -28,7 +28,8 @@ def _log(spark, sf):
 def stream_ingest(spark: SparkSession, sf: str) -> DataFrame:
     out, state = shared_dir(spark, "ingest"), shared_dir(spark, "checkpoint")
     columns = ["document_id", "document_type", "fields_above_threshold", "is_valid", "total_checks"]
-    jobs.finish(jobs.ingest(_view(spark, sf, "manifest", "documents"), out, state, columns))
+    few_splits = (spark.sparkContext.defaultParallelism, "document_id")
+    jobs.finish(jobs.ingest(_view(spark, sf, "manifest", "documents"), out, state, columns, few_splits))
     return spark.read.parquet(out)
 
 

@@ -16,9 +16,9 @@ def spread(df: DataFrame, *keys: str) -> DataFrame:
     return df.repartition(cores, *keys) if df.rdd.getNumPartitions() < cores else df
 
 
-def read_table(spark: SparkSession, path: str, spread_by: str | None = None) -> DataFrame:
+def read_table(spark: SparkSession, path: str, spread_by: list[str]) -> DataFrame:
     df = spark.read.parquet(path)
-    return spread(df, spread_by) if spread_by else df
+    return spread(df, *spread_by) if spread_by else df
 
 
 FILE_COLUMNS = "path string, modificationTime timestamp, length bigint, content binary"

@@ -45,8 +45,15 @@ def document_flow(uploads: DataFrame, threshold: float = X.DEFAULT_THRESHOLD, te
                       document_id=document_id)
 
 
-def ingest(uploads: DataFrame, path: str, checkpoint: str, columns: list[str], **options) -> StreamingQuery:
-    """Uploads to checked records; stateless, so any number of executors and restarts."""
+def ingest(uploads: DataFrame, path: str, checkpoint: str, columns: list[str],
+           spread: tuple[int, str] | None = None, **options) -> StreamingQuery:
+    """Uploads to checked records; stateless, so any number of executors and restarts.
+
+    ``spread`` = (partitions, key) moves a micro-batch over more tasks than it has file splits, for
+    sources of few large files.
+    """
+    if spread is not None:
+        uploads = uploads.repartition(spread[0], spread[1])
     return _start(document_flow(uploads, **options).select(*columns), checkpoint, "append", path)
 
 
