@@ -1,0 +1 @@
+"""Document extraction, validation and routing on PySpark; see README.md."""

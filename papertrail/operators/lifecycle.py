@@ -6,7 +6,7 @@ the map side, so a job with a third of all events is reduced where it is read.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from papertrail import fixed_values as V
 
@@ -203,7 +203,6 @@ def rate_admission(log: DataFrame, client: str, window: str, limit: int) -> Data
     Only the first ``limit`` requests of a window are ranked (the rank filter is applied before the
     shuffle too); all rows are then compared with their window's last admitted one.
     """
-    from pyspark.sql import Window
     keyed = log.withColumn("_start", F.window("ts", window)["start"])
     rank = F.row_number().over(Window.partitionBy(client, "_start").orderBy(*ORDER))
     cut = keyed.select(client, "_start", *ORDER).withColumn("_rank", rank).filter(F.col("_rank") <= limit) \

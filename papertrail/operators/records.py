@@ -180,19 +180,17 @@ def _variant(f: Column) -> Column:
     return F.coalesce(f["value_num"].cast("variant"), f["value"].cast("variant"))
 
 
-def _flat_variant(key: str) -> Column:
-    hit = F.get(F.filter("flat", lambda x: x["key"] == key), F.lit(0))
-    return _variant(hit)
-
-
 def to_schema_json(df: DataFrame, document_id: str = "document_id",
                    doc_type: str = "document_type", as_of: Column | None = None) -> DataFrame:
     """Adds ``schema_json``, the assembled record; identifiers are derived, so reruns agree."""
     kind = F.col(doc_type)
 
     def structured(name: str, layout: dict) -> Column:
-        groups = [F.struct(*[_flat_variant(f"{g}.{leaf}").alias(leaf) for leaf, _ in members]).alias(g)
-                  for g, members in layout.items()]
+        # The leaves follow the record's own fields in ``flat``, in layout order.
+        places = {(g, leaf): i for i, (g, leaf) in enumerate(
+            (g, leaf) for g, members in layout.items() for leaf, _ in members)}
+        groups = [F.struct(*[_variant(F.get("flat", F.size("record_fields") + places[g, leaf])).alias(leaf)
+                             for leaf, _ in members]).alias(g) for g, members in layout.items()]
         if name in V.LINE_ITEM_MEMBER:
             groups.append(F.col("line_items").alias(V.LINE_ITEM_MEMBER[name]))
         return F.to_variant_object(F.struct(*groups))

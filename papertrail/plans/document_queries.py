@@ -152,19 +152,21 @@ def record_metadata(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def schema_json(spark: SparkSession, sf: str) -> DataFrame:
+    """The JSON record read back: parsed once per row, then looked up by path."""
     df = R.to_schema_json(recorded(spark, sf), document_id="doc_id")
+    df = df.select("doc_id", F.parse_json("schema_json").alias("record"))
 
-    def path(p: str):
-        return F.get_json_object("schema_json", p)
+    def path(p: str, kind: str = "string"):
+        return F.try_variant_get("record", p, kind)
     return df.select(
         "doc_id", path("$.schema_version").alias("schema_version"),
         path("$.document_type").alias("document_type"),
         path("$.document_id").alias("document_id"),
         path("$.extracted_data.metadata.invoice_number").alias("invoice_number"),
-        F.round(path("$.extracted_data.fields.total_amount.value").cast("double"), 6).alias("total_amount"),
+        F.round(path("$.extracted_data.fields.total_amount.value", "double"), 6).alias("total_amount"),
         path("$.extracted_data.structured.vendor.name").alias("vendor"),
         path("$.automation_triggers[0].endpoint").alias("first_endpoint"),
-        path("$.processing_metadata.field_count").cast("int").alias("field_count"),
+        path("$.processing_metadata.field_count", "int").alias("field_count"),
         path("$.validation_status").alias("validation_status"))
 
 
