@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
-from papertrail.llm import counts, records, secret_scan
+from papertrail.llm import counts, fingerprint, leaks, quality, records, secret_scan, toxicity
 
 QUERIES = {
+    "op1_quality": quality.op1_quality,
+    "op3_benchmark_leaks": leaks.op3_benchmark_leaks,
     "op5_token_counts": counts.op5_token_counts,
     "op6_token_records": records.op6_token_records,
+    "op7_toxicity": toxicity.op7_toxicity,
     "op9_secret_scan": secret_scan.op9_secret_scan,
+    "op10_order_minhash": fingerprint.op10_order_minhash,
 }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op3_benchmark_leaks": leaks.SQL}
