@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from papertrail.llm import counts, fingerprint, leaks, quality, records, secret_scan, toxicity
+from papertrail.llm import counts, fingerprint, leaks, packing, quality, records, secret_scan, toxicity
 
 QUERIES = {
     "op1_quality": quality.op1_quality,
@@ -10,6 +10,7 @@ QUERIES = {
     "op5_token_counts": counts.op5_token_counts,
     "op6_token_records": records.op6_token_records,
     "op7_toxicity": toxicity.op7_toxicity,
+    "op8_lexical_packing": packing.op8_lexical_packing,
     "op9_secret_scan": secret_scan.op9_secret_scan,
     "op10_order_minhash": fingerprint.op10_order_minhash,
 }
