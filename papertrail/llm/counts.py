@@ -24,10 +24,10 @@ from papertrail.llm.coder import tokenizer_path
 from papertrail.llm.common import cut, partitions, table, texts
 
 _RUN = re.compile(" +[^ ]*")
-#: Pre-tokens held in the broadcast, and the longest of them in characters: at most 2^16 * 48 * 4 bytes.
-HEAD, HEAD_CHARS = 1 << 16, 48
+#: Pre-tokens held in the broadcast, and the longest of them in characters: at most 2^18 * 32 * 4 bytes.
+HEAD, HEAD_CHARS = 1 << 18, 32
 #: Distinct pre-tokens a task gathers before it hands on their counts.
-GATHER = 200_000
+GATHER = 400_000
 
 
 def pre_tokens(text: str) -> list[str]:
@@ -74,6 +74,19 @@ def vocabulary(docs: DataFrame, model: str) -> DataFrame:
         .mapInArrow(measure, "pre_token string, uses long, n_pieces long")
 
 
+def frequent(words: DataFrame, head: int) -> DataFrame:
+    """The rows with the largest ``uses``, as many as there are down to a power of 1.1 that keeps within ``head`` rows."""
+    step = F.floor(F.log(F.col("uses")) / F.log(F.lit(1.1)))
+    sizes = sorted(((r.step, r["count"]) for r in words.groupBy(step.alias("step")).count().collect()), reverse=True)
+    least, total = None, 0
+    for at, n in sizes:
+        total += n
+        if total > head:
+            break
+        least = at
+    return words.filter(F.lit(False) if least is None else step >= least)
+
+
 def _pairs(seen: Counter) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(list(seen), pa.string()), pa.array(list(seen.values()), pa.int64())],
                                       ["pre_token", "uses"])
@@ -84,8 +97,8 @@ def token_counts(docs: DataFrame, model: str, limit: int = 4096, head: int = HEA
     spark = docs.sparkSession
     docs = texts(docs)
     words = cut(vocabulary(docs, model), "pre-tokens")
-    top = words.filter(F.length("pre_token") <= HEAD_CHARS).orderBy(F.desc("uses"), "pre_token").limit(head)
-    known = spark.sparkContext.broadcast({r.pre_token: r.n_pieces for r in top.collect()})  # at most ``head`` rows
+    top = frequent(words.filter(F.length("pre_token") <= HEAD_CHARS), head).select("pre_token", "n_pieces").toPandas()
+    known = spark.sparkContext.broadcast(dict(zip(top["pre_token"], top["n_pieces"].tolist())))  # at most ``head`` rows
 
     def split(batches):
         table_ = known.value

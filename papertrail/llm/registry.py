@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from papertrail.llm import counts, fingerprint, leaks, packing, quality, records, secret_scan, toxicity
+from papertrail.llm import counts, fingerprint, leaks, packing, quality, records, secret_scan, similar, toxicity
 
 QUERIES = {
     "op1_quality": quality.op1_quality,
+    "op2_ngram_jaccard": similar.op2_ngram_jaccard,
     "op3_benchmark_leaks": leaks.op3_benchmark_leaks,
     "op5_token_counts": counts.op5_token_counts,
     "op6_token_records": records.op6_token_records,
@@ -17,4 +18,4 @@ QUERIES = {
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_benchmark_leaks": leaks.SQL}
+    return {"op2_ngram_jaccard": similar.SQL, "op3_benchmark_leaks": leaks.SQL}
