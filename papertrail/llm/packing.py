@@ -29,8 +29,8 @@ from papertrail.llm.coder import tokenizer_path, word_coder
 from papertrail.llm.common import cut, partitions, table, texts, utf8
 
 WINDOW = 4096
-#: A shard is closed at so many documents or tokens; an index of one is some 50 MB.
-SHARD_DOCS, SHARD_TOKENS = 2048, 4_000_000
+#: A shard is closed at so many documents or tokens; an index of one is some 20 MB.
+SHARD_DOCS, SHARD_TOKENS = 1024, 1_500_000
 #: Terms of a seed that are looked up: those that weigh most.
 QUERY_TERMS = 24
 _K1, _B = 1.2, 0.75
@@ -91,10 +91,10 @@ class Shard:
     def __init__(self, ids: list[np.ndarray], idf: np.ndarray, mean: float):
         terms, tf = zip(*(np.unique(x, return_counts=True) for x in ids))
         self.first = np.concatenate([[0], np.cumsum([len(t) for t in terms])])
-        term, count = np.concatenate(terms), np.concatenate(tf)
-        doc = np.repeat(np.arange(len(ids)), np.diff(self.first))
-        length = np.repeat([len(x) for x in ids], np.diff(self.first))
-        weight = (idf[term] * count * (_K1 + 1) / (count + _K1 * (1 - _B + _B * length / mean))).astype(np.float32)
+        term, count = np.concatenate(terms), np.concatenate(tf).astype(np.float32)
+        doc = np.repeat(np.arange(len(ids), dtype=np.int32), np.diff(self.first))
+        length = np.repeat(np.array([_K1 * (1 - _B + _B * len(x) / mean) for x in ids], np.float32), np.diff(self.first))
+        weight = idf.astype(np.float32)[term] * count * np.float32(_K1 + 1) / (count + length)
         self.term, self.weight, self.n = term, weight, len(ids)
         order = np.argsort(term, kind="stable")
         self.docs, self.scores = doc[order], weight[order]

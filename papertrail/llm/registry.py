@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from papertrail.llm import counts, fingerprint, leaks, packing, quality, records, secret_scan, similar, toxicity
+from papertrail.llm import counts, fingerprint, leaks, ngram_trie, packing, quality, records, secret_scan, similar, toxicity
 
 QUERIES = {
     "op1_quality": quality.op1_quality,
     "op2_ngram_jaccard": similar.op2_ngram_jaccard,
     "op3_benchmark_leaks": leaks.op3_benchmark_leaks,
+    "op4_lm_score": ngram_trie.op4_lm_score,
     "op5_token_counts": counts.op5_token_counts,
     "op6_token_records": records.op6_token_records,
     "op7_toxicity": toxicity.op7_toxicity,
