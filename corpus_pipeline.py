@@ -1,15 +1,78 @@
-"""Corpus pipeline: documents in, packed sequences out."""
+"""Corpus pipeline: documents in, packed sequences out.
+
+Each stage takes (spark, docs, sf_dir) and returns a DataFrame that is written as Parquet and read back as the next one's
+documents; all but the last return the columns of ``documents``.  A stage decides by row, also where ids are null or
+repeated: rows are told apart by id and text hash, and rows equal in both share a decision (of equal rows that are near
+duplicates one stays).
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
+
+from papertrail.llm import leaks, packing, quality, secret_scan, similar
+from papertrail.llm.coder import tokenizer_path
+from papertrail.llm.common import cut, table
+
+#: A document stays if the classifier gives it at least this chance of label 1.
+QUALITY = 0.3
+#: Near duplicates: five-word shingles, a similarity of 0.8 or more.
+SHINGLE, PERCENT = 5, 80
+
+
+def _hashed(docs: DataFrame) -> DataFrame:
+    return docs.withColumn("_h", F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit("\u0000")))) \
+        .withColumn("_k", F.coalesce(F.col("doc_id").cast("string"), F.lit("")))
+
+
+def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality classifier does not reject."""
+    model = quality.train(docs, table(spark, sf_dir, "labels"))
+    return quality.scored(docs, model, "_score").filter(F.col("_score") >= QUALITY).select(*docs.columns)
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near duplicates, the one with the smallest id; documents without words stay."""
+    hashed = _hashed(docs)
+    found = similar.near_duplicates(hashed, SHINGLE, PERCENT, carry=("_h", "_k")).filter("label IS NOT NULL")
+    first = found.groupBy("label").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "_h", "_k")).alias("x"))
+    rest = found.join(first, "label").filter((F.col("_h") != F.col("x._h")) | (F.col("_k") != F.col("x._k"))) \
+        .select("_k", "_h").distinct()
+    kept = hashed.join(rest, ["_k", "_h"], "left_anti")
+    # Equal rows: one of them, unless they are empty.
+    copy = F.row_number().over(Window.partitionBy("_k", "_h").orderBy(F.lit(0)))
+    wordless = ~F.coalesce(F.col("text"), F.lit("")).rlike("[^\\x20\\x09-\\x0D]")
+    return kept.withColumn("_copy", copy).filter((F.col("_copy") == 1) | wordless).select(*docs.columns)
+
+
+def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold no window of a benchmark item."""
+    hashed = _hashed(docs)
+    found = leaks.contamination(hashed, table(spark, sf_dir, "benchmark"), carry=("_h", "_k"))
+    return hashed.join(found.filter("n_hit > 0").select("_k", "_h").distinct(), ["_k", "_h"], "left_anti").select(*docs.columns)
+
+
+def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, with secrets replaced by their kind and n_chars brought up to date."""
+    out = secret_scan.redacted(docs)
+    if "n_chars" in docs.columns:
+        out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
+    return out
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Sequences of 4096 tokens: one row per piece, with its token ids."""
+    return packing.packed(docs, tokenizer_path("word_bpe_49k.json"), end_id=2, with_ids=True)
+
 
-STAGES: list = []
+STAGES = [("quality", keep_good), ("near_duplicates", drop_near_duplicates), ("decontamination", drop_leaks),
+          ("secrets", redact_secrets), ("packing", pack)]
+#: The classifier and the tokenizer are beyond SQL.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES[:-1]:
+        docs = cut(stage(spark, docs, sf_dir), name)
+    return STAGES[-1][1](spark, docs, sf_dir)

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from papertrail.llm import bloom, scan
-from papertrail.llm.common import cut, table, texts, utf8
+from papertrail.llm.common import cut, table, utf8
 
 WINDOW, SHINGLE = 10, 3
 #: Copies of the (small) prefix index per shingle, so that a passage in very many documents is not one join key.
@@ -63,10 +63,11 @@ def _hits(words: scan.Words, sizes: list[int], bits: np.ndarray):
         yield at, h[at]
 
 
-def contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> DataFrame:
-    """n_words, n_hit, and the sorted ids of contained items for every row of documents."""
+def contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW, carry: tuple[str, ...] = ()) -> DataFrame:
+    """n_words, n_hit, the sorted ids of contained items, the spans of hits and ``carry`` for every row of documents."""
     spark = docs.sparkSession
-    docs = texts(docs)
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"),
+                       F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), *carry)
     wins = cut(windows(items, window), "benchmark-windows")
     # Shingles have one to three words; most benchmarks have only one of these sizes.
     sizes = sorted(r[0] for r in wins.select(F.least(F.size("words"), F.lit(SHINGLE)).alias("k")).distinct().collect())
@@ -100,12 +101,14 @@ def contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> Da
                                              around=[w.text(j) for j in range(low, high)]))
                 rows = slice(w.first, w.first + w.n_docs)
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column("row")[rows], batch.column("doc_id")[rows], pa.array(n, pa.int64()), pa.array(found, _FOUND)],
-                    ["row", "doc_id", "n_words", "found"])
-
-    read = cut(docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", "text").mapInArrow(
-        probe, "row long, doc_id long, n_words long, "
-               "found array<struct<shingle:long,place:int,before:int,around:array<string>>>"), "prefix-hits")
+                    [batch.column("row")[rows], batch.column("doc_id")[rows], pa.array(n, pa.int64()), pa.array(found, _FOUND),
+                     *[batch.column(c)[rows] for c in carry]], ["row", "doc_id", "n_words", "found", *carry])
+
+    schema = spark.createDataFrame([], "row long, doc_id long, n_words long, "
+                                       "found array<struct<shingle:long,place:int,before:int,around:array<string>>>").schema
+    for c in carry:
+        schema.add(docs.schema[c])
+    read = cut(docs.select(F.monotonically_increasing_id().alias("row"), *docs.columns).mapInArrow(probe, schema), "prefix-hits")
     places = read.select("row", F.explode("found").alias("f")).select("row", "f.*") \
         .withColumn("salt", F.pmod(F.hash("row"), F.lit(SPREAD)))
     spread = index.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SPREAD - 1)))).withColumnRenamed("place", "inner")
@@ -117,11 +120,11 @@ def contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> Da
         F.collect_set(F.struct((F.col("place") - F.col("inner")).alias("s"), F.size("words").alias("n"))).alias("spans"),
         F.array_sort(F.array_distinct(F.flatten(F.collect_set("items")))).alias("items"))
     hit = F.size(F.array_distinct(F.flatten(F.transform("spans", lambda x: F.sequence(x["s"], x["s"] + x["n"] - 1)))))
-    return read.select("row", "doc_id", "n_words").join(per_row.select(
+    return read.select("row", "doc_id", "n_words", *carry).join(per_row.select(
         "row", "items", hit.cast("long").alias("n_hit"),
         F.array_sort("spans").alias("spans")), "row", "left").select(
         "doc_id", "n_words", F.coalesce("n_hit", F.lit(0).cast("long")).alias("n_hit"),
-        F.coalesce("items", F.array().cast("array<string>")).alias("items"), "spans")
+        F.coalesce("items", F.array().cast("array<string>")).alias("items"), "spans", *carry)
 
 
 _FOUND = pa.list_(pa.struct([("shingle", pa.int64()), ("place", pa.int32()), ("before", pa.int32()),

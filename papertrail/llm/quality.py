@@ -213,19 +213,17 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS) -> Additive:
     return fit(x, got["y"].to_numpy(float))
 
 
-def scored(docs: DataFrame, model: Additive, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """The columns ``keep`` and the score of every row."""
-    spark = docs.sparkSession
-    sent = spark.sparkContext.broadcast(model)  # tables of fixed size
-    narrow = docs.select(*keep, F.coalesce(F.col(text).cast("string"), F.lit("")).alias("_text"))
+def scored(docs: DataFrame, model: Additive, score: str = "score") -> DataFrame:
+    """``docs`` with a column of that name added."""
+    sent = docs.sparkSession.sparkContext.broadcast(model)  # tables of fixed size
 
     def add(batches):
         for batch in batches:
-            score = sent.value.score(figures(*utf8(batch.column("_text"))))
-            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in keep], pa.array(score)], [*keep, "score"])
+            values = sent.value.score(figures(*utf8(batch.column("text"))))
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(values)], [*batch.schema.names, score])
 
-    schema = narrow.select(*keep).schema.add("score", "double")
-    return narrow.mapInArrow(add, schema)
+    docs = docs.withColumn("text", F.col("text").cast("string"))
+    return docs.mapInArrow(add, type(docs.schema)(list(docs.schema.fields)).add(score, "double"))
 
 
 def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -22,9 +22,9 @@ row each; an empty table gives no rows; further columns are not read.
 
 from __future__ import annotations
 
-import hashlib
 import math
 import re
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -116,11 +116,25 @@ def band(n: int) -> int:
     return sum(n >= b for b in _BANDS)
 
 
-def scan(docs: DataFrame, keep: float = 0.001, rate: float = 0.01) -> DataFrame:
-    """doc_id, base spans and random spans of every text: arrays of (start, kind, end)."""
-    spark = docs.sparkSession
-    span = "array<struct<start:int,kind:int,end:int>>"
+@dataclass
+class Rules:
+    """log10 frequency of each character of ordinary text by encoding; least evidence (tenths) by length band."""
+
+    ordinary: dict[str, dict[str, float]]
+    least: list[int]
+    keep: float
+
+    def evidence(self, run: str, encoding: str) -> int:
+        logs = self.ordinary[encoding]
+        e = sum(-math.log10(len(logs)) - logs[c] for c in run)
+        return int(min(_EVIDENCE, max(0, 10 * e)))
+
+    def holds(self, run: str, encoding: str, p: float) -> bool:
+        return p > self.keep and self.evidence(run, encoding) >= self.least[band(len(run))]
 
+
+def found(docs: DataFrame) -> DataFrame:
+    """doc_id, base spans, and candidates of the battery with their p-values, of every text."""
     def find(batches):
         for batch in batches:
             spans, runs = [], []
@@ -131,14 +145,18 @@ def scan(docs: DataFrame, keep: float = 0.001, rate: float = 0.01) -> DataFrame:
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id"), pa.array(spans, _SPAN), pa.array(runs, _CANDIDATE)], ["doc_id", "spans", "runs"])
 
-    found = cut(texts(docs).mapInArrow(
-        find, f"doc_id long, spans {span}, runs array<struct<start:int,end:int,run:string,encoding:string,p:double>>"),
+    return cut(texts(docs).mapInArrow(
+        find, f"doc_id long, spans {_SPANS}, runs array<struct<start:int,end:int,run:string,encoding:string,p:double>>"),
         "secret-candidates")
-    runs = found.select(F.explode("runs").alias("r")).select("r.*")
+
+
+def learn(candidates_: DataFrame, keep: float = 0.001, rate: float = 0.01) -> Rules:
+    """Rules from the candidates of all documents."""
+    runs = candidates_.select(F.explode("runs").alias("r")).select("r.*")
     # Ordinary text: characters of the runs that failed, by encoding (one row per encoding and character).
     rows = runs.filter(F.col("p") <= keep).select("encoding", F.explode(F.split("run", "")).alias("c")) \
         .filter("c <> ''").groupBy("encoding", "c").count().collect()
-    # Without such runs in an encoding, the letters of all of them stand for ordinary text.
+    # Without many such runs in an encoding, the letters of all of them stand for ordinary text.
     ordinary: dict[str, dict[str, float]] = {}
     for name, chars in _ALPHABETS:
         own = {r["c"]: r["count"] for r in rows if r["encoding"] == name}
@@ -149,45 +167,66 @@ def scan(docs: DataFrame, keep: float = 0.001, rate: float = 0.01) -> DataFrame:
                     own[r["c"]] = own.get(r["c"], 0) + r["count"]
         total = sum(own.values()) + len(chars)
         ordinary[name] = {c: math.log10((own.get(c, 0) + 1) / total) for c in chars}
+    rules = Rules(ordinary, [], keep)
 
-    def evidence(run: str, encoding: str) -> float:
-        k, logs = len(_RANKS[encoding]), ordinary[encoding]
-        return sum(-math.log10(k) - logs[c] for c in run)
-
-    @F.pandas_udf("int")
-    def tenths(run, encoding):
-        import pandas as pd
-        return pd.Series([int(min(_EVIDENCE, max(0, 10 * evidence(r, c)))) for r, c in zip(run, encoding)], dtype="int32")
-
-    @F.pandas_udf("int")
-    def banded(run):
-        import pandas as pd
-        return pd.Series([band(len(r)) for r in run], dtype="int32")
+    def measure(batches):
+        for batch in batches:
+            runs_, codes = batch.column("run").to_pylist(), batch.column("encoding").to_pylist()
+            e = [rules.evidence(r, c) if p > keep else 0 for r, c, p in zip(runs_, codes, batch.column("p").to_pylist())]
+            yield pa.RecordBatch.from_arrays([pa.array([band(len(r)) for r in runs_], pa.int32()), pa.array(e, pa.int32())],
+                                             ["band", "e"])
 
-    tests = runs.groupBy(banded("run").alias("band"), F.when(F.col("p") > keep, tenths("run", "encoding"))
-                         .otherwise(0).alias("e")).count().collect()  # at most 5 * 401 rows
     counts = np.zeros((len(_BANDS) + 1, _EVIDENCE + 1))
-    for r in tests:
+    for r in runs.mapInArrow(measure, "band int, e int").groupBy("band", "e").count().collect():  # at most 5 * 401 rows
         counts[r["band"], r["e"]] += r["count"]
-    least = []
     for row in counts:  # step-up rule: the least e with m / (rate * number at or above e) <= 10^e
         m, above = row.sum(), np.cumsum(row[::-1])[::-1]
         fits = [e for e in range(1, _EVIDENCE + 1) if above[e] and 10 ** (e / 10) >= m / (rate * above[e])]
-        least.append(min(fits, default=_EVIDENCE + 1))
+        rules.least.append(min(fits, default=_EVIDENCE + 1))
+    return rules
+
+
+def scan(docs: DataFrame, keep: float = 0.001, rate: float = 0.01) -> DataFrame:
+    """doc_id, base spans and random spans of every text: arrays of (start, kind, end)."""
+    seen = found(docs)
+    rules = learn(seen, keep, rate)
 
     def choose(batches):
         for batch in batches:
-            out = []
-            for runs_ in batch.column("runs").to_pylist():
-                out.append([dict(start=r["start"], kind=3, end=r["end"]) for r in runs_
-                            if r["p"] > keep and int(min(_EVIDENCE, max(0, 10 * evidence(r["run"], r["encoding"]))))
-                            >= least[band(len(r["run"]))]])
+            out = [[dict(start=r["start"], kind=3, end=r["end"]) for r in runs if rules.holds(r["run"], r["encoding"], r["p"])]
+                   for runs in batch.column("runs").to_pylist()]
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id"), batch.column("spans"), pa.array(out, _SPAN)], ["doc_id", "base", "random"])
 
-    return found.mapInArrow(choose, f"doc_id long, base {span}, random {span}")
+    return seen.mapInArrow(choose, f"doc_id long, base {_SPANS}, random {_SPANS}")
+
 
+def redacted(docs: DataFrame, keep: float = 0.001, rate: float = 0.01) -> DataFrame:
+    """``docs`` with every span replaced by its kind in angle brackets; texts without a span stay as they are."""
+    rules = learn(found(docs), keep, rate)
 
+    def rewrite(batches):
+        for batch in batches:
+            out = []
+            for text in batch.column("text").to_pylist():
+                if text:
+                    base = base_spans(text)
+                    spans = base + [(s, 3, e) for s, e, *run in candidates(text, base) if rules.holds(*run)]
+                    pieces, at = [], 0
+                    for s, k, e in sorted(spans):
+                        if e > at:  # what overlaps an earlier span goes with it
+                            pieces += [text[at:s], f"<{KINDS[k]}>"] if s >= at else []
+                            at = e
+                    text = "".join([*pieces, text[at:]]) if spans else text
+                out.append(text)
+            at = batch.schema.names.index("text")
+            yield batch.set_column(at, "text", pa.array(out, pa.string()))
+
+    docs = docs.withColumn("text", F.col("text").cast("string"))
+    return docs.mapInArrow(rewrite, docs.schema)
+
+
+_SPANS = "array<struct<start:int,kind:int,end:int>>"
 _SPAN = pa.list_(pa.struct([("start", pa.int32()), ("kind", pa.int32()), ("end", pa.int32())]))
 _CANDIDATE = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("run", pa.string()),
                                  ("encoding", pa.string()), ("p", pa.float64())]))
@@ -199,9 +238,9 @@ def _joined(spans):
         F.get(names, x["kind"]), F.lit(":"), x["start"].cast("string"), F.lit(":"), x["end"].cast("string"))), ",")
 
 
-def summary(found: DataFrame) -> DataFrame:
+def summary(scanned: DataFrame) -> DataFrame:
     counts = [F.size(F.filter("base", lambda x, k=k: x["kind"] == k)).cast("long").alias(f"n_{KINDS[k]}") for k in range(3)]
-    return found.select("doc_id", *counts, F.sha2(_joined("base").cast("binary"), 256).alias("base_sha256"),
+    return scanned.select("doc_id", *counts, F.sha2(_joined("base").cast("binary"), 256).alias("base_sha256"),
                         _joined(F.sort_array(F.concat("base", "random"))).alias("spans"))
 
 

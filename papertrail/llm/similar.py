@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from papertrail.llm import bloom, scan
-from papertrail.llm.common import cut, table, texts, utf8
+from papertrail.llm.common import cut, table, utf8
 
 SHINGLE, PERCENT = 3, 90
 #: Bits of the table of repeated signatures: 2^26, 8 MB.
@@ -154,10 +154,11 @@ def components(edges: DataFrame) -> DataFrame:
             return labels
 
 
-def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
-    """doc_id, n_shingles, component (a label), component_id of every row."""
+def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT, carry: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, n_shingles, component_id, label (one per component; null without shingles) and ``carry`` of every row."""
     spark = docs.sparkSession
-    docs = texts(docs)
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"),
+                       F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), *carry)
 
     def describe(batches):
         for batch in batches:
@@ -169,11 +170,13 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERC
                 sig.append(signatures(s, percent).view(np.int64) if len(s) else None)
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(key, pa.int64()),
-                 pa.array(sk, pa.list_(pa.int64())), pa.array(sig, pa.list_(pa.int64()))],
-                ["doc_id", "n", "key", "sketch", "sigs"])
+                 pa.array(sk, pa.list_(pa.int64())), pa.array(sig, pa.list_(pa.int64())), *[batch.column(c) for c in carry]],
+                ["doc_id", "n", "key", "sketch", "sigs", *carry])
 
-    described = cut(docs.mapInArrow(
-        describe, "doc_id long, n long, key long, sketch array<long>, sigs array<long>"), "shingle-sets")
+    schema = spark.createDataFrame([], "doc_id long, n long, key long, sketch array<long>, sigs array<long>").schema
+    for c in carry:
+        schema.add(docs.schema[c])
+    described = cut(docs.mapInArrow(describe, schema), "shingle-sets")
     groups = _groups(described)
     nodes = cut(described.join(groups.select("key").distinct(), "key", "left_semi").groupBy("key")
                 .agg(F.first("n").alias("n"), F.first("sketch").alias("sketch")), "nodes")
@@ -222,9 +225,9 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERC
     placed = own.join(labels, "key", "left").select("key", "least", F.coalesce("label", "key").alias("label"))
     least = placed.groupBy("label").agg(F.min("least").alias("component_id"))
     ids = placed.select("key", "label").join(least, "label")
-    return described.select("doc_id", "n", "key").join(ids, "key", "left").select(
+    return described.select("doc_id", "n", "key", *carry).join(ids, "key", "left").select(
         "doc_id", F.col("n").alias("n_shingles"), F.when(F.col("key").isNull(), F.col("doc_id"))
-        .otherwise(F.col("component_id")).alias("component_id"), "label")
+        .otherwise(F.col("component_id")).alias("component_id"), "label", *carry)
 
 
 def _groups(described: DataFrame) -> DataFrame:
