@@ -109,8 +109,9 @@ def edited_fingerprints(docs: DataFrame, k: int = WORDS_PER_KMER) -> DataFrame:
     ids = cut(followers(keyed.groupBy("k").agg(F.max(F.length("text")).alias("n"), F.min("h").alias("first_h"))), "order")
     need = ids.select(F.col("k").alias("for_k"), F.col("next_k").alias("k"), F.floor(F.col("n") / 3).cast("int").alias("want")) \
         .join(ids.select("k", F.col("first_h").alias("h")), "k")
-    # Both joins read ``keyed`` dealt out by k, so that its texts are shuffled once.
-    heads = keyed.join(need.withColumnRenamed("h", "first_h"), "k").filter("h = first_h") \
+    # Both joins read ``keyed`` dealt out by k alone, so that its texts are shuffled once: the text hash is compared in a
+    # form that does not make it a join key.
+    heads = keyed.join(need.withColumnRenamed("h", "first_h"), "k").filter(F.col("h").bitwiseXOR(F.col("first_h")) == 0) \
         .select("for_k", F.expr("substring(text, 1, want)").alias("head")) \
         .groupBy("for_k").agg(F.max("head").alias("head"))
     joined = keyed.join(heads.withColumnRenamed("for_k", "k"), "k")
