@@ -16,13 +16,13 @@ def _places(h: Column, bits: int) -> list[Column]:
 
 
 def build(keys: DataFrame, column: str, bits: int = BITS) -> np.ndarray:
-    """Bytes of the bit table of a long column."""
+    """Bytes of the bit table of a long column; words of 64 bits are put together before they reach the driver."""
     rows = keys.select(F.explode(F.array(*_places(F.col(column), bits))).alias("p")) \
-        .groupBy(F.shiftright("p", 3).alias("byte")) \
-        .agg(F.expr("bit_or(shiftleft(1, cast(p & 7 as int)))").alias("v")).toPandas()  # at most 2^(bits - 3) rows
-    table = np.zeros(1 << (bits - 3), np.uint8)
-    table[rows["byte"].to_numpy(np.int64)] = rows["v"].to_numpy(np.int64).astype(np.uint8)
-    return table
+        .groupBy(F.shiftright("p", 6).alias("word")) \
+        .agg(F.expr("bit_or(shiftleft(1L, cast(p & 63 as int)))").alias("v")).toPandas()  # at most 2^(bits - 6) rows
+    table = np.zeros(1 << (bits - 6), "<i8")
+    table[rows["word"].to_numpy(np.int64)] = rows["v"].to_numpy(np.int64)
+    return table.view(np.uint8)
 
 
 def test(table: np.ndarray, h: np.ndarray) -> np.ndarray:
