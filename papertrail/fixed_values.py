@@ -166,7 +166,7 @@ DEFAULT_TRIGGER_ENDPOINT = "/api/documents/"
 TRIGGER_METHOD = "POST"
 SCHEMA_VERSION = "1.0"
 
-# group -> [(leaf, source field, taken from the record's metadata?)]
+# group -> [(leaf, source field)]
 STRUCTURED_LAYOUT = {
     "invoice": {
         "invoice_details": [("number", "invoice_number"), ("date", "invoice_date"),

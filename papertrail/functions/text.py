@@ -4,21 +4,58 @@ dynamic-typed text tools: Unicode classes, ``.`` stopping only at ``\\n``, NULL
 
 from __future__ import annotations
 
+import re
+import unicodedata
+
 from pyspark.sql import Column, functions as F
 
+from papertrail import fixed_values as V
+
 _EXTRA_SPACE = r"\x1c-\x1f"
+_WORD = r"\p{L}\p{N}_"
+#: Stands for a user's pattern that does not compile.
+BAD_PATTERN = "Invalid pattern"
+_DIGITS = [chr(c) for c in range(128, 0x20000) if unicodedata.category(chr(c)) == "Nd"]
+
+
+def user_pattern(pattern: str | None) -> str | None:
+    """A user's pattern in the dialect of ``re`` for java.util.regex, or BAD_PATTERN."""
+    if pattern is None:
+        return None
+    try:
+        re.compile(pattern)
+    except re.error:
+        return BAD_PATTERN
+    return re.sub(r"\(\?P<(\w+)>", lambda m: f"(?<{m[1].replace('_', '')}>", pattern)
+
+
+def ascii_digits(col: Column) -> Column:
+    """Decimal digits of every script as ASCII digits."""
+    return F.when(col.rlike(r"[^\x00-\x7f]"), F.translate(
+        col, "".join(_DIGITS), "".join(str(unicodedata.decimal(c)) for c in _DIGITS))).otherwise(col)
+
+
+#: Patterns with an equivalent that takes linear time.  A run of blanks before an amount is taken from its first blank
+#: only; from any other the match would have begun earlier.
+LINEAR = {V.PATTERNS["amount"]: r"(?:\$\s*+|(?<!\s)\s++)?\d{1,3}(?:,\d{3})*(?:\.\d{2})?"}
 
 
 def java_regex(pattern: str, ignore_case: bool = False, dotall: bool = False) -> str:
     """Adapt a pattern to java.util.regex: ``U`` = Unicode classes and case,
     ``d`` = only ``\\n`` ends a line; ``\\s`` also covers the four separators
-    U+001C..U+001F."""
+    U+001C..U+001F, and words are made of letters, all kinds of numbers and ``_``
+    (no combining marks)."""
+    pattern = LINEAR.get(pattern, pattern)
     out, in_class, i = [], False, 0
     while i < len(pattern):
         step = 2 if pattern[i] == "\\" else 1
         token = pattern[i:i + step]
         if token == r"\s":
             token = r"\s" + _EXTRA_SPACE if in_class else rf"[\s{_EXTRA_SPACE}]"
+        elif token == r"\w":
+            token = _WORD if in_class else f"[{_WORD}]"
+        elif token == r"\b" and not in_class:
+            token = f"(?:(?<=[{_WORD}])(?![{_WORD}])|(?<![{_WORD}])(?=[{_WORD}]))"
         elif token == "[":
             in_class = True
         elif token == "]":
@@ -77,12 +114,12 @@ def parse_amount(col: Column) -> Column:
     take those for white space.
     """
     return F.when(~col.rlike(r"\A[\x00-\x7f]*[\x1c-\x1f][\x00-\x7f]*\z"),
-                  F.regexp_replace(col, "[^0-9.]", "").try_cast("double"))
+                  F.regexp_replace(ascii_digits(col), "[^0-9.]", "").try_cast("double"))
 
 
 def parse_float(col: Column) -> Column:
     """Float of free text, NULL when it is not a number."""
-    text = strip(col)
+    text = ascii_digits(strip(col))
     return F.when(text.rlike(_FLOAT), F.replace(text, F.lit("_"), F.lit("")).try_cast("double")) \
         .when(text.rlike(_FLOAT_NAME), text.try_cast("double"))
 

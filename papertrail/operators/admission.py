@@ -64,17 +64,18 @@ def security_events(df: DataFrame, name: str = "original_filename",
 
 
 def first_copies(df: DataFrame, hash_col: str = "content_hash", id_col: str = "document_id") -> DataFrame:
-    """One row per content hash: the smallest id.
+    """One row per content hash: the smallest id.  Rows without a hash are no copies of each other and stay.
 
     Copies are counted down on the map side (``min`` per hash), then rows are kept by their unique id,
     so a hash shared by a third of all rows is no hot key anywhere.
     """
-    keepers = df.groupBy(hash_col).agg(F.min(id_col).alias(id_col)).select(id_col)
+    alone = F.when(F.col(hash_col).isNull(), F.col(id_col))
+    keepers = df.groupBy(hash_col, alone.alias("_alone")).agg(F.min(id_col).alias(id_col)).select(id_col)
     return df.join(keepers, id_col, "left_semi")
 
 
 def copy_groups(df: DataFrame, hash_col: str = "content_hash", id_col: str = "document_id") -> DataFrame:
-    return df.groupBy(hash_col).agg(
+    return df.filter(F.col(hash_col).isNotNull()).groupBy(hash_col).agg(
         F.count(F.lit(1)).alias("n_copies"), F.min(id_col).alias("first_id")) \
         .filter(F.col("n_copies") > 1)
 

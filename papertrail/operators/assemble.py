@@ -7,7 +7,6 @@ from collections.abc import Callable, Iterator
 from pyspark.sql import Column, DataFrame, functions as F
 
 from papertrail.functions.text import java_regex
-from papertrail.operators.joins import join_small
 
 PAGE_BREAK = "\n\n"
 PRIMARY_CONFIDENCE, FALLBACK_CONFIDENCE = 0.95, 0.7
@@ -30,38 +29,27 @@ def _join_pages(group: Column) -> Column:
 
 def page_segments(pages: DataFrame, pages_per_segment: int = 512) -> DataFrame:
     """Text by (document_id, segment): runs of at most ``pages_per_segment`` page numbers."""
-    segment = F.floor((F.col("page_number") - 1) / pages_per_segment).cast("long")
+    segment = F.floor(F.col("page_number") / pages_per_segment).cast("long")
     return pages.filter(F.col("text") != "").groupBy("document_id", segment.alias("segment")).agg(
         F.count(F.lit(1)).alias("n_pages"), F.sum("confidence").alias("confidence_sum"),
         F.sum(word_count(F.col("text"))).alias("n_words"),
         _join_pages(F.collect_list(F.struct("page_number", "text"))).alias("text"))
 
 
-def assemble_pages(pages: DataFrame, pages_per_segment: int = 512, max_segments: int = 512) -> DataFrame:
-    """(document_id, total_pages, processed_pages, n_words, average_confidence, full_text, in_segments).
+def assemble_pages(pages: DataFrame, pages_per_segment: int = 512) -> DataFrame:
+    """(document_id, total_pages, processed_pages, n_words, average_confidence, full_text).
 
-    Text is gathered by bounded runs of pages, so no task holds a whole huge document.  Documents that
-    fit one run, nearly all, are finished by that one shuffle; only the longer ones are gathered again.
-    A document of more than ``max_segments`` runs does not fit one value: its ``full_text`` is NULL,
-    ``in_segments`` is true and ``page_segments`` holds the text.
+    Pages are gathered by runs of page numbers and the runs by document, so a huge document's pages are joined by many
+    tasks.  ``page_segments`` is the form to go on with where one string of a whole document is not asked for.
     """
-    segments = page_segments(pages, pages_per_segment)
-    long_ids = pages.filter((F.col("page_number") > pages_per_segment) & (F.col("text") != "")) \
-        .select("document_id").distinct()
-    totals = [F.col("n_pages").alias("total_pages"), F.col("n_pages").alias("processed_pages"), "n_words",
-              (F.col("confidence_sum") / F.col("n_pages")).alias("average_confidence")]
-    short = join_small(segments, long_ids, "document_id", "left_anti").select(
-        "document_id", *totals, F.col("text").alias("full_text"), F.lit(False).alias("in_segments"))
-    fits = F.col("segment") < max_segments
-    long = join_small(segments, long_ids, "document_id", "left_semi").groupBy("document_id").agg(
+    merged = page_segments(pages, pages_per_segment).groupBy("document_id").agg(
         F.sum("n_pages").alias("n_pages"), F.sum("n_words").alias("n_words"),
-        F.sum("confidence_sum").alias("confidence_sum"), F.max("segment").alias("_last"),
-        F.array_join(F.transform(F.array_sort(F.collect_list(F.when(fits, F.struct("segment", "text")))),
-                                 lambda s: s["text"]), PAGE_BREAK).alias("text"))
-    over = F.col("_last") >= max_segments
-    return short.unionByName(long.select(
-        "document_id", *totals, F.when(~over, F.col("text")).alias("full_text"),
-        over.alias("in_segments")))
+        F.sum("confidence_sum").alias("confidence_sum"),
+        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("segment", "text"))), lambda s: s["text"]),
+                     PAGE_BREAK).alias("full_text"))
+    return merged.select(
+        "document_id", F.col("n_pages").alias("total_pages"), F.col("n_pages").alias("processed_pages"), "n_words",
+        (F.col("confidence_sum") / F.col("n_pages")).alias("average_confidence"), "full_text")
 
 
 def with_empty_documents(manifest: DataFrame, assembled: DataFrame) -> DataFrame:

@@ -72,7 +72,7 @@ def invoice_fields(text: Column, dates: Column, amounts: Column) -> Column:
         _field("due_date", F.get(dates, F.lit(1)), 0.7),
         _number("total_amount", F.array_max(amounts), 0.8),
         _number("subtotal", F.get(F.sort_array(amounts, asc=False), F.lit(1)), 0.6),
-        _number("tax_amount", T.search(text, V.TAX_PATTERN, 1).try_cast("double"), 0.7),
+        _number("tax_amount", T.ascii_digits(T.search(text, V.TAX_PATTERN, 1)).try_cast("double"), 0.7),
         _field("po_number", T.search(text, V.PATTERNS["po_number"], 1), 0.8))
 
 
@@ -82,13 +82,13 @@ def receipt_fields(text: Column, dates: Column) -> Column:
         _field("merchant_name", _first_line(text, 3), 0.8),
         _field("transaction_date", F.get(dates, F.lit(0)), 0.9),
         _number("total_amount",
-                T.search(text, V.RECEIPT_TOTAL_PATTERN, 1).try_cast("double"), 0.9),
+                T.ascii_digits(T.search(text, V.RECEIPT_TOTAL_PATTERN, 1)).try_cast("double"), 0.9),
         _field("payment_method", payment, 0.8),
         _field("receipt_number", T.search(text, V.RECEIPT_NUMBER_PATTERN, 1), 0.8))
 
 
 def contract_fields(text: Column) -> Column:
-    amount = F.replace(T.search(text, V.CONTRACT_VALUE_PATTERN, 1), F.lit(","), F.lit(""))
+    amount = T.ascii_digits(F.replace(T.search(text, V.CONTRACT_VALUE_PATTERN, 1), F.lit(","), F.lit("")))
     return _present(
         _field("party1", T.strip(T.search(text, V.PARTY_PATTERN, 1)), 0.8),
         _field("party2", T.strip(T.search(text, V.PARTY_PATTERN, 2)), 0.8),

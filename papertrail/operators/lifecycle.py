@@ -140,12 +140,15 @@ def attempt_fold(log: DataFrame, error: str, key: str = "job_id") -> DataFrame:
 def fold_stage_runs(runs: DataFrame, key: str = "document_id") -> DataFrame:
     """Long stage runs (key, stage, status, error) to one row per key.
 
-    The first failed stage in pipeline order stops the document; without one it is completed.
+    The first failed stage in pipeline order stops the document.  Without one it is completed when every stage has
+    completed; else its stage is the first that has not, whether it is under way, waiting or absent.
     """
     place = F.array_position(F.array(*[F.lit(s) for s in V.STAGES]), F.col("stage"))
     first = F.min(F.when(F.col("status") == "failed", F.struct(place.alias("place"), "stage", "error")))
-    return runs.groupBy(key).agg(first.alias("f")).select(
-        key, F.when(F.col("f").isNull(), "completed").otherwise("failed").alias("stage"),
+    done = [F.max(((F.col("stage") == s) & (F.col("status") == "completed")).cast("int")).alias(f"_{s}") for s in V.STAGES]
+    open_ = F.coalesce(*[F.when(F.coalesce(f"_{s}", F.lit(0)) == 0, s) for s in V.STAGES])
+    return runs.groupBy(key).agg(first.alias("f"), *done).select(
+        key, F.when(F.col("f").isNotNull(), "failed").otherwise(F.coalesce(open_, F.lit("completed"))).alias("stage"),
         F.col("f.stage").alias("failed_stage"), _failure_text(F.col("f.stage"), F.col("f.error")).alias("error"))
 
 
@@ -203,9 +206,12 @@ def rate_admission(log: DataFrame, client: str, window: str, limit: int) -> Data
     Only the first ``limit`` requests of a window are ranked (the rank filter is applied before the
     shuffle too); all rows are then compared with their window's last admitted one.
     """
-    keyed = log.withColumn("_start", F.window("ts", window)["start"])
+    keyed = log.filter(F.col("ts").isNotNull()).withColumn("_start", F.window("ts", window)["start"])
     rank = F.row_number().over(Window.partitionBy(client, "_start").orderBy(*ORDER))
     cut = keyed.select(client, "_start", *ORDER).withColumn("_rank", rank).filter(F.col("_rank") <= limit) \
         .groupBy(client, "_start").agg(F.max(F.struct(*ORDER)).alias("_cut"))
-    return keyed.join(cut, [client, "_start"]).withColumn("admitted", F.struct(*ORDER) <= F.col("_cut")) \
-        .drop("_start", "_cut")
+    cut = cut.withColumnsRenamed({client: "_client", "_start": "_from"})
+    judged = keyed.join(cut, F.col(client).eqNullSafe(F.col("_client")) & (F.col("_start") == F.col("_from"))) \
+        .withColumn("admitted", F.struct(*ORDER) <= F.col("_cut")).select(*log.columns, "admitted")
+    # A request without a time belongs to no window: its row stays, undecided.
+    return judged.unionByName(log.filter(F.col("ts").isNull()).withColumn("admitted", F.lit(None).cast("boolean")))

@@ -76,7 +76,8 @@ def condition_holds(condition: dict, lookup=_pick) -> Column:
             if op in constraint:
                 bound, measured = float(constraint[op]), T.as_number(value, number)
                 inside = measured >= bound if op == "$gte" else measured <= bound
-                result = result & (~T.truthy(value, number) | F.coalesce(inside, F.lit(False)))
+                # No comparison with NaN fails.
+                result = result & (~T.truthy(value, number) | F.coalesce(inside | F.isnan(measured), F.lit(False)))
     return result
 
 

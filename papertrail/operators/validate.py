@@ -11,10 +11,8 @@ from papertrail import fixed_values as V
 from papertrail.functions import text as T
 from papertrail.functions.fence import fence
 from papertrail.functions.memo import memoized
-from papertrail.operators.joins import fits, join_small
 
 PASSED = "Validation passed"
-MAX_RULES = 10_000
 RULE_TYPE = ("array<struct<position:int,field:string,rule:string,fmt:string,min_val:double,"
              "max_val:double,min_text:string,max_text:string,pattern:string,message:string,"
              "severity:string>>")
@@ -30,10 +28,18 @@ def rule_rows(rules: list[tuple] | None = None) -> list[tuple]:
         rows.append((kind, position, field, rule, given.get("format"),
                      None if low is None else float(low), None if high is None else float(high),
                      None if low is None else str(low), None if high is None else str(high),
-                     given.get("pattern"), message, severity))
+                     T.user_pattern(given.get("pattern")), message, severity))
     return rows
 
 
+def _translated(rules: DataFrame) -> DataFrame:
+    """The rule table (a few rows) with its patterns as ``user_pattern`` gives them."""
+    def run(batches):
+        for batch in batches:
+            yield batch.assign(pattern=batch["pattern"].map(T.user_pattern, na_action="ignore"))
+    return rules.mapInPandas(run, rules.schema)
+
+
 def _rule_literals(rows: list[tuple]) -> Column:
     return F.array(*[F.struct(*[F.lit(v) for v in r[1:]]) for r in rows]).cast(RULE_TYPE)
 
@@ -58,10 +64,10 @@ def attach_rules(df: DataFrame, rules: DataFrame, doc_type: str = "document_type
     """Adds ``rules`` from a rule table (document_type, position, field, rule, fmt, min_val,
     max_val, pattern, message, severity).
 
-    The table is configuration: its rows are counted (up to the bound) and a larger one is refused.
+    The table is configuration, grouped by type and joined once; the optimizer sizes the join.  A pattern that does not
+    compile fails its check with a message.
     """
-    if not fits(rules, MAX_RULES):
-        raise ValueError(f"a rule table holds at most {MAX_RULES} rules")
+    rules = _translated(rules)
     row = F.struct(
         F.col("position").cast("int").alias("position"), "field", "rule", "fmt", "min_val", "max_val",
         T.float_text(F.col("min_val")).alias("min_text"),
@@ -70,7 +76,7 @@ def attach_rules(df: DataFrame, rules: DataFrame, doc_type: str = "document_type
         .agg(F.sort_array(F.collect_list(row)).alias("r"))
     own = rules.filter(F.col("document_type") != "*").groupBy(
         F.col("document_type").alias(doc_type)).agg(F.sort_array(F.collect_list(row)).alias("_own"))
-    return join_small(df, own, doc_type, "left").withColumn("rules", F.concat(
+    return df.join(own, doc_type, "left").withColumn("rules", F.concat(
         F.coalesce(F.col("_own"), F.array().cast(RULE_TYPE)).cast(RULE_TYPE),
         general.scalar().cast(RULE_TYPE))).drop("_own")
 
@@ -118,7 +124,7 @@ CHECK_TYPE = ("array<struct<position:int,field:string,rule:string,passed:boolean
               "severity:string,value:string,value_num:double>>")
 
 
-def _rule_check(rule: Column, hit: Column) -> Column:
+def _rule_check(rule: Column, hit: Column, custom: dict | None = None) -> Column:
     value, number = hit["value"], hit["value_num"]
     present = value.isNotNull() | number.isNotNull()
     amount = T.as_number(value, number)
@@ -130,22 +136,25 @@ def _rule_check(rule: Column, hit: Column) -> Column:
             rule["message"])) \
         .when(rule["rule"] == "range", F.when(present, F.when(
             amount.isNull(), F.lit("Value is not numeric")).when(
-            amount < rule["min_val"], F.concat(F.lit("Value "), T.float_text(amount), F.lit(
+            ~F.isnan(amount) & (amount < rule["min_val"]), F.concat(F.lit("Value "), T.float_text(amount), F.lit(
                 " is below minimum "), rule["min_text"])).when(
-            amount > rule["max_val"], F.concat(F.lit("Value "), T.float_text(amount), F.lit(
+            ~F.isnan(amount) & (amount > rule["max_val"]), F.concat(F.lit("Value "), T.float_text(amount), F.lit(
                 " exceeds maximum "), rule["max_text"])))) \
         .when(rule["rule"] == "regex", F.when(
-            T.truthy(value, number) & rule["pattern"].isNotNull() & ~F.regexp_like(
-                text, F.concat(F.lit(r"(?Ud)\A(?:"), rule["pattern"], F.lit(")"))),
-            rule["message"]))
+            T.truthy(value, number) & rule["pattern"].isNotNull(),
+            F.when(rule["pattern"] == T.BAD_PATTERN, F.lit(T.BAD_PATTERN)).when(
+                ~F.regexp_like(text, F.concat(F.lit(r"(?Ud)\A(?:"), rule["pattern"], F.lit(")"))), rule["message"])))
+    for name, passes in (custom or {}).items():  # the rule's format names the function
+        failure = F.when((rule["rule"] == "custom") & (rule["fmt"] == name), F.when(
+            present & ~F.coalesce(passes(value, number), F.lit(False)), rule["message"])).otherwise(failure)
     return F.struct(rule.alias("r"), failure.alias("failure"), hit.alias("hit"))
 
 
-def rule_checks(flat: Column, keys: Column, rules: Column) -> Column:
+def rule_checks(flat: Column, keys: Column, rules: Column, custom: dict | None = None) -> Column:
     """One check per rule, in rule order."""
     hits = F.transform(rules, lambda r: F.struct(r.alias("r"), F.get(
         flat, (lookup_index(keys, r["field"]) - 1).cast("int")).alias("hit")))
-    judged = F.transform(hits, lambda h: _rule_check(h["r"], h["hit"]))
+    judged = F.transform(hits, lambda h: _rule_check(h["r"], h["hit"], custom))
     return F.transform(judged, lambda j: _check(
         j["r"]["position"], j["r"]["field"], j["r"]["rule"], j["failure"].isNull(),
         F.coalesce(j["failure"], F.lit(PASSED)),
@@ -211,8 +220,12 @@ def quality_check(share: Column, threshold: float = 0.7) -> Column:
 
 
 @memoized
-def _check_steps(document_id: str, doc_type: str, strict: bool,
-                 lenient_score: float) -> list[dict[str, Column]]:
+def _check_steps(document_id: str, doc_type: str, strict: bool, lenient_score: float) -> list[dict[str, Column]]:
+    return _steps(document_id, doc_type, strict, lenient_score, None)
+
+
+def _steps(document_id: str, doc_type: str, strict: bool, lenient_score: float,
+           custom: dict | None) -> list[dict[str, Column]]:
     kind, flat = F.col(doc_type), F.col("flat")
     present = {"schema_version": F.lit(True), "document_id": F.col(document_id).isNotNull(),
                "document_type": kind.isNotNull(), "extracted_data": flat.isNotNull()}
@@ -234,7 +247,7 @@ def _check_steps(document_id: str, doc_type: str, strict: bool,
         else score >= lenient_score
     return [
         {"_keys": F.transform(flat, lambda x: x["key"]), "_share": filled_share(flat)},
-        {"_rule_checks": rule_checks(flat, F.col("_keys"), F.col("rules"))},
+        {"_rule_checks": rule_checks(flat, F.col("_keys"), F.col("rules"), custom)},
         {"checks": F.concat(F.col("_rule_checks"), structure_checks(present),
                             cross_field_checks(kind, flat), quality_check(F.col("_share")))},
         {"_failed": F.filter("checks", lambda c: ~c["passed"])},
@@ -247,11 +260,13 @@ def _check_steps(document_id: str, doc_type: str, strict: bool,
 
 def validate(df: DataFrame, rules: list[tuple] | DataFrame | None = None, strict: bool = True,
              lenient_score: float = 0.7, document_id: str = "document_id",
-             doc_type: str = "document_type") -> DataFrame:
+             doc_type: str = "document_type", custom: dict | None = None) -> DataFrame:
     """Adds checks, is_valid, validation_score, total/passed/failed_checks, errors, warnings and
     suggestions to rows that carry ``flat``.
 
     ``rules``: a rule list, a rule table, or nothing for the standard catalogue.
+    ``custom``: name -> function of (value, number) Columns to a boolean Column; a ``custom`` rule names one in its
+    format.  A custom rule without such a function passes.
     """
     if isinstance(rules, DataFrame):
         df = attach_rules(df, rules, doc_type)
@@ -259,7 +274,8 @@ def validate(df: DataFrame, rules: list[tuple] | DataFrame | None = None, strict
         df = df.withColumn("rules", rules_for(F.col(doc_type), rules))
     else:
         df = df.withColumn("rules", _standard_rules(doc_type))
-    steps = _check_steps(document_id, doc_type, strict, lenient_score)
+    steps = _steps(document_id, doc_type, strict, lenient_score, custom) if custom \
+        else _check_steps(document_id, doc_type, strict, lenient_score)
     for step in steps:
         df = df.withColumns(step)
     return fence(df.drop("_keys", "_share", "_rule_checks", "_failed", "rules"), "checks", *steps[-1])

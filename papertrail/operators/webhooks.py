@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from papertrail import fixed_values as V
-from papertrail.operators.joins import join_small
+from papertrail.functions.fence import fence
 
 
 def registry(log: DataFrame, key: str = "webhook_id", columns: tuple[str, ...] = ("url", "active", "events"),
@@ -41,37 +41,66 @@ def merge_registries(primary: DataFrame, legacy: DataFrame, key: str = "webhook_
 
 
 def delivery_gate(validated: DataFrame) -> DataFrame:
-    """Completed and valid documents, as ``document.processed`` events."""
-    return validated.filter(F.col("is_valid")).withColumn("event", F.lit(V.PROCESSED_EVENT))
+    """Completed and valid documents, as ``document.processed`` events.
+
+    A pipeline state counts where the rows carry one: ``stage`` must be ``completed`` then.
+    """
+    passed = F.col("is_valid")
+    if "stage" in validated.columns:
+        passed = passed & (F.col("stage") == "completed")
+    return validated.filter(passed).withColumn("event", F.lit(V.PROCESSED_EVENT))
+
+
+def _listed(webhooks: DataFrame) -> DataFrame:
+    return active(webhooks).withColumn("events", F.coalesce("events", F.array(*[F.lit(e) for e in V.DEFAULT_EVENTS])))
+
+
+def match_subscriptions(events: DataFrame, webhooks: DataFrame, key: str = "webhook_id") -> DataFrame:
+    """One row per event and active webhook that subscribed to it: an equi-join on the event name.
+
+    The registry is sized by the optimizer; what is too large to broadcast is joined by key, with hot names split.
+    """
+    routes = _listed(webhooks).select(key, "url", F.explode(F.array_distinct("events")).alias("event"))
+    return events.join(routes, "event").withColumns(
+        {"delivery_status": F.lit("eligible"), "reason": F.lit(None).cast("string")})
 
 
-def match_subscriptions(events: DataFrame, webhooks: DataFrame, key: str = "webhook_id",
-                        known_events: tuple[str, ...] = (V.PROCESSED_EVENT,)) -> DataFrame:
-    """One row per (event, active webhook): eligible, or skipped when not subscribed.
+def skipped_subscriptions(events: DataFrame, webhooks: DataFrame, key: str = "webhook_id") -> DataFrame:
+    """(event, webhook, n_events, reason) of active webhooks that did not subscribe to an event that occurred.
 
-    An equi-join on the event name with the routes of each known event; the registry is broadcast
-    within its row bound and otherwise joined on salted keys, so the one common event name is no hot key.
+    Counts, not a row per document: event names are few, so they travel as one map.
     """
-    routes = active(webhooks).select(
-        key, "url", F.coalesce("events", F.array(*[F.lit(e) for e in V.DEFAULT_EVENTS])).alias("events"),
-        F.explode(F.array(*[F.lit(e) for e in known_events])).alias("event"))
-    subscribed = F.array_contains("events", F.col("event"))
-    routes = routes.select(
-        "event", key, "url", F.when(subscribed, "eligible").otherwise("skipped").alias("delivery_status"),
-        F.when(~subscribed, "event_not_subscribed").alias("reason"))
-    return join_small(events, routes, "event")
+    seen = events.groupBy("event").agg(F.count(F.lit(1)).alias("n_events")) \
+        .agg(F.collect_list(F.struct("event", "n_events")).alias("seen"))
+    return _listed(webhooks).select(key, "events", F.explode(seen.scalar()).alias("e")) \
+        .filter(~F.array_contains("events", F.col("e.event"))) \
+        .select(F.col("e.event").alias("event"), key, F.col("e.n_events").alias("n_events"),
+                F.lit("skipped").alias("delivery_status"), F.lit("event_not_subscribed").alias("reason"))
+
+
+def with_payload(events: DataFrame, document_id: str = "document_id", schema: str | None = None,
+                 as_of: Column | None = None) -> DataFrame:
+    """Adds job_id and the JSON ``payload`` of each event, once per document, before any fan-out."""
+    doc = F.col(document_id).cast("string")
+    out = events.withColumn("job_id", F.sha2(F.concat_ws("|", F.lit("job"), doc), 256))
+    payload = [F.col("event"), *([as_of.alias("timestamp")] if as_of is not None else []),
+               doc.alias("document_id"), "job_id", *([F.parse_json(schema).alias("schema")] if schema else [])]
+    return fence(out.withColumn("payload", F.to_json(F.struct(*payload))), "payload")
 
 
 def outbox(matches: DataFrame, document_id: str = "document_id", key: str = "webhook_id",
            schema: str | None = None, as_of: Column | None = None) -> DataFrame:
-    """Deliveries to send: an idempotent id and the payload, for eligible matches."""
+    """Deliveries to send: an idempotent id and the payload, for eligible matches.
+
+    Matches of ``with_payload`` events carry theirs; others get it here.
+    """
     doc = F.col(document_id).cast("string")
-    payload = [F.col("event"), *([as_of.alias("timestamp")] if as_of is not None else []),
-               doc.alias("document_id"), F.sha2(F.concat_ws("|", F.lit("job"), doc), 256).alias("job_id"),
-               *([F.parse_json(schema).alias("schema")] if schema else [])]
-    return matches.filter(F.col("delivery_status") == "eligible").select(
+    matches = matches.filter(F.col("delivery_status") == "eligible")
+    if "payload" not in matches.columns:
+        matches = with_payload(matches, document_id, schema, as_of)
+    return matches.select(
         F.sha2(F.concat_ws("|", doc, F.col(key).cast("string"), F.col("event")), 256).alias("delivery_id"),
-        document_id, key, "url", F.to_json(F.struct(*payload)).alias("payload"))
+        document_id, key, "url", "payload")
 
 
 def outcome(status_code: Column, transport_error: Column) -> Column:
@@ -90,8 +119,10 @@ def delivery_rollup(deliveries: DataFrame, *keys: str) -> DataFrame:
 
 
 def delivery_details(deliveries: DataFrame, *keys: str, order: str = "delivery_id") -> DataFrame:
-    """The details list in long form: position of each delivery within its key's report.
+    """The details list in long form: ``position`` of each delivery within its key's report, from 0.
 
     Stays long on purpose: a report may have any number of deliveries.
     """
-    return deliveries.select(*keys, order, "webhook_id", "delivery_status", "status_code", "response_time_ms")
+    place = F.row_number().over(Window.partitionBy(*keys).orderBy(order)) - 1
+    return deliveries.select(*keys, order, *[c for c in ("webhook_id",) if c not in keys], "delivery_status",
+                             "status_code", "response_time_ms").withColumn("position", place)

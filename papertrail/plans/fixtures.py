@@ -108,13 +108,8 @@ VIEWS = {
 }
 
 
-# Key to spread a small scan by; large scans are left as they are.
-SPREAD = {"orders": ["o_orderkey"], "documents": ["doc_id"], "events": ["event_id"],
-          "conversations": ["conv_id", "turn"], "pages": ["page_id"], "lineitem": ["l_orderkey"]}
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return read_table(spark, f"{sf_dir}/{name}.parquet", SPREAD.get(name, []))
+    return read_table(spark, f"{sf_dir}/{name}.parquet")
 
 
 def bound_sql(name: str) -> str:

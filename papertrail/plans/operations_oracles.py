@@ -138,9 +138,13 @@ SELECT k.document_id, source, count(p.text) AS n_pages, round(coalesce(avg(confi
  'Analysis failed: no text to analyze' END AS error, CASE failed_stage WHEN 'classification' THEN 1 WHEN 'ocr' THEN 2 WHEN 'analysis' THEN 3 ELSE 5 END AS stages_run FROM s"""
     order = "list_position(" + "[" + ", ".join(q(s) for s in V.STAGES) + "], stage)"
     label = "CASE stage " + " ".join(f"WHEN '{s}' THEN {q(t)}" for s, t in V.STAGE_LABELS.items()) + " END"
-    sql["stage_run_fold"] = L + FOLD + f""", ff AS (SELECT job_id, stage, error, row_number() OVER (PARTITION BY job_id ORDER BY {order}) AS rn FROM runs WHERE status = 'failed')
-SELECT j.job_id, CASE WHEN ff.job_id IS NULL THEN 'completed' ELSE 'failed' END AS stage, ff.stage AS failed_stage, {label.replace('CASE stage', 'CASE ff.stage')} || ' failed: ' || ff.error AS error
-FROM (SELECT DISTINCT job_id FROM l) j LEFT JOIN ff ON ff.job_id = j.job_id AND ff.rn = 1"""
+    sql["stage_run_fold"] = L + FOLD + f""", jobs AS (SELECT DISTINCT job_id FROM l),
+names AS (SELECT unnest({[*V.STAGES]}) AS name, unnest(range(1, {len(V.STAGES) + 1})) AS place),
+failed AS (SELECT job_id, arg_min(stage, place) AS stage, arg_min(error, place) AS error FROM runs JOIN names ON name = stage WHERE status = 'failed' GROUP BY job_id),
+unfinished AS (SELECT job_id, arg_min(name, place) AS name FROM (SELECT job_id, name, place FROM jobs, names EXCEPT
+ SELECT job_id, name, place FROM runs JOIN names ON name = stage WHERE status = 'completed') x GROUP BY job_id)
+SELECT j.job_id, CASE WHEN f.job_id IS NOT NULL THEN 'failed' WHEN u.job_id IS NOT NULL THEN u.name ELSE 'completed' END AS stage, f.stage AS failed_stage,
+ {label.replace('CASE stage', 'CASE f.stage')} || ' failed: ' || f.error AS error FROM jobs j LEFT JOIN failed f USING (job_id) LEFT JOIN unfinished u USING (job_id)"""
     sql["attempt_fold"] = L + FOLD + "SELECT * FROM runs"
     sql["status_map"] = L + "SELECT event_id, CASE task_status WHEN 'SUCCESS' THEN 'completed' WHEN 'FAILURE' THEN 'failed' ELSE 'processing' END AS status FROM l"
     sql["current_state"] = L + "SELECT job_id, event_id, ts AS updated_at, uploaded_at, task_status, stage, status, n_events FROM last"
@@ -174,15 +178,21 @@ FROM (SELECT DISTINCT job_id FROM l) j LEFT JOIN ff ON ff.job_id = j.job_id AND
     gate_sql = (f"WITH {flow()}, {checks_cte(rule_rows())}, {REG}, gated AS (SELECT doc_id, document_type FROM checks GROUP BY doc_id, document_type "
                 "HAVING count(*) FILTER (NOT passed AND severity = 'error') = 0) ")
     sql["delivery_gate"] = gate_sql + "SELECT doc_id, document_type, 'document.processed' AS event FROM gated"
-    match = ", hits AS (SELECT doc_id, webhook_id, url, list_contains(string_split(events_csv, ','), 'document.processed') AS ok FROM gated, reg WHERE active) "
+    match = ", hits AS (SELECT doc_id, document_type, webhook_id, url, list_contains(string_split(events_csv, ','), 'document.processed') AS ok FROM gated, reg WHERE active) "
     all_events = (", named AS (SELECT doc_id, CASE WHEN count(*) FILTER (NOT passed AND severity = 'error') = 0 THEN 'document.processed' ELSE 'document.failed' END AS event "
                   "FROM checks GROUP BY doc_id), hits AS (SELECT doc_id, webhook_id, list_contains(string_split(events_csv, ','), event) AS ok FROM named, reg WHERE active) ")
-    sql["subscription_match"] = gate_sql + all_events + ("SELECT doc_id, webhook_id, CASE WHEN ok THEN 'eligible' ELSE 'skipped' END AS delivery_status, CASE WHEN NOT ok THEN "
-                                                    "'event_not_subscribed' END AS reason FROM hits")
+    sql["subscription_match"] = gate_sql + all_events + "SELECT doc_id, webhook_id, 'eligible' AS delivery_status, NULL::VARCHAR AS reason FROM hits WHERE ok"
+    sql["subscription_skips"] = gate_sql + all_events + (
+        ", occurred AS (SELECT CASE WHEN doc_id % 10 = 0 THEN 'document.archived' ELSE event END AS event, count(*) AS n_events FROM named GROUP BY 1) SELECT event, webhook_id, n_events, "
+        "'skipped' AS delivery_status, 'event_not_subscribed' AS reason FROM occurred, reg WHERE active AND NOT list_contains(string_split(events_csv, ','), event)")
+    sql["page_segments"] = f"WITH {PAGES} SELECT document_id, (page_number - 1) // 3 AS segment, count(*) AS n_pages, sum(word_count)::BIGINT AS n_words, " \
+        "md5(string_agg(text, chr(10) || chr(10) ORDER BY page_number)) AS text_md5 FROM p WHERE text <> '' GROUP BY 1, 2"
+    sql["record_store"] = M + ("SELECT document_id, CASE WHEN document_id % 2 = 0 THEN 'invoice' ELSE 'form' END AS document_type, file_size, "
+                               "CASE WHEN document_id % 5 = 0 THEN 2 WHEN document_id % 3 > 0 THEN 1 ELSE 0 END::INTEGER AS version FROM m")
     sql["outbox"] = gate_sql + match + ("SELECT sha256(concat_ws('|', CAST(doc_id AS VARCHAR), CAST(webhook_id AS VARCHAR), 'document.processed')) AS delivery_id, doc_id, webhook_id, url, "
-                                        "'document.processed' AS event, sha256('job|' || doc_id) AS job_id FROM hits WHERE ok")
+                                        "'document.processed' AS event, sha256('job|' || doc_id) AS job_id, '2024-01-01T00:00:00Z' AS sent_at, document_type, 'true' AS valid FROM hits WHERE ok")
     sql["delivery_outcome"] = V_ + "SELECT delivery_id, webhook_id, delivery_status FROM v"
     sql["delivery_rollup"] = V_ + ("SELECT webhook_id, count(*) FILTER (delivery_status = 'success') AS webhooks_triggered, count(*) FILTER (delivery_status <> 'success') AS webhooks_failed, "
                                    "0::BIGINT AS webhooks_skipped, max(response_time_ms) AS total_time_ms FROM v GROUP BY webhook_id")
-    sql["delivery_details"] = V_ + "SELECT delivery_id, webhook_id, delivery_status, coalesce(status_code, 0) AS status_code, response_time_ms FROM v"
+    sql["delivery_details"] = V_ + "SELECT delivery_id, webhook_id, delivery_status, coalesce(status_code, 0) AS status_code, response_time_ms, CAST(row_number() OVER (PARTITION BY webhook_id ORDER BY delivery_id) - 1 AS INTEGER) AS position FROM v"
     return sql

@@ -9,7 +9,9 @@ from papertrail.functions import names as N
 from papertrail.operators import admission as A, assemble as B, classify as C, lifecycle as H, webhooks as I
 from papertrail.plans.document_queries import validated
 from papertrail.plans.fixtures import table, view
+from papertrail.session import shared_dir
 from papertrail.sources.readers import lookup
+from papertrail.sources.sinks import read_records, write_records
 
 
 def manifest(spark: SparkSession, sf: str) -> DataFrame:
@@ -147,6 +149,22 @@ def _assembled(spark, sf):
     return B.with_empty_documents(documents, B.assemble_pages(pages(spark, sf)))
 
 
+def page_segments(spark, sf):
+    """Text by runs of three pages, page numbers from 0 on."""
+    found = B.page_segments(pages(spark, sf).withColumn("page_number", F.col("page_number") - 1), 3)
+    return found.select("document_id", "segment", "n_pages", "n_words", F.md5("text").alias("text_md5"))
+
+
+def record_store(spark, sf):
+    """Three batches of records written to one store, the second one twice; the last record of each document counts."""
+    path = shared_dir(spark, "record-store")
+    rows = manifest(spark, sf).select("document_id", F.when(F.col("document_id") % 2 == 0, "invoice").otherwise("form")
+                                      .alias("document_type"), "file_size")
+    for batch, kept in ((0, "document_id % 3 < 2"), (1, "document_id % 3 > 0"), (1, "document_id % 3 > 0"), (2, "document_id % 5 = 0")):
+        write_records(rows.filter(kept).withColumn("version", F.lit(batch)), path, batch)
+    return read_records(spark, path).select("document_id", "document_type", "file_size", "version")
+
+
 def page_assembly_empty(spark, sf):
     return _assembled(spark, sf).select(
         "document_id", "total_pages", "processed_pages", F.md5("full_text").alias("text_md5"),
@@ -299,22 +317,29 @@ def delivery_gate(spark, sf):
     return _gated(spark, sf).select("doc_id", "document_type", "event")
 
 
-def _matches(spark, sf, keep: tuple[str, ...] = ()):
-    return I.match_subscriptions(_gated(spark, sf).select("doc_id", "event", *keep), _registry(spark, sf))
-
-
 def subscription_match(spark, sf):
     event = F.when(F.col("is_valid"), V.PROCESSED_EVENT).otherwise("document.failed")
     events = validated(spark, sf).select("doc_id", event.alias("event"))
-    matches = I.match_subscriptions(events, _registry(spark, sf), known_events=(V.PROCESSED_EVENT, "document.failed"))
+    matches = I.match_subscriptions(events, _registry(spark, sf))
     return matches.select("doc_id", "webhook_id", "delivery_status", "reason")
 
 
+def subscription_skips(spark, sf):
+    """Also for an event that nobody knows."""
+    event = F.when(F.col("doc_id") % 10 == 0, "document.archived").when(F.col("is_valid"), V.PROCESSED_EVENT) \
+        .otherwise("document.failed")
+    return I.skipped_subscriptions(validated(spark, sf).select("doc_id", event.alias("event")), _registry(spark, sf))
+
+
 def outbox(spark, sf):
-    sent = I.outbox(_matches(spark, sf), "doc_id")
-    return sent.select("delivery_id", "doc_id", "webhook_id", "url",
-                       F.get_json_object("payload", "$.event").alias("event"),
-                       F.get_json_object("payload", "$.job_id").alias("job_id"))
+    record = F.to_json(F.struct("document_type", F.col("is_valid").alias("valid")))
+    events = _gated(spark, sf).select("doc_id", "event", record.alias("record"))
+    events = I.with_payload(events, "doc_id", "record", F.lit("2024-01-01T00:00:00Z")).drop("record")
+    sent = I.outbox(I.match_subscriptions(events, _registry(spark, sf)), "doc_id")
+    leaf = lambda path: F.get_json_object("payload", f"$.{path}")
+    return sent.select("delivery_id", "doc_id", "webhook_id", "url", leaf("event").alias("event"),
+                       leaf("job_id").alias("job_id"), leaf("timestamp").alias("sent_at"),
+                       leaf("schema.document_type").alias("document_type"), leaf("schema.valid").alias("valid"))
 
 
 def _deliveries(spark, sf):
@@ -331,7 +356,7 @@ def delivery_rollup(spark, sf):
 
 
 def delivery_details(spark, sf):
-    return I.delivery_details(_deliveries(spark, sf)).withColumn(
+    return I.delivery_details(_deliveries(spark, sf), "webhook_id").withColumn(
         "status_code", F.coalesce("status_code", F.lit(0)))
 
 
@@ -342,4 +367,4 @@ QUERIES = {f.__name__: f for f in (
     extract_text_batch, low_confidence_docs, lifecycle_state, stage_run_fold, attempt_fold, status_map, current_state,
     state_lookup, ttl_live_keys, metrics, stage_metrics, stuck_tasks, recovery_queue, retry_rows, failure_state,
     rate_limit_windows, rate_limit_admit, stage_pivot, job_results, webhook_registry, webhooks_active, registry_merge,
-    delivery_gate, subscription_match, outbox, delivery_outcome, delivery_rollup, delivery_details)}
+    delivery_gate, subscription_match, subscription_skips, record_store, page_segments, outbox, delivery_outcome, delivery_rollup, delivery_details)}

@@ -23,6 +23,10 @@ def oracles() -> dict[str, str]:
         "stream_ingest": flow + (
             f" SELECT c.doc_id AS document_id, c.document_type, coalesce(any_value(f.n), 0) AS fields_above_threshold, {valid} AS is_valid, count(*) AS total_checks "
             "FROM checks c LEFT JOIN (SELECT doc_id, count(*) AS n FROM fields GROUP BY doc_id) f ON f.doc_id = c.doc_id GROUP BY c.doc_id, c.document_type"),
+        "stream_quarantine": O.M + (
+            f", s AS (SELECT document_id, reject_reason, CASE WHEN reject_reason IS NOT NULL THEN 'classification' WHEN file_size > {V.MAX_EXTRACT_BYTES} THEN 'ocr' "
+            "WHEN coalesce(text, '') = '' THEN 'analysis' END AS failed_stage FROM m) SELECT document_id, 'failed' AS stage, failed_stage, "
+            "CASE failed_stage WHEN 'classification' THEN reject_reason WHEN 'ocr' THEN 'too_large_to_extract' ELSE 'no text to analyze' END AS error FROM s WHERE failed_stage IS NOT NULL"),
         "stream_dedup": "SELECT DISTINCT md5(text) AS content_hash FROM documents",
         "stream_state": O.L + "SELECT job_id, event_id, task_status, stage, n_events FROM last",
         "stream_stuck": O.L + (

@@ -33,6 +33,13 @@ def stream_ingest(spark: SparkSession, sf: str) -> DataFrame:
     return spark.read.parquet(out)
 
 
+def stream_quarantine(spark: SparkSession, sf: str) -> DataFrame:
+    """What ``stream_ingest`` has no row for."""
+    out, state = shared_dir(spark, "quarantine"), shared_dir(spark, "checkpoint")
+    jobs.finish(jobs.quarantine(_view(spark, sf, "manifest", "documents"), out, state))
+    return spark.read.parquet(out)
+
+
 def stream_dedup(spark: SparkSession, sf: str) -> DataFrame:
     out, state = shared_dir(spark, "dedup"), shared_dir(spark, "checkpoint")
     uploads = source(spark, sf, "documents").select(
@@ -69,4 +76,4 @@ def stream_outbox(spark: SparkSession, sf: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    stream_ingest, stream_dedup, stream_state, stream_stuck, stream_rate, stream_outbox)}
+    stream_ingest, stream_quarantine, stream_dedup, stream_state, stream_stuck, stream_rate, stream_outbox)}

@@ -7,18 +7,8 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from papertrail import fixed_values as V
 
 
-def spread(df: DataFrame, *keys: str) -> DataFrame:
-    """Hash-spread a scan over all cores, only when it has fewer splits than there are cores.
-
-    A large table has more splits than cores and passes through unmoved.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores, *keys) if df.rdd.getNumPartitions() < cores else df
-
-
-def read_table(spark: SparkSession, path: str, spread_by: list[str]) -> DataFrame:
-    df = spark.read.parquet(path)
-    return spread(df, *spread_by) if spread_by else df
+def read_table(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.parquet(path)
 
 
 FILE_COLUMNS = "path string, modificationTime timestamp, length bigint, content binary"
@@ -31,6 +21,15 @@ def _file_row(df: DataFrame) -> DataFrame:
         F.col("length").alias("file_size"), F.col("modificationTime").alias("uploaded_at"), "content")
 
 
+def _within(files: DataFrame, max_bytes: int) -> DataFrame:
+    """Rows of all files, with the content of those within ``max_bytes`` only."""
+    small = _file_row(files.filter(F.col("length") <= max_bytes))
+    # Without its content column the scan does not open the files.
+    large = _file_row(files.filter(F.col("length") > max_bytes)
+                      .withColumn("content", F.lit(None).cast("binary")))
+    return small.unionByName(large)
+
+
 def read_files(spark: SparkSession, folder: str, glob: str = "*",
                max_bytes: int = V.MAX_UPLOAD_BYTES) -> DataFrame:
     """Uploaded files as rows (file_path, original_filename, file_size, uploaded_at, content).
@@ -40,19 +39,14 @@ def read_files(spark: SparkSession, folder: str, glob: str = "*",
     """
     files = spark.read.format("binaryFile").option("pathGlobFilter", glob) \
         .option("recursiveFileLookup", "true").load(folder)
-    small = _file_row(files.filter(F.col("length") <= max_bytes))
-    # Without its content column the scan does not open the files.
-    large = _file_row(files.filter(F.col("length") > max_bytes)
-                      .withColumn("content", F.lit(None).cast("binary")))
-    return small.unionByName(large)
+    return _within(files, max_bytes)
 
 
-def stream_files(spark: SparkSession, folder: str, glob: str = "*",
-                 files_per_batch: int = 1000) -> DataFrame:
-    """The same rows from files as they arrive."""
-    return _file_row(spark.readStream.format("binaryFile").schema(FILE_COLUMNS)
-                     .option("pathGlobFilter", glob)
-                     .option("maxFilesPerTrigger", files_per_batch).load(folder))
+def stream_files(spark: SparkSession, folder: str, glob: str = "*", files_per_batch: int = 1000,
+                 max_bytes: int = V.MAX_UPLOAD_BYTES) -> DataFrame:
+    """The same rows from files as they arrive; the content of files beyond ``max_bytes`` is not read either."""
+    return _within(spark.readStream.format("binaryFile").schema(FILE_COLUMNS).option("pathGlobFilter", glob)
+                   .option("maxFilesPerTrigger", files_per_batch).load(folder), max_bytes)
 
 
 def stream_table(spark: SparkSession, folder: str, schema, glob: str = "*.parquet",

@@ -1,7 +1,7 @@
 """Sinks: record tables, job results, security events and the outbox.
 
-All writes are idempotent: batch writes replace the partitions they own, stream writes own one partition
-per micro-batch, deliveries carry a derived id.
+All writes are idempotent: a write owns the partitions of its batch and a replay replaces them; deliveries carry a derived
+id.
 """
 
 from __future__ import annotations
@@ -16,23 +16,40 @@ def _has_rows(spark: SparkSession, path: str) -> bool:
     return hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).exists(hadoop)
 
 
-def write_records(df: DataFrame, path: str, fmt: str = "parquet", by: str = "document_type",
-                  mode: str = "overwrite") -> None:
-    """Records partitioned by type: a lookup by type reads one folder, one by id is a pushed-down filter.
+def write_records(df: DataFrame, path: str, batch_id: int = 0, fmt: str = "parquet", by: str = "document_type") -> None:
+    """Records partitioned by type and batch: a lookup by type reads one folder, one by id is a pushed-down filter.
 
-    No shuffle: each task writes its rows of a type; ``by`` has few values.
+    Earlier batches stay; the same batch written again replaces itself.  No shuffle: each task writes its rows of a
+    type; ``by`` has few values.
     """
-    df.write.format(fmt).mode(mode).option("partitionOverwriteMode", "dynamic").partitionBy(by).save(path)
+    df.withColumn("batch", F.lit(batch_id).cast("long")).write.format(fmt).mode("overwrite") \
+        .option("partitionOverwriteMode", "dynamic").partitionBy(by, "batch").save(path)
+
+
+def read_records(spark: SparkSession, path: str, key: str = "document_id", fmt: str = "parquet") -> DataFrame:
+    """The latest record of every document: of each id, the rows of its last batch."""
+    stored = spark.read.format(fmt).load(path)
+    last = stored.groupBy(key).agg(F.max("batch").alias("batch"))
+    return stored.join(last, [key, "batch"]).select(*stored.columns)
 
 
 def read_record(spark: SparkSession, path: str, document_id, key: str = "document_id",
                 fmt: str = "parquet") -> DataFrame:
-    return spark.read.format(fmt).load(path).filter(F.col(key) == document_id)
+    """The latest record of one document; the filter reaches the scan."""
+    stored = spark.read.format(fmt).load(path).filter(F.col(key) == document_id)
+    return stored.filter(F.col("batch") == stored.agg(F.max("batch").alias("b")).scalar())
+
+
+def write_results(path: str, batch_id: int, **tables: DataFrame) -> None:
+    """Job results, job states, stage runs or other tables of one batch, each in a folder of its own name."""
+    for name, df in tables.items():
+        write_batch(df, f"{path}/{name}", batch_id)
 
 
-def write_security_events(events: DataFrame, path: str, time: str = "uploaded_at") -> None:
-    """Append-only, partitioned by date."""
-    events.withColumn("event_date", F.to_date(time)).write.mode("append").partitionBy("event_date").parquet(path)
+def write_security_events(events: DataFrame, path: str, batch_id: int = 0, time: str = "uploaded_at") -> None:
+    """Partitioned by date and batch; a replayed batch replaces its own rows."""
+    events.withColumns({"event_date": F.to_date(time), "batch": F.lit(batch_id).cast("long")}).write.mode("overwrite") \
+        .option("partitionOverwriteMode", "dynamic").partitionBy("event_date", "batch").parquet(path)
 
 
 def write_batch(df: DataFrame, path: str, batch_id: int) -> None:
@@ -40,16 +57,21 @@ def write_batch(df: DataFrame, path: str, batch_id: int) -> None:
     df.write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
 
 
-def append_outbox(deliveries: DataFrame, path: str, batch_id: int) -> None:
+def append_outbox(deliveries: DataFrame, path: str, batch_id: int, horizon: int | None = None) -> None:
     """Deliveries not yet in the outbox, as this micro-batch's partition.
 
-    A replayed batch compares with the other batches only, so it writes the same rows again.
+    A replayed batch compares with the other batches only, so it writes the same rows again.  ``horizon``: how many
+    batches back ids are compared with (all by default); older partitions are then not read.  A folder that a crashed
+    write left without files holds no ids.
     """
     spark = deliveries.sparkSession
     fresh = deliveries.dropDuplicates(["delivery_id"])
     if _has_rows(spark, path):
-        sent = spark.read.parquet(path).filter(F.col("batch") != batch_id).select("delivery_id")
-        fresh = fresh.join(sent, "delivery_id", "left_anti")
+        kind = deliveries.schema["delivery_id"].dataType.simpleString()
+        sent = spark.read.schema(f"delivery_id {kind}, batch long").parquet(path).filter(F.col("batch") != batch_id)
+        if horizon is not None:
+            sent = sent.filter(F.col("batch") >= batch_id - horizon)
+        fresh = fresh.join(sent.select("delivery_id"), "delivery_id", "left_anti")
     write_batch(fresh, path, batch_id)
 
 

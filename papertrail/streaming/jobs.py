@@ -27,9 +27,11 @@ def _start(df: DataFrame, checkpoint: str, mode: str, path: str | None = None,
     return writer.format("parquet").option("path", path).start()
 
 
-def finish(query: StreamingQuery, seconds: int = 600) -> None:
-    """Wait for the end of a bounded run; stop and raise when it takes too long."""
-    if not query.awaitTermination(seconds):
+def finish(query: StreamingQuery, seconds: int | None = None) -> None:
+    """Wait for the end of a bounded run; with ``seconds``, stop and raise when it takes longer."""
+    if seconds is None:
+        query.awaitTermination()
+    elif not query.awaitTermination(seconds):
         query.stop()
         raise TimeoutError(f"stream still running after {seconds} s")
     if query.exception() is not None:
@@ -45,6 +47,24 @@ def document_flow(uploads: DataFrame, threshold: float = X.DEFAULT_THRESHOLD, te
                       document_id=document_id)
 
 
+def failed_uploads(uploads: DataFrame, text: str = "text", document_id: str = "document_id") -> DataFrame:
+    """The uploads that ``document_flow`` has no verdict for, with the stage that stopped them and why.
+
+    Together the two have one row per upload; works on batches and streams alike.
+    """
+    judged = A.admit(uploads).withColumn("_gate", A.extraction_gate(F.col("file_size")))
+    stage = F.when(F.col("reject_reason").isNotNull(), "classification").when(F.col("_gate").isNotNull(), "ocr") \
+        .when(F.coalesce(F.col(text), F.lit("")) == "", "analysis")
+    reason = F.coalesce("reject_reason", "_gate", F.lit("no text to analyze"))
+    return judged.withColumns({"failed_stage": stage, "error": reason}).filter(F.col("failed_stage").isNotNull()) \
+        .select(document_id, F.lit("failed").alias("stage"), "failed_stage", "error")
+
+
+def quarantine(uploads: DataFrame, path: str, checkpoint: str, **options) -> StreamingQuery:
+    """``failed_uploads`` of a stream to a table."""
+    return _start(failed_uploads(uploads, **options), checkpoint, "append", path)
+
+
 def ingest(uploads: DataFrame, path: str, checkpoint: str, columns: list[str],
            spread: tuple[int, str] | None = None, **options) -> StreamingQuery:
     """Uploads to checked records; stateless, so any number of executors and restarts.
@@ -125,8 +145,9 @@ def rate_windows(log: DataFrame, path: str, checkpoint: str, client: str, window
 
 
 def deliver(events: DataFrame, webhooks: DataFrame, path: str, checkpoint: str,
-            document_id: str = "document_id") -> StreamingQuery:
-    """Valid documents to the outbox; replays and repeated documents add nothing."""
+            document_id: str = "document_id", horizon: int | None = None) -> StreamingQuery:
+    """Valid documents to the outbox; replays and repeated documents (of ``horizon`` batches, or ever) add nothing."""
     def each(batch: DataFrame, batch_id: int) -> None:
-        append_outbox(I.outbox(I.match_subscriptions(batch, webhooks), document_id), path, batch_id)
+        matches = I.match_subscriptions(I.with_payload(batch, document_id), webhooks)
+        append_outbox(I.outbox(matches, document_id), path, batch_id, horizon)
     return _start(events, checkpoint, "append", each=each)

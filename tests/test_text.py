@@ -50,7 +50,8 @@ def test_parse_float(spark):
 @RUNS
 @given(st.lists(st.lists(st.sampled_from(
     ["Invoice", "INV", "#", ":", " ", "\n", " ", "A-1", "10/12/2024", "2024-1-5", "$", "1,234.50", "99", "a.b@c.io", "é@x.com", "555-123-4567",
-     "PO", "possible", "tax id", "12-3", "%", "5.5%", "Ｉnv", "ſ", "٣", "\x1c"]), max_size=12), min_size=60, max_size=120))
+     "PO", "possible", "tax id", "12-3", "%", "5.5%", "Ｉnv", "ſ", "٣", "\x1c",
+     "①", "²", "Ⅷ", "\u0301", "_", "\u0903", "中", "  ", "\t"]), max_size=12), min_size=60, max_size=120))
 def test_patterns_equal_python(spark, docs):
     texts = ["".join(d) for d in docs]
     df = spark.createDataFrame([(t,) for t in texts], "t string")
@@ -59,3 +60,14 @@ def test_patterns_equal_python(spark, docs):
         for n, p in V.PATTERNS.items():
             want = [m.group(int(n in V.GROUPED_PATTERNS)) for m in re.finditer(p, r.t, re.I if n in V.GROUPED_PATTERNS else 0)]
             assert r[n] == want, (n, r.t)
+
+
+def test_digits_of_other_scripts(spark):
+    values = ["1٢", "٣.٥", "１２３", "x", None, "7"]
+    df = spark.createDataFrame([(v,) for v in values], "v string")
+    got = [tuple(r) for r in df.select(T.ascii_digits(F.col("v")), T.parse_float(F.col("v"))).collect()]
+    assert got == [("12", 12.0), ("3.5", 3.5), ("123", 123.0), ("x", None), (None, None), ("7", 7.0)]
+
+
+def test_user_patterns():
+    assert T.user_pattern("(?P<a_b>v)") == "(?<ab>v)" and T.user_pattern("(") == T.BAD_PATTERN and T.user_pattern(None) is None
