@@ -6,6 +6,8 @@ row, so nothing here shuffles.  The long forms are a plain ``inline`` away.
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from papertrail import fixed_values as V
@@ -59,15 +61,33 @@ def _present(*fields: Column) -> Column:
     return F.filter(F.array(*fields), lambda f: f["value"].isNotNull() | f["value_num"].isNotNull())
 
 
-def _first_line(text: Column, of_first: int, longer_than: int = 3) -> Column:
-    lines = F.transform(F.slice(F.split(text, "\n", of_first + 1), 1, of_first), T.strip)
+@dataclass(frozen=True)
+class Limits:
+    """How many of each kind the field extractors take; None takes all.  The defaults are part of the contract."""
+
+    form_pairs: int | None = 20
+    form_name_chars: int | None = 50
+    dates: int | None = 3
+    amounts: int | None = 5
+    emails: int | None = 2
+    phones: int | None = 2
+    invoice_head_lines: int | None = 5
+    receipt_head_lines: int | None = 3
+
+
+def _first(items: Column, n: int | None) -> Column:
+    return items if n is None else F.slice(items, 1, n)
+
+
+def _first_line(text: Column, of_first: int | None, longer_than: int = 3) -> Column:
+    lines = F.transform(_first(F.split(text, "\n", -1 if of_first is None else of_first + 1), of_first), T.strip)
     return F.get(F.filter(lines, lambda x: F.length(x) > longer_than), F.lit(0))
 
 
-def invoice_fields(text: Column, dates: Column, amounts: Column) -> Column:
+def invoice_fields(text: Column, dates: Column, amounts: Column, limits: Limits = Limits()) -> Column:
     return _present(
         _field("invoice_number", T.search(text, V.PATTERNS["invoice_number"], 1), 0.9),
-        _field("vendor_name", _first_line(text, 5), 0.7),
+        _field("vendor_name", _first_line(text, limits.invoice_head_lines), 0.7),
         _field("invoice_date", F.get(dates, F.lit(0)), 0.8),
         _field("due_date", F.get(dates, F.lit(1)), 0.7),
         _number("total_amount", F.array_max(amounts), 0.8),
@@ -76,10 +96,10 @@ def invoice_fields(text: Column, dates: Column, amounts: Column) -> Column:
         _field("po_number", T.search(text, V.PATTERNS["po_number"], 1), 0.8))
 
 
-def receipt_fields(text: Column, dates: Column) -> Column:
+def receipt_fields(text: Column, dates: Column, limits: Limits = Limits()) -> Column:
     payment = F.coalesce(*[F.when(T.found(text, p), F.lit(m)) for p, m in V.PAYMENT_PATTERNS])
     return _present(
-        _field("merchant_name", _first_line(text, 3), 0.8),
+        _field("merchant_name", _first_line(text, limits.receipt_head_lines), 0.8),
         _field("transaction_date", F.get(dates, F.lit(0)), 0.9),
         _number("total_amount",
                 T.ascii_digits(T.search(text, V.RECEIPT_TOTAL_PATTERN, 1)).try_cast("double"), 0.9),
@@ -97,34 +117,34 @@ def contract_fields(text: Column) -> Column:
         _number("contract_value", amount.try_cast("double"), 0.7))
 
 
-def form_fields(text: Column, emails: Column, phones: Column, limit: int = 20) -> Column:
-    """The first ``limit`` key/value pairs, then the first e-mail and phone."""
-    keys = F.slice(T.find_all(text, V.FORM_PAIR_PATTERN, 1), 1, limit)
-    values = F.slice(T.find_all(text, V.FORM_PAIR_PATTERN, 2), 1, limit)
+def form_fields(text: Column, emails: Column, phones: Column, limits: Limits = Limits()) -> Column:
+    """The first key/value pairs, then the first e-mail and phone."""
+    keys = _first(T.find_all(text, V.FORM_PAIR_PATTERN, 1), limits.form_pairs)
+    values = _first(T.find_all(text, V.FORM_PAIR_PATTERN, 2), limits.form_pairs)
     pairs = F.zip_with(keys, values, lambda k, v: F.struct(
         F.replace(F.lower(T.strip(k)), F.lit(" "), F.lit("_")).alias("name"),
         T.strip(v).alias("value"), F.lit(None).cast("double").alias("value_num"),
         F.lit(0.6).alias("confidence")))
     kept = F.filter(pairs, lambda p: (p["name"] != "") & (p["value"] != "")
-                    & (F.length(p["name"]) < 50))
+                    & (F.lit(True) if limits.form_name_chars is None else F.length(p["name"]) < limits.form_name_chars))
     return F.concat(kept, _present(_field("email", F.get(emails, F.lit(0)), 0.9),
                                    _field("phone", F.get(phones, F.lit(0)), 0.8)))
 
 
-def generic_fields(dates: Column, amounts: Column, emails: Column, phones: Column) -> Column:
-    numbered = F.transform(F.slice(amounts, 1, 5), lambda v, i: F.struct(
+def generic_fields(dates: Column, amounts: Column, emails: Column, phones: Column, limits: Limits = Limits()) -> Column:
+    numbered = F.transform(_first(amounts, limits.amounts), lambda v, i: F.struct(
         F.concat(F.lit("amount_"), (i + 1).cast("string")).alias("name"),
         F.lit(None).cast("string").alias("value"), v.alias("value_num"),
         F.lit(0.5).alias("confidence")))
     return F.concat(
-        _numbered("date_", F.slice(dates, 1, 3), 0.6),
+        _numbered("date_", _first(dates, limits.dates), 0.6),
         F.filter(numbered, lambda f: f["value_num"].isNotNull()),
         _present(_field("email", F.get(emails, F.lit(0)), 0.9),
                  _field("phone", F.get(phones, F.lit(0)), 0.7)))
 
 
-def nda_fields(text: Column, giver: Column, taker: Column, emails: Column,
-               phones: Column) -> Column:
+def nda_fields(text: Column, giver: Column, taker: Column, emails: Column, phones: Column,
+               limits: Limits = Limits()) -> Column:
     """``giver``/``taker`` are the two groups of the strict party pattern, NULL without a match."""
     sure = F.when(giver.isNotNull(), 0.95).otherwise(0.85)
     jurisdiction = F.regexp_replace(T.first_of(text, V.NDA_JURISDICTION_PATTERNS),
@@ -142,8 +162,8 @@ def nda_fields(text: Column, giver: Column, taker: Column, emails: Column,
             _field("term_duration", T.first_of(text, V.NDA_TERM_PATTERNS), 0.8),
             _field("jurisdiction", jurisdiction, 0.75),
             _field("purpose", T.strip(T.search(text, V.NDA_PURPOSE_PATTERN, 1)), 0.7)),
-        _numbered("contact_email_", F.slice(emails, 1, 2), 0.95),
-        _numbered("contact_phone_", F.slice(phones, 1, 2), 0.8),
+        _numbered("contact_email_", _first(emails, limits.emails), 0.95),
+        _numbered("contact_phone_", _first(phones, limits.phones), 0.8),
         _numbered("signatory_", signers, 0.7))
 
 
@@ -186,27 +206,27 @@ def _shared_matches(text: str, doc_type: str) -> dict[str, Column]:
 
 
 @memoized
-def _fields(text: str, doc_type: str) -> Column:
+def _fields(text: str, doc_type: str, limits: Limits) -> Column:
     t, kind = F.col(text), F.col(doc_type)
     dates, amounts, emails, phones, giver, taker = (
         F.col(c) for c in ("_dates", "_amounts", "_emails", "_phones", "_giver", "_taker"))
-    return F.when(kind == "nda", nda_fields(t, giver, taker, emails, phones)) \
-        .when(kind == "invoice", invoice_fields(t, dates, amounts)) \
-        .when(kind == "receipt", receipt_fields(t, dates)) \
+    return F.when(kind == "nda", nda_fields(t, giver, taker, emails, phones, limits)) \
+        .when(kind == "invoice", invoice_fields(t, dates, amounts, limits)) \
+        .when(kind == "receipt", receipt_fields(t, dates, limits)) \
         .when(kind == "contract", contract_fields(t)) \
-        .when(kind == "form", form_fields(t, emails, phones)) \
-        .otherwise(generic_fields(dates, amounts, emails, phones)).cast(FIELD_TYPE)
+        .when(kind == "form", form_fields(t, emails, phones, limits)) \
+        .otherwise(generic_fields(dates, amounts, emails, phones, limits)).cast(FIELD_TYPE)
 
 
 def extract_fields(df: DataFrame, text: str = "text", doc_type: str = "document_type",
-                   output: str = "all_fields", override: bool = True) -> DataFrame:
+                   output: str = "all_fields", override: bool = True, limits: Limits = Limits()) -> DataFrame:
     """Adds ``output``: the document's fields in order of emission, by final type.
 
     All types are served in this one pass over the text.
     """
     df = override_type(df, text, doc_type) if override else df
     shared = _shared_matches(text, doc_type)
-    return df.withColumns(shared).withColumn(output, _fields(text, doc_type)).drop(*shared)
+    return df.withColumns(shared).withColumn(output, _fields(text, doc_type, limits)).drop(*shared)
 
 
 @memoized
@@ -258,9 +278,9 @@ def _metrics(threshold: float) -> list[dict[str, Column]]:
 
 
 def analyze(df: DataFrame, threshold: float = DEFAULT_THRESHOLD, text: str = "text",
-            doc_type: str = "document_type", keep_text: bool = False) -> DataFrame:
+            doc_type: str = "document_type", keep_text: bool = False, limits: Limits = Limits()) -> DataFrame:
     """Adds fields (at or above the threshold), tables and the analysis metrics; drops the text."""
-    df = extract_tables(extract_fields(df, text, doc_type), text)
+    df = extract_tables(extract_fields(df, text, doc_type, limits=limits), text)
     df = df if keep_text else df.drop(text)
     df = fence(df, "all_fields", "tables")
     for step in _metrics(threshold):

@@ -115,3 +115,25 @@ def test_no_shuffle_from_text_to_verdict(spark, tmp_path):
     docs = spark.read.parquet(str(tmp_path / "d"))
     plan = G.validate(R.build_records(X.analyze(docs)), document_id="doc_id").filter(F.col("is_valid"))._jdf.queryExecution().executedPlan().toString()
     assert "Exchange" not in plan and "Python" not in plan
+
+
+def test_custom_rules_and_bad_patterns(spark):
+    rules = [("invoice", "total_amount", "custom", {"format": "whole"}, "Not a whole number", "error"),
+             ("invoice", "vendor_name", "regex", {"pattern": "("}, "Bad vendor", "warning"),
+             ("invoice", "vendor_name", "regex", {"pattern": "(?P<first>H).*"}, "Bad vendor", "error"),
+             ("invoice", "total_amount", "custom", {"format": "unknown"}, "Never fails", "error")]
+    flat = "array<struct<key:string,value:string,value_num:double>>"
+    df = spark.createDataFrame([(1, "invoice", [("total_amount", None, 12.5), ("vendor_name", "Harbour", None)])],
+                               f"document_id int, document_type string, flat {flat}")
+    row = G.validate(df, rules, custom={"whole": lambda value, number: number == F.floor(number)}).first()
+    assert [(c.passed, c.message) for c in row.checks][:4] == [
+        (False, "Not a whole number"), (False, "Invalid pattern"), (True, "Validation passed"), (True, "Validation passed")]
+
+
+def test_nan_fails_no_comparison(spark):
+    rules = [("invoice", "x", "range", {"min": 1, "max": 10}, "Out of range", "error")]
+    flat = "array<struct<key:string,value:string,value_num:double>>"
+    df = spark.createDataFrame([(1, "invoice", [("x", "nan", None)]), (2, "invoice", [("x", "11", None)])],
+                               f"document_id int, document_type string, flat {flat}")
+    got = {r.document_id: r.checks[0].passed for r in G.validate(df, rules).collect()}
+    assert got == {1: True, 2: False}
