@@ -30,9 +30,8 @@ def user_pattern(pattern: str | None) -> str | None:
 
 
 def ascii_digits(col: Column) -> Column:
-    """Decimal digits of every script as ASCII digits."""
-    return F.when(col.rlike(r"[^\x00-\x7f]"), F.translate(
-        col, "".join(_DIGITS), "".join(str(unicodedata.decimal(c)) for c in _DIGITS))).otherwise(col)
+    """Decimal digits of every script as ASCII digits.  ``col`` stands once in the expression: it may be a search."""
+    return F.translate(col, "".join(_DIGITS), "".join(str(unicodedata.decimal(c)) for c in _DIGITS))
 
 
 #: Patterns with an equivalent that takes linear time.  A run of blanks before an amount is taken from its first blank
