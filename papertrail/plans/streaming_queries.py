@@ -43,8 +43,8 @@ def stream_quarantine(spark: SparkSession, sf: str) -> DataFrame:
 def stream_dedup(spark: SparkSession, sf: str) -> DataFrame:
     out, state = shared_dir(spark, "dedup"), shared_dir(spark, "checkpoint")
     uploads = source(spark, sf, "documents").select(
-        F.md5("text").alias("content_hash"), F.timestamp_seconds(F.lit(1700000000) + F.col("doc_id")).alias("uploaded_at"))
-    jobs.finish(jobs.first_seen(uploads, out, state, delay="365 days"))
+        "doc_id", F.md5("text").alias("content_hash"), F.timestamp_seconds(F.lit(1700000000) + F.col("doc_id")).alias("uploaded_at"))
+    jobs.finish(jobs.first_seen(uploads, out, state, delay="30 days", keep=("doc_id",)))
     return spark.read.parquet(out).select("content_hash")
 
 

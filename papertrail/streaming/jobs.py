@@ -78,9 +78,11 @@ def ingest(uploads: DataFrame, path: str, checkpoint: str, columns: list[str],
 
 
 def first_seen(uploads: DataFrame, path: str, checkpoint: str, hash_col: str = "content_hash",
-               time: str = "uploaded_at", delay: str = DEFAULT_DELAY) -> StreamingQuery:
-    """One row per content hash within the watermark; only narrow rows reach the state."""
-    unique = uploads.select(hash_col, time).withWatermark(time, delay).dropDuplicatesWithinWatermark([hash_col])
+               time: str = "uploaded_at", delay: str = DEFAULT_DELAY, keep: tuple[str, ...] = ()) -> StreamingQuery:
+    """One row per content hash within the watermark, with the columns ``keep`` of the first.
+
+    State holds the hashes of the last ``delay`` and nothing else."""
+    unique = uploads.select(hash_col, time, *keep).withWatermark(time, delay).dropDuplicatesWithinWatermark([hash_col])
     return _start(unique, checkpoint, "append", path)
 
 
