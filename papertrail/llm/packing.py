@@ -65,12 +65,11 @@ def document_frequencies(tokens: DataFrame, kind: str, vocabulary: int) -> tuple
     def count(batches):
         seen, n, total = np.zeros(vocabulary, np.int64), 0, 0
         for batch in batches:
-            for ids in batch.column("ids"):
-                x = np.frombuffer(ids.as_buffer(), kind)
-                present = np.zeros(vocabulary, bool)
-                present[x] = True
-                seen[present] += 1
-                n, total = n + 1, total + len(x)
+            data, at = _binary(batch.column("ids"))
+            each = [np.unique(data[i:j].view(kind)) for i, j in zip(at[:-1], at[1:])]
+            if each:
+                seen += np.bincount(np.concatenate(each), minlength=vocabulary)
+                n, total = n + len(each), total + int(at[-1] - at[0]) // data[:0].view(kind).itemsize
         if n:
             terms = np.flatnonzero(seen)
             yield pa.RecordBatch.from_arrays(
@@ -85,6 +84,14 @@ def document_frequencies(tokens: DataFrame, kind: str, vocabulary: int) -> tuple
     return df, n, total / max(n, 1)
 
 
+def _binary(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """(bytes, offsets) of a binary column without nulls."""
+    _, offsets, data = column.buffers()
+    wide = pa.types.is_large_binary(column.type)
+    at = np.frombuffer(offsets, np.int64 if wide else np.int32)[column.offset:column.offset + len(column) + 1]
+    return np.frombuffer(data, np.uint8) if data is not None else np.empty(0, np.uint8), at
+
+
 class Shard:
     """BM25 inverted index of some documents."""
 
