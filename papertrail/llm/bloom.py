@@ -19,9 +19,9 @@ def build(keys: DataFrame, column: str, bits: int = BITS) -> np.ndarray:
     """Bytes of the bit table of a long column; words of 64 bits are put together before they reach the driver."""
     rows = keys.select(F.explode(F.array(*_places(F.col(column), bits))).alias("p")) \
         .groupBy(F.shiftright("p", 6).alias("word")) \
-        .agg(F.expr("bit_or(shiftleft(1L, cast(p & 63 as int)))").alias("v")).toPandas()  # at most 2^(bits - 6) rows
+        .agg(F.expr("bit_or(shiftleft(1L, cast(p & 63 as int)))").alias("v")).toArrow()  # at most 2^(bits - 6) rows of 16 bytes
     table = np.zeros(1 << (bits - 6), "<i8")
-    table[rows["word"].to_numpy(np.int64)] = rows["v"].to_numpy(np.int64)
+    table[rows["word"].to_numpy()] = rows["v"].to_numpy()
     return table.view(np.uint8)
 
 

@@ -97,7 +97,7 @@ def token_counts(docs: DataFrame, model: str, limit: int = 4096, head: int = HEA
     spark = docs.sparkSession
     docs = texts(docs)
     words = cut(vocabulary(docs, model), "pre-tokens")
-    top = frequent(words.filter(F.length("pre_token") <= HEAD_CHARS), head).select("pre_token", "n_pieces").toPandas()
+    top = frequent(words.filter(F.length("pre_token") <= HEAD_CHARS), head).select("pre_token", "n_pieces").toArrow().to_pandas()
     known = spark.sparkContext.broadcast(dict(zip(top["pre_token"], top["n_pieces"].tolist())))  # at most ``head`` rows
 
     def split(batches):

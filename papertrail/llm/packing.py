@@ -76,7 +76,7 @@ def document_frequencies(tokens: DataFrame, kind: str, vocabulary: int) -> tuple
                 [pa.array(np.append(terms, [-1, -2])), pa.array(np.append(seen[terms], [n, total]))], ["term", "n"])
 
     rows = tokens.select("ids").mapInArrow(count, "term long, n long").groupBy("term").agg(F.sum("n").alias("n")) \
-        .toPandas()  # at most one row per vocabulary entry
+        .toArrow().to_pandas()  # at most one row per vocabulary entry
     got = dict(zip(rows["term"].tolist(), rows["n"].tolist()))
     n, total = got.pop(-1, 0), got.pop(-2, 0)
     df = np.zeros(vocabulary)

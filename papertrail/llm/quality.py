@@ -207,7 +207,7 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS) -> Additive:
                                               pa.array(x.tolist(), pa.list_(pa.float64()))], ["doc_id", "y", "x"])
 
     got = fit_sample(docs, labels, "quality", rows).select("doc_id", "text", "y") \
-        .mapInArrow(measure, "doc_id long, y double, x array<double>").toPandas() \
+        .mapInArrow(measure, "doc_id long, y double, x array<double>").toArrow().to_pandas() \
         .sort_values("doc_id", kind="stable")  # at most ``rows`` rows
     x = np.array(got["x"].tolist(), float).reshape(len(got), len(FIGURES))
     return fit(x, got["y"].to_numpy(float))

@@ -169,7 +169,7 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS, size: int =
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("y"),
                                               pa.array(x, pa.list_(pa.float64()))], ["doc_id", "y", "x"])
 
-    got = sample.mapInArrow(measure, "doc_id long, y double, x array<double>").toPandas() \
+    got = sample.mapInArrow(measure, "doc_id long, y double, x array<double>").toArrow().to_pandas() \
         .sort_values("doc_id", kind="stable")  # at most ``rows`` rows
     lexicon.fit = _logistic(np.array(got["x"].tolist(), float), got["y"].to_numpy(float))
     return lexicon
