@@ -53,19 +53,34 @@ def bands(size: int, percent: int) -> tuple[int, int, int]:
         number, low = number + 1, high + 1
 
 
+def _excess(mean: float, spare: int) -> float:
+    """Expected number of empty segments beyond ``spare``, of a Poisson number with that mean."""
+    if mean > 30:
+        sd = math.sqrt(mean)
+        z = (spare - mean) / sd
+        return sd * math.exp(-z * z / 2) / math.sqrt(2 * math.pi) + (mean - spare) * 0.5 * math.erfc(z / math.sqrt(2))
+    p, below, sum_below = math.exp(-mean), 0.0, 0.0
+    for k in range(spare + 1):
+        below, sum_below = below + p, sum_below + k * p
+        p *= mean / (k + 1)
+    return max(mean - sum_below - spare * (1 - below), 0.0)
+
+
 @lru_cache(maxsize=4096)
 def scheme(number: int, low: int, high: int, percent: int) -> tuple[int, int, int]:
-    """(segments with one-deletion neighbourhoods, whole segments, segments that may be left out)."""
+    """(segments with one-deletion neighbourhoods, whole segments, empty segments that may be left out)."""
     most = (high + high * 100 // percent) * (100 - percent) // (100 + percent)  # largest difference of linked sets
 
-    def cost(a: int) -> float:
-        b = max(most + 1 - 2 * a, 0)
-        m = a + b
-        return b + a * (1 + low / m) + CHANCE * m * math.exp(-low / m)
+    def cost(a: int, spare: int) -> float:
+        m = a + max(most + 1 - 2 * a, 0) + 2 * spare
+        empty = m * math.exp(-low / m)
+        return m - a + a * (1 + low / m) + CHANCE * _excess(empty, spare)
 
-    a = min(range((most + 2) // 2 + 1), key=cost)
-    b = max(most + 1 - 2 * a, 0)
-    return (a, b, 0) if a or most == 0 else (0, b + 2, 1)
+    options = [(a, 0) for a in range((most + 2) // 2 + 1)]
+    if most:  # whole segments only, with some to spare
+        options += [(0, r) for r in range(1, most // 2 + 2)]
+    a, spare = min(options, key=lambda x: cost(*x))
+    return a, max(most + 1 - 2 * a, 0) + 2 * spare, spare
 
 
 @lru_cache(maxsize=1 << 16)
