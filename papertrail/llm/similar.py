@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from papertrail.llm import bloom, scan
-from papertrail.llm.common import cut, table, utf8
+from papertrail.llm.common import cut, partitions, table, utf8
 
 SHINGLE, PERCENT = 3, 90
 #: Bits of the table of repeated signatures: 2^26, 8 MB.
@@ -40,7 +40,7 @@ REPEATED_BITS = 26
 HUB_ROUNDS = 3
 #: What a match by chance costs, in signatures.
 CHANCE = 1000.0
-_SKETCH = 256
+_SKETCH, _SEEN = 256, 100_000
 
 
 def bands(size: int, percent: int) -> tuple[int, int, int]:
@@ -177,22 +177,21 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERC
 
     def describe(batches):
         for batch in batches:
-            n, key, sk, sig = [], [], [], []
+            n, key, sk = [], [], []
             for s in sets(*utf8(batch.column("text")), shingle):
                 n.append(len(s))
                 key.append(set_key(s) if len(s) else None)
                 sk.append(sketch(s) if len(s) else None)
-                sig.append(signatures(s, percent).view(np.int64) if len(s) else None)
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(key, pa.int64()),
-                 pa.array(sk, pa.list_(pa.int64())), pa.array(sig, pa.list_(pa.int64())), *[batch.column(c) for c in carry]],
-                ["doc_id", "n", "key", "sketch", "sigs", *carry])
+                 pa.array(sk, pa.list_(pa.int64())), *[batch.column(c) for c in carry]],
+                ["doc_id", "n", "key", "sketch", *carry])
 
-    schema = spark.createDataFrame([], "doc_id long, n long, key long, sketch array<long>, sigs array<long>").schema
+    schema = spark.createDataFrame([], "doc_id long, n long, key long, sketch array<long>").schema
     for c in carry:
         schema.add(docs.schema[c])
     described = cut(docs.mapInArrow(describe, schema), "shingle-sets")
-    groups = _groups(described)
+    groups = _groups(docs.select("text"), shingle, percent)
     nodes = cut(described.join(groups.select("key").distinct(), "key", "left_semi").groupBy("key")
                 .agg(F.first("n").alias("n"), F.first("sketch").alias("sketch")), "nodes")
     wanted = spark.sparkContext.broadcast(bloom.build(nodes, "key"))
@@ -203,7 +202,7 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERC
             keys, values = [], []
             for s in sets(*utf8(batch.column("text")), shingle):
                 if len(s) and (k := set_key(s)) not in seen and bloom.test(wanted.value, np.array([k]).view(np.uint64))[0]:
-                    if len(seen) < 100_000:  # only spares copies of one task; the rest are dropped after the shuffle
+                    if len(seen) < _SEEN:  # only spares copies of one task; the rest are dropped after the shuffle
                         seen.add(k)
                     keys.append(k)
                     values.append(s.tobytes())
@@ -245,27 +244,77 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERC
         .otherwise(F.col("component_id")).alias("component_id"), "label", *carry)
 
 
-def _groups(described: DataFrame) -> DataFrame:
-    """(sig, key) of the signatures that several different sets have."""
-    spark = described.sparkSession
-    sigs = described.filter("key IS NOT NULL").select(F.explode("sigs").alias("sig"))
-    repeated = sigs.groupBy("sig").count().filter("count > 1")
+def _each(batches, shingle: int, percent: int):
+    """(key, signatures) of the different sets of a task's texts, as far as ``_SEEN`` keys tell them apart."""
+    seen: set = set()
+    for batch in batches:
+        for s in sets(*utf8(batch.column("text")), shingle):
+            if len(s) and (k := set_key(s)) not in seen:
+                if len(seen) < _SEEN:  # copies beyond that only make work, no difference
+                    seen.add(k)
+                yield k, signatures(s, percent)
+
+
+def _groups(docs: DataFrame, shingle: int, percent: int) -> DataFrame:
+    """(sig, key) of the signatures that several different sets have.
+
+    Signatures are counted in short form: 48 bits, sorted, as differences, one packed column per task and range.  Those
+    that occur once, nearly all, go no further.
+    """
+    spark = docs.sparkSession
+    ranges = partitions(spark)
+
+    def pack(batches):
+        held, size = [], 0
+        for _, sig in _each(batches, shingle, percent):
+            held.append(sig >> np.uint64(16))
+            size += len(sig)
+            if size > 2_000_000:
+                yield _packed(held, ranges)
+                held, size = [], 0
+        if held:
+            yield _packed(held, ranges)
+
+    def count(group: pa.Table) -> pa.Table:
+        short = [np.cumsum(np.concatenate([np.frombuffer(body[:8], "<u8"), np.frombuffer(body[8:], kind)]), dtype=np.uint64)
+                 for body, kind in zip(group["body"].to_pylist(), group["kind"].to_pylist())]
+        values, n = np.unique(np.concatenate(short), return_counts=True)
+        return pa.table({"sig": pa.array(scan.mix(values[n > 1]).view(np.int64))})
+
+    repeated = docs.mapInArrow(pack, "range int, kind string, body binary").groupBy("range").applyInArrow(count, "sig long")
     known = spark.sparkContext.broadcast(bloom.build(repeated, "sig", REPEATED_BITS))
 
     def thin(batches):
         for batch in batches:
-            sig = batch.column("sigs")
-            flat = sig.flatten().to_numpy(zero_copy_only=False)
-            owner = np.repeat(batch.column("key").to_numpy(zero_copy_only=False).astype(np.int64), sig.value_lengths().to_numpy())
-            kept = bloom.test(known.value, flat.view(np.uint64))
-            yield pa.RecordBatch.from_arrays([pa.array(flat[kept]), pa.array(owner[kept])], ["sig", "key"])
-
-    rows = described.filter("key IS NOT NULL").select("key", "sigs").mapInArrow(thin, "sig long, key long")
-    rows = cut(rows.distinct(), "repeated-signatures")
+            found, owner = [np.empty(0, np.uint64)], [np.empty(0, np.int64)]
+            for key, sig in _each([batch], shingle, percent):
+                kept = sig[bloom.test(known.value, scan.mix(sig >> np.uint64(16)))]
+                found.append(kept)
+                owner.append(np.full(len(kept), key, np.int64))
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found).view(np.int64)), pa.array(np.concatenate(owner))],
+                                             ["sig", "key"])
+
+    rows = cut(docs.mapInArrow(thin, "sig long, key long").distinct(), "repeated-signatures")
     several = rows.groupBy("sig").agg(F.min("key").alias("low"), F.max("key").alias("high")).filter("low <> high").select("sig")
     return cut(rows.join(several, "sig"), "signature-groups")
 
 
+def _packed(held: list[np.ndarray], ranges: int) -> pa.RecordBatch:
+    """Short signatures by range of their values; one that the task has met twice is there twice."""
+    values, n = np.unique(np.concatenate(held), return_counts=True)
+    values = np.sort(np.concatenate([values, values[n > 1]]))
+    place = ((values >> np.uint64(16)) * np.uint64(ranges)) >> np.uint64(32)
+    edge = np.searchsorted(place, np.arange(ranges + 1, dtype=np.uint64))
+    rows = []
+    for r in np.flatnonzero(np.diff(edge)).tolist():
+        part = values[edge[r]:edge[r + 1]]
+        steps = np.diff(part)
+        kind = "<u4" if not len(steps) or steps.max() < 1 << 32 else "<u8"
+        rows.append((r, kind, part[:1].astype("<u8").tobytes() + steps.astype(kind).tobytes()))
+    return pa.RecordBatch.from_arrays([pa.array([x[0] for x in rows], pa.int32()), pa.array([x[1] for x in rows]),
+                                       pa.array([x[2] for x in rows], pa.binary())], ["range", "kind", "body"])
+
+
 def _linked(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) whose whole sets are similar enough."""
     def compare(batches):
