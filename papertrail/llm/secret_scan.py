@@ -1,7 +1,8 @@
 """Secret scans: key patterns, and a battery of randomness tests over every other long token.
 
 Patterns give the base spans (kinds ``assign``, ``access``, ``hex``).  The battery looks at each run of 20 or more
-characters of ``[A-Za-z0-9+/_=-]`` that no base span touches:
+characters of ``[A-Za-z0-9+/_=-]``.  Base spans are cut out of a run, the rest is cut at ``=``, and what no alphabet holds
+is cut at ``/ +``, at ``- _`` and at all four; of every part that still has 20 characters:
 
 * the encoding is inferred from the characters: decimal, hex, base32, base62 or base64;
 * chi-squared test of the alphabet's uniformity, runs test about the alphabet's median, serial correlation of
@@ -13,7 +14,7 @@ characters of ``[A-Za-z0-9+/_=-]`` that no base span touches:
   e-values over all candidates of the corpus keeps the share of false discoveries below ``rate``.  Longer runs have more
   evidence, and no short one is judged by the threshold of the long.
 
-What passes is a span of kind ``random``.  All statistics cover every document; what reaches the driver is two tables of
+What passes is a span of kind ``random``; parts that overlap make one span.  All statistics cover every document; what reaches the driver is two tables of
 fixed size (characters by encoding; counts by band and rounded log e-value).
 
 Defined results: a null or empty text has no spans and the sha256 of the empty string; null and repeated doc_ids keep a
@@ -38,6 +39,8 @@ _ASSIGN = re.compile(r"""([pP][aA][sS][sS][wW][oO][rR][dD]|[pP][aA][sS][sS][wW][
 _ACCESS = re.compile(r"AKIA[A-Z0-9]{16,}")
 _HEX = re.compile(r"[0-9a-f]{24,}")
 _RUN = re.compile(r"[A-Za-z0-9+/_=-]{20,}")
+_NO_PAD = re.compile("[^=]+")
+_PARTS = tuple(re.compile(x) for x in ("[^/+]+", "[^_-]+", "[^/+_-]+"))
 _ALPHABETS = (
     ("decimal", "0123456789"), ("hex", "0123456789abcdef"), ("hex_upper", "0123456789ABCDEF"),
     ("base32", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"), ("base36", "0123456789abcdefghijklmnopqrstuvwxyz"),
@@ -97,21 +100,50 @@ def battery(run: str, encoding: str) -> float:
     return min(1.0, 3 * min(p_chi, p_runs, p_serial))
 
 
+def parts(run: str) -> list[tuple[int, str, str]]:
+    """(start, part, encoding) of what is tested of a run."""
+    out = {}
+    for piece in _NO_PAD.finditer(run):
+        # A piece that mixes the two base64 alphabets: as tokens of either, and of letters and digits alone.
+        cuts = [piece] if infer(piece[0].strip("-_/+")) else [
+            m for cut_ in _PARTS for m in cut_.finditer(run, piece.start(), piece.end())]
+        for m in cuts:
+            part = m[0].strip("-_/+")
+            if len(part) >= 20 and (encoding := infer(part)):
+                out[m.start() + m[0].find(part), part] = encoding
+    return [(start, part, encoding) for (start, part), encoding in sorted(out.items())]
+
+
 def candidates(text: str, taken: list[tuple[int, int, int]]) -> list[tuple[int, int, str, str, float]]:
-    """(start, end, run, encoding, p) of the long runs that no base span touches."""
+    """(start, end, run, encoding, p) of the parts of long runs outside base spans."""
     found, at = [], 0
     for m in _RUN.finditer(text):
-        run = m[0].strip("=-_/+")
-        start = m.start() + m[0].find(run[:1]) if run else m.start()
-        end = start + len(run)
+        start, end = m.span()
         while at < len(taken) and taken[at][2] <= start:
             at += 1
-        if len(run) < 20 or any(s < end and e > start for s, _, e in taken[at:at + 8]) or not (encoding := infer(run)):
-            continue
-        found.append((start, end, run, encoding, battery(run, encoding)))
+        free, i = [], at
+        while i < len(taken) and taken[i][0] < end:
+            if taken[i][2] > start:
+                free.append((start, taken[i][0]))
+                start = taken[i][2]
+            i += 1
+        for a, z in [*free, (start, end)]:
+            if z - a >= 20:
+                found += [(a + s, a + s + len(run), run, encoding, battery(run, encoding)) for s, run, encoding in parts(text[a:z])]
     return found
 
 
+def joined(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """(start, end) spans, those that overlap as one."""
+    out: list[tuple[int, int]] = []
+    for s, e in sorted(spans):
+        if out and s < out[-1][1]:
+            out[-1] = (out[-1][0], max(e, out[-1][1]))
+        else:
+            out.append((s, e))
+    return out
+
+
 def band(n: int) -> int:
     return sum(n >= b for b in _BANDS)
 
@@ -193,7 +225,8 @@ def scan(docs: DataFrame, keep: float = 0.001, rate: float = 0.01) -> DataFrame:
 
     def choose(batches):
         for batch in batches:
-            out = [[dict(start=r["start"], kind=3, end=r["end"]) for r in runs if rules.holds(r["run"], r["encoding"], r["p"])]
+            out = [[dict(start=s, kind=3, end=e) for s, e in joined(
+                        [(r["start"], r["end"]) for r in runs if rules.holds(r["run"], r["encoding"], r["p"])])]
                    for runs in batch.column("runs").to_pylist()]
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id"), batch.column("spans"), pa.array(out, _SPAN)], ["doc_id", "base", "random"])
@@ -211,7 +244,8 @@ def redacted(docs: DataFrame, keep: float = 0.001, rate: float = 0.01) -> DataFr
             for text in batch.column("text").to_pylist():
                 if text:
                     base = base_spans(text)
-                    spans = base + [(s, 3, e) for s, e, *run in candidates(text, base) if rules.holds(*run)]
+                    spans = base + [(s, 3, e) for s, e in joined(
+                        [(s, e) for s, e, *run in candidates(text, base) if rules.holds(*run)])]
                     pieces, at = [], 0
                     for s, k, e in sorted(spans):
                         if e > at:  # what overlaps an earlier span goes with it

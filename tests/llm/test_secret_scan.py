@@ -64,3 +64,29 @@ def test_battery_holds_its_level():
     hexes = ["".join(rng.choices("0123456789abcdef", k=40)) for _ in range(2000)]
     assert sum(S.battery(x, "hex") <= 0.01 for x in hexes) < 60
     assert all(S.battery(x, "hex") < 0.001 for x in ("ab" * 20, "0" * 40, "0123456789abcdef" * 3))
+
+
+def test_parts_of_runs_are_tested(spark):
+    """Values behind a name, tokens of the other base64 alphabet in a path, and what a base span leaves of a run."""
+    rng = random.Random(7)
+    letters = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
+    key = lambda chars, n=40: rng.choice(letters) + "".join(rng.choices(chars, k=n - 2)) + rng.choice(letters)
+    kinds = [("AWS_SECRET_ACCESS_KEY=", letters + "+/", ""), ("sig=", letters, "=="), ("some/path/", letters + "-_" * 4, ""),
+             ("0a" * 12 + "/", letters.replace("abcdef", ""), "")]
+    rows, keys = [], {}
+    for i in range(80):
+        before, chars, after = kinds[i % 4]
+        keys[i] = (4 + len(before), key(chars))
+        rows.append((i, f"see {before}{keys[i][1]}{after} there"))
+    words = ["the", "and", "over", "station", "keeper", "letters", "window", "never"]
+    rows += [(i, "see " + "_".join(rng.choices(words, k=8)) + " there") for i in range(100, 600)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: r.spans for r in S.summary(S.scan(docs)).collect()}
+    clean = {r.doc_id: r.text for r in S.redacted(docs).collect()}
+    for kind in range(4):
+        hit = [i for i in keys if i % 4 == kind and any(
+            int(s) <= keys[i][0] and int(e) >= keys[i][0] + 40 for k, s, e in (x.split(":") for x in got[i].split(",") if x)
+            if k == "random")]
+        assert len(hit) >= 16, (kinds[kind][0], len(hit), [(rows[i][1], got[i]) for i in keys if i % 4 == kind and i not in hit])
+        assert all(keys[i][1] not in clean[i] for i in hit)
+    assert not any(got[i] for i in got if i >= 100)
