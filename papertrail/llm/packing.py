@@ -31,8 +31,8 @@ from papertrail.llm.common import cut, partitions, table, texts, utf8
 WINDOW = 4096
 #: A shard is closed at so many documents or tokens; an index of one is some 20 MB.
 SHARD_DOCS, SHARD_TOKENS = 1024, 1_500_000
-#: Terms of a seed that are looked up: those that weigh most.
-QUERY_TERMS = 24
+#: Most terms of a seed that are looked up: all of them.
+QUERY_TERMS = None
 _K1, _B = 1.2, 0.75
 _PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
@@ -102,19 +102,15 @@ class Shard:
         doc = np.repeat(np.arange(len(ids), dtype=np.int32), np.diff(self.first))
         length = np.repeat(np.array([_K1 * (1 - _B + _B * len(x) / mean) for x in ids], np.float32), np.diff(self.first))
         weight = idf.astype(np.float32)[term] * count * np.float32(_K1 + 1) / (count + length)
-        self.term, self.weight, self.n = term, weight, len(ids)
+        self.term, self.n = term, len(ids)
         order = np.argsort(term, kind="stable")
         self.docs, self.scores = doc[order], weight[order]
         used, at = np.unique(term[order], return_index=True)
         self.place = dict(zip(used.tolist(), zip(at.tolist(), np.append(at[1:], len(order)).tolist())))
 
     def neighbours(self, seed: int) -> np.ndarray:
-        """Documents by falling score against the seed's heaviest terms; only those that share one."""
-        own = slice(self.first[seed], self.first[seed + 1])
-        term, weight = self.term[own], self.weight[own]
-        if len(term) > QUERY_TERMS:
-            term = term[np.argpartition(-weight, QUERY_TERMS)[:QUERY_TERMS]]
-        spans = [self.place[t] for t in term.tolist()]
+        """Documents by falling score against all terms of the seed; only those that share one."""
+        spans = [self.place[t] for t in self.term[self.first[seed]:self.first[seed + 1]].tolist()]
         if not spans:
             return np.empty(0, np.int64)
         score = np.bincount(np.concatenate([self.docs[a:b] for a, b in spans]),

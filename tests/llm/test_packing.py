@@ -97,3 +97,10 @@ def test_neighbours_share_windows(spark):
     for p in found:
         kinds[p.sequence_id].add(p.doc_id % 2)
     assert sum(len(k) > 1 for k in kinds.values()) <= 2
+
+
+def test_every_term_of_a_seed_counts():
+    """A document that shares only the least heavy of 60 terms is a neighbour."""
+    docs = [np.arange(60), np.array([59, 100]), np.array([101])]
+    idf = np.linspace(9, 1, 102)
+    assert set(packing.Shard(docs, idf, 20.0).neighbours(0).tolist()) == {0, 1}
