@@ -98,3 +98,12 @@ def test_held_out_labels_are_not_read(spark):
     turned = labels.withColumn("quality", F.when(crc_mod("doc_id", 5) == 0, 1 - F.col("quality")).otherwise(F.col("quality")))
     a, b = quality.train(docs, labels), quality.train(docs, turned)
     assert all((x == y).all() for x, y in zip(a.tables, b.tables))
+
+
+def test_sample_has_one_row_for_a_repeated_id(spark):
+    from papertrail.llm.labelled import fit_sample
+    docs = spark.createDataFrame([(1, f"text {i}") for i in range(50)] + [(2, "b"), (3, None)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, 1) for i in range(1, 4)], "doc_id long, quality int")
+    sample = fit_sample(docs, labels, "quality", 3).collect()
+    ids = [r.doc_id for r in sample]
+    assert 1 in ids and len(ids) == len(set(ids)) <= 3
