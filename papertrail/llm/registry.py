@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from papertrail.llm import counts, fingerprint, leaks, ngram_trie, packing, quality, records, secret_scan, similar, toxicity
+from papertrail.llm import best_fit, counts, fingerprint, leaks, ngram_trie, packing, quality, records, secret_scan, similar, toxicity
 
 QUERIES = {
     "op1_quality": quality.op1_quality,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_lexical_packing": packing.op8_lexical_packing,
     "op9_secret_scan": secret_scan.op9_secret_scan,
     "op10_order_minhash": fingerprint.op10_order_minhash,
+    "op12_best_fit": best_fit.op12_best_fit,
 }
 
 
