@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from papertrail.llm import best_fit, counts, fingerprint, leaks, ngram_trie, packing, quality, records, secret_scan, similar, toxicity
+from papertrail.llm import (
+    best_fit, counts, fingerprint, leaks, ngram_trie, packing, quality, records, secret_scan, similar, toxicity, vector_codes)
 
 QUERIES = {
     "op1_quality": quality.op1_quality,
@@ -16,8 +17,10 @@ QUERIES = {
     "op9_secret_scan": secret_scan.op9_secret_scan,
     "op10_order_minhash": fingerprint.op10_order_minhash,
     "op12_best_fit": best_fit.op12_best_fit,
+    "op13_vector_codes": vector_codes.op13_vector_codes,
 }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_ngram_jaccard": similar.SQL, "op3_benchmark_leaks": leaks.SQL}
+    return {"op2_ngram_jaccard": similar.SQL, "op3_benchmark_leaks": leaks.SQL,
+            "op13_vector_codes": vector_codes.SQL}
