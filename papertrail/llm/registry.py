@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from papertrail.llm import (
-    best_fit, counts, fingerprint, leaks, ngram_trie, packing, quality, records, secret_scan, similar, toxicity, vector_codes)
+    best_fit, counts, fingerprint, leaks, ngram_trie, packing, periodic, quality, records, secret_scan, similar, toxicity, vector_codes)
 
 QUERIES = {
     "op1_quality": quality.op1_quality,
@@ -16,6 +16,7 @@ QUERIES = {
     "op8_lexical_packing": packing.op8_lexical_packing,
     "op9_secret_scan": secret_scan.op9_secret_scan,
     "op10_order_minhash": fingerprint.op10_order_minhash,
+    "op11_periodic_runs": periodic.op11_periodic_runs,
     "op12_best_fit": best_fit.op12_best_fit,
     "op13_vector_codes": vector_codes.op13_vector_codes,
 }
