@@ -89,8 +89,8 @@ def with_payload(events: DataFrame, document_id: str = "document_id", schema: st
 
 
 def outbox(matches: DataFrame, document_id: str = "document_id", key: str = "webhook_id",
-           schema: str | None = None, as_of: Column | None = None) -> DataFrame:
-    """Deliveries to send: an idempotent id and the payload, for eligible matches.
+           schema: str | None = None, as_of: Column | None = None, carry: tuple[str, ...] = ()) -> DataFrame:
+    """Deliveries to send: an idempotent id and the payload, for eligible matches, with the columns ``carry``.
 
     Matches of ``with_payload`` events carry theirs; others get it here.
     """
@@ -100,7 +100,7 @@ def outbox(matches: DataFrame, document_id: str = "document_id", key: str = "web
         matches = with_payload(matches, document_id, schema, as_of)
     return matches.select(
         F.sha2(F.concat_ws("|", doc, F.col(key).cast("string"), F.col("event")), 256).alias("delivery_id"),
-        document_id, key, "url", "payload")
+        document_id, key, "url", "payload", *carry)
 
 
 def outcome(status_code: Column, transport_error: Column) -> Column:

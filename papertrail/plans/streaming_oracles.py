@@ -27,11 +27,11 @@ def oracles() -> dict[str, str]:
             f", s AS (SELECT document_id, reject_reason, CASE WHEN reject_reason IS NOT NULL THEN 'classification' WHEN file_size > {V.MAX_EXTRACT_BYTES} THEN 'ocr' "
             "WHEN coalesce(text, '') = '' THEN 'analysis' END AS failed_stage FROM m) SELECT document_id, 'failed' AS stage, failed_stage, "
             "CASE failed_stage WHEN 'classification' THEN reject_reason WHEN 'ocr' THEN 'too_large_to_extract' ELSE 'no text to analyze' END AS error FROM s WHERE failed_stage IS NOT NULL"),
-        "stream_dedup": "SELECT DISTINCT md5(text) AS content_hash FROM documents",
+        "stream_dedup": "SELECT md5(text) AS content_hash, min(doc_id) AS doc_id FROM documents GROUP BY md5(text)",
         "stream_state": O.L + "SELECT job_id, event_id, task_status, stage, n_events FROM last",
         "stream_stuck": O.L + (
-            ", mark AS (SELECT least((SELECT max(ts) FROM l WHERE task_status = 'PENDING'), (SELECT max(ts) FROM l WHERE task_status IN ('SUCCESS', 'FAILURE'))) - INTERVAL 10 MINUTE AS w) "
-            "SELECT job_id, event_id FROM l p, mark WHERE task_status = 'PENDING' AND ts + INTERVAL 5 MINUTE < w AND NOT EXISTS (SELECT 1 FROM l t WHERE t.job_id = p.job_id "
+            ", mark AS (SELECT max(ts) - INTERVAL 10 MINUTE AS w FROM l WHERE task_status IN ('PENDING', 'SUCCESS', 'FAILURE')) "
+            "SELECT job_id, event_id FROM l p, mark WHERE task_status = 'PENDING' AND ts + INTERVAL 5 MINUTE <= w AND NOT EXISTS (SELECT 1 FROM l t WHERE t.job_id = p.job_id "
             "AND t.task_status IN ('SUCCESS', 'FAILURE') AND t.ts > p.ts AND t.ts <= p.ts + INTERVAL 5 MINUTE)"),
         "stream_rate": O.L + (
             "SELECT job_id, date_trunc('day', ts)::TIMESTAMP AS window_start, count(*) AS n_requests, count(*) > 5 AS exceeded FROM l GROUP BY ALL "

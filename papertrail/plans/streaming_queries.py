@@ -9,6 +9,7 @@ from papertrail.plans import fixtures
 from papertrail.plans.operations_queries import _registry
 from papertrail.session import shared_dir
 from papertrail.sources.readers import event_time, stream_table
+from papertrail.sources.sinks import read_first, read_outbox
 from papertrail.streaming import jobs
 
 
@@ -44,8 +45,8 @@ def stream_dedup(spark: SparkSession, sf: str) -> DataFrame:
     out, state = shared_dir(spark, "dedup"), shared_dir(spark, "checkpoint")
     uploads = source(spark, sf, "documents").select(
         "doc_id", F.md5("text").alias("content_hash"), F.timestamp_seconds(F.lit(1700000000) + F.col("doc_id")).alias("uploaded_at"))
-    jobs.finish(jobs.first_seen(uploads, out, state, delay="30 days", keep=("doc_id",)))
-    return spark.read.parquet(out).select("content_hash")
+    jobs.finish(jobs.first_ever(uploads, out, state, keep=("doc_id",)))
+    return read_first(spark, out).select("content_hash", "doc_id")
 
 
 def stream_state(spark: SparkSession, sf: str) -> DataFrame:
@@ -72,7 +73,7 @@ def stream_outbox(spark: SparkSession, sf: str) -> DataFrame:
     out, state = shared_dir(spark, "outbox"), shared_dir(spark, "checkpoint")
     checked = jobs.document_flow(_view(spark, sf, "manifest", "documents"))
     jobs.finish(jobs.deliver(I.delivery_gate(checked).select("document_id", "event"), _registry(spark, sf), out, state))
-    return spark.read.parquet(out).select("delivery_id", "document_id", "webhook_id")
+    return read_outbox(spark, out).select("delivery_id", "document_id", "webhook_id")
 
 
 QUERIES = {f.__name__: f for f in (

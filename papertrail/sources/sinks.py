@@ -1,43 +1,62 @@
-"""Sinks: record tables, job results, security events and the outbox.
+"""Sinks: record tables, job results, security events, seen keys and the outbox.
 
-All writes are idempotent: a write owns the partitions of its batch and a replay replaces them; deliveries carry a derived
-id.
+All are ``store.BatchStore`` tables: a batch is seen whole or not at all, a replayed one replaces itself, and deliveries carry
+a derived id.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, Row, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, Row, SparkSession, functions as F
 
+from papertrail.sources.store import BATCH, BUCKET, BatchStore, bucket
 
-def _has_rows(spark: SparkSession, path: str) -> bool:
-    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).exists(hadoop)
+#: Folders that ids are dealt out to by their hash, in tables that are searched by id.
+BUCKETS = 16
+PERIOD = "_period"
 
 
-def write_records(df: DataFrame, path: str, batch_id: int = 0, fmt: str = "parquet", by: str = "document_type") -> None:
-    """Records partitioned by type and batch: a lookup by type reads one folder, one by id is a pushed-down filter.
+def _bucketed(df: DataFrame, key: str, buckets: int) -> DataFrame:
+    """The number of buckets goes with the column, so that readers find an id's bucket."""
+    return df.withColumn(BUCKET, bucket(key, buckets)).withMetadata(BUCKET, {"buckets": buckets})
 
-    Earlier batches stay; the same batch written again replaces itself.  No shuffle: each task writes its rows of a
-    type; ``by`` has few values.
+
+def _buckets(store: BatchStore, default: int) -> int:
+    schema = store.schema()
+    return schema[BUCKET].metadata["buckets"] if schema is not None else default
+
+
+def write_records(df: DataFrame, path: str, batch_id: int = 0, fmt: str = "parquet", by: str = "document_type",
+                  key: str = "document_id", buckets: int = BUCKETS) -> None:
+    """Records by type and bucket of the id: a search by type or by id reads its folders alone.
+
+    Earlier batches stay; the same batch written again replaces itself.  The number of buckets is that of the first batch.
     """
-    df.withColumn("batch", F.lit(batch_id).cast("long")).write.format(fmt).mode("overwrite") \
-        .option("partitionOverwriteMode", "dynamic").partitionBy(by, "batch").save(path)
+    store = BatchStore(df.sparkSession, path, (by, BUCKET), fmt=fmt)
+    store.write(_bucketed(df, key, _buckets(store, buckets)), batch_id)
 
 
 def read_records(spark: SparkSession, path: str, key: str = "document_id", fmt: str = "parquet") -> DataFrame:
-    """The latest record of every document: of each id, the rows of its last batch."""
-    stored = spark.read.format(fmt).load(path)
-    last = stored.groupBy(key).agg(F.max("batch").alias("batch"))
-    return stored.join(last, [key, "batch"]).select(*stored.columns)
+    """The latest record of every document: of each id, the rows of its last committed batch.
+
+    Ids and batches are compared apart from the records, which move only if very many ids have more than one.
+    """
+    stored = BatchStore(spark, path, fmt=fmt).read()
+    latest = stored.groupBy(key).agg(F.max(BATCH).alias("_latest"), F.min(BATCH).alias("_first")) \
+        .filter(F.col("_latest") > F.col("_first")).select(F.col(key).alias("_key"), "_latest")
+    return stored.join(latest, F.col(key).eqNullSafe(F.col("_key")), "left") \
+        .filter(F.col("_latest").isNull() | (F.col(BATCH) == F.col("_latest"))).select(*stored.columns)
 
 
-def read_record(spark: SparkSession, path: str, document_id, key: str = "document_id",
-                fmt: str = "parquet") -> DataFrame:
-    """The latest record of one document; the filter reaches the scan."""
-    stored = spark.read.format(fmt).load(path).filter(F.col(key) == document_id)
-    return stored.filter(F.col("batch") == stored.agg(F.max("batch").alias("b")).scalar())
+def read_record(spark: SparkSession, path: str, document_id, key: str = "document_id", fmt: str = "parquet") -> DataFrame:
+    """The latest record of one document, from the one bucket its id can be in."""
+    store = BatchStore(spark, path, fmt=fmt)
+    stored = store.read()
+    wanted = F.lit(document_id).cast(stored.schema[key].dataType)
+    here = F.pmod(F.xxhash64(wanted.cast("string")), F.lit(_buckets(store, BUCKETS))).cast("int")
+    mine = stored.filter((F.col(BUCKET) == here) & (F.col(key) == wanted))
+    return mine.filter(F.col(BATCH) == mine.agg(F.max(BATCH).alias("b")).scalar())
 
 
 def write_results(path: str, batch_id: int, **tables: DataFrame) -> None:
@@ -46,33 +65,92 @@ def write_results(path: str, batch_id: int, **tables: DataFrame) -> None:
         write_batch(df, f"{path}/{name}", batch_id)
 
 
+def read_results(spark: SparkSession, path: str, *names: str) -> dict[str, DataFrame]:
+    """The named tables up to the last batch that all of them have."""
+    stores = {name: BatchStore(spark, f"{path}/{name}") for name in names}
+    done = min(max(store.batches(), default=-1) for store in stores.values())
+    return {name: store.read(before=done + 1) for name, store in stores.items()}
+
+
 def write_security_events(events: DataFrame, path: str, batch_id: int = 0, time: str = "uploaded_at") -> None:
-    """Partitioned by date and batch; a replayed batch replaces its own rows."""
-    events.withColumns({"event_date": F.to_date(time), "batch": F.lit(batch_id).cast("long")}).write.mode("overwrite") \
-        .option("partitionOverwriteMode", "dynamic").partitionBy("event_date", "batch").parquet(path)
+    """Partitioned by date; a replayed batch replaces its own rows."""
+    BatchStore(events.sparkSession, path, ("event_date",)).write(events.withColumn("event_date", F.to_date(time)), batch_id)
 
 
 def write_batch(df: DataFrame, path: str, batch_id: int) -> None:
-    """One micro-batch as its own partition; a replay replaces it."""
-    df.write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
+    """One micro-batch; a replay replaces it."""
+    BatchStore(df.sparkSession, path).write(df, batch_id)
+
+
+def read_batches(spark: SparkSession, path: str) -> DataFrame:
+    """All rows of committed batches."""
+    return BatchStore(spark, path).read()
+
+
+def _new(rows: DataFrame, store: BatchStore, key: str, batch_id: int, *folders: str) -> DataFrame:
+    """The rows whose key is in no earlier batch; only the folders that the rows fall into are opened.
+
+    The stored keys are matched with the batch's (a semi join, whose small side is the batch), then the batch with what was
+    found, so the store is not moved.
+    """
+    schema = store.schema()
+    if schema is None:
+        return rows
+    # At most the number of folder values there are: buckets, and the periods of one batch.
+    touched = rows.select(*folders).distinct().collect()
+    stored = store.read(before=batch_id, schema=schema)
+    for name in folders:
+        stored = stored.filter(F.col(name).isin(sorted({r[name] for r in touched})))
+    known = stored.select(key).join(rows.select(key), key, "left_semi").distinct()
+    return rows.join(known, key, "left_anti")
+
+
+def outbox_store(spark: SparkSession, path: str) -> BatchStore:
+    return BatchStore(spark, path, (PERIOD, BUCKET), blooms=("delivery_id",))
+
+
+def append_outbox(deliveries: DataFrame, path: str, batch_id: int, period: Column | None = None, buckets: int = BUCKETS) -> None:
+    """Deliveries that no earlier batch has, as this batch's rows; a replayed batch writes the same rows again.
+
+    ``period`` is a whole number that depends on the delivery alone, such as the month of the document's upload: a repeated
+    delivery falls into the same one, so a batch is compared with the stored ids of its own periods and buckets and with
+    nothing else, however long the history, and still nothing is sent twice.  Null is period 0.
+    """
+    store = outbox_store(deliveries.sparkSession, path)
+    fresh = _bucketed(deliveries.withColumn(PERIOD, F.coalesce(period, F.lit(0)).cast("int") if period is not None else F.lit(0)),
+                      "delivery_id", _buckets(store, buckets)).dropDuplicates(["delivery_id"]).persist()
+    try:
+        store.write(_new(fresh, store, "delivery_id", batch_id, PERIOD, BUCKET), batch_id)
+    finally:
+        fresh.unpersist()
+
+
+def read_outbox(spark: SparkSession, path: str, batch_id: int | None = None) -> DataFrame:
+    """All committed deliveries, or those a batch added."""
+    stored = outbox_store(spark, path).read()
+    return stored if batch_id is None else stored.filter(F.col(BATCH) == batch_id)
 
 
-def append_outbox(deliveries: DataFrame, path: str, batch_id: int, horizon: int | None = None) -> None:
-    """Deliveries not yet in the outbox, as this micro-batch's partition.
+def append_first(rows: DataFrame, path: str, batch_id: int, key: str, order: tuple[str, ...], buckets: int = BUCKETS) -> None:
+    """Of each key that no earlier batch has, the first row by ``order``.  A null key is a key.
 
-    A replayed batch compares with the other batches only, so it writes the same rows again.  ``horizon``: how many
-    batches back ids are compared with (all by default); older partitions are then not read.  A folder that a crashed
-    write left without files holds no ids.
+    The keys seen so far are the table itself: dealt out to buckets, with a Bloom filter per file.
     """
-    spark = deliveries.sparkSession
-    fresh = deliveries.dropDuplicates(["delivery_id"])
-    if _has_rows(spark, path):
-        kind = deliveries.schema["delivery_id"].dataType.simpleString()
-        sent = spark.read.schema(f"delivery_id {kind}, batch long").parquet(path).filter(F.col("batch") != batch_id)
-        if horizon is not None:
-            sent = sent.filter(F.col("batch") >= batch_id - horizon)
-        fresh = fresh.join(sent.select("delivery_id"), "delivery_id", "left_anti")
-    write_batch(fresh, path, batch_id)
+    store = BatchStore(rows.sparkSession, path, (BUCKET,), blooms=(key,))
+    rest = [c for c in rows.columns if c != key]
+    first = rows.groupBy(key).agg(F.min(F.struct(*order, *[c for c in rest if c not in order])).alias("_row")) \
+        .select(key, *[F.col(f"_row.{c}").alias(c) for c in rest])
+    marked = _bucketed(first.withColumn("_known", F.coalesce(F.col(key).cast("string"), F.lit("\u0000"))), "_known",
+                       _buckets(store, buckets)).persist()
+    try:
+        store.write(_new(marked, store, "_known", batch_id, BUCKET), batch_id)
+    finally:
+        marked.unpersist()
+
+
+def read_first(spark: SparkSession, path: str) -> DataFrame:
+    """The rows ``append_first`` has kept."""
+    return BatchStore(spark, path).read().drop("_known", BUCKET, BATCH)
 
 
 def send(deliveries: DataFrame, sender: Callable[[Row], tuple[int | None, str | None, int]]) -> DataFrame:

@@ -14,7 +14,9 @@ from pyspark.sql.streaming import StreamingQuery
 from papertrail import fixed_values as V
 from papertrail.operators import admission as A, classify as C, extract as X, lifecycle as H, records as R
 from papertrail.operators import validate as G, webhooks as I
-from papertrail.sources.sinks import append_outbox, write_batch
+from papertrail.sources.sinks import append_first, append_outbox
+from papertrail.sources.store import BATCH, BatchStore, committed_batch
+from papertrail.streaming.overdue import Overdue
 
 DEFAULT_DELAY = "10 minutes"
 
@@ -86,55 +88,95 @@ def first_seen(uploads: DataFrame, path: str, checkpoint: str, hash_col: str = "
     return _start(unique, checkpoint, "append", path)
 
 
+def first_ever(uploads: DataFrame, path: str, checkpoint: str, hash_col: str = "content_hash", time: str = "uploaded_at",
+               keep: tuple[str, ...] = (), delay: str | None = None) -> StreamingQuery:
+    """One row per content hash for good, however much later a copy comes; ``sinks.read_first`` reads them.
+
+    Every micro-batch is folded to its first row per hash and compared with the table of hashes seen, of which it opens the
+    buckets it falls into.  No stream state is needed, and late rows count.  With ``delay``, a watermark takes copies within
+    it out of the stream first, at the price of rows later than that.
+    """
+    rows = uploads.select(hash_col, time, *keep)
+    if delay is not None:
+        rows = rows.withWatermark(time, delay).dropDuplicatesWithinWatermark([hash_col])
+
+    def each(batch: DataFrame, batch_id: int) -> None:
+        append_first(batch, path, batch_id, hash_col, (time, *keep))
+    return _start(rows, checkpoint, "append", each=each)
+
+
 STATE_COLUMNS = ("task_status", "stage")
 
 
+def state_store(spark: SparkSession, path: str, key: str = "job_id") -> BatchStore:
+    """Batches of states; merged runs hold one row per key, marked with the last batch that changed it."""
+    def fold(rows: DataFrame) -> DataFrame:
+        return rows.groupBy(key).agg(F.max("last").alias("last"), F.min("uploaded_at").alias("uploaded_at"),
+                                     F.sum("n_events").alias("n_events"), F.max(BATCH).alias(BATCH))
+    return BatchStore(spark, path, fold=fold)
+
+
 def track_state(log: DataFrame, path: str, checkpoint: str, key: str = "job_id") -> StreamingQuery:
-    """Running state: every micro-batch is folded to its last event per key and appended.
+    """Running state: every micro-batch is folded to its last event per key and stored.
 
-    No keyed state is held; ``read_state`` folds the appended rows, so late events lose by their order
-    and a hot key is one row per batch.  ``compact_state`` rewrites the history to one row per key.
+    No keyed state is held; ``read_state`` folds the stored rows, so late events lose by their order and a hot key is one
+    row per batch.  The store merges committed batches as it goes, so what a reader folds does not grow with their number.
     """
     def each(batch: DataFrame, batch_id: int) -> None:
         folded = batch.groupBy(key).agg(
             F.max(F.struct(*H.ORDER, *STATE_COLUMNS)).alias("last"), F.min("ts").alias("uploaded_at"),
             F.count(F.lit(1)).alias("n_events"))
-        write_batch(folded, path, batch_id)
+        state_store(batch.sparkSession, path, key).write(folded, batch_id)
     return _start(log, checkpoint, "append", each=each)
 
 
 def read_state(spark: SparkSession, path: str, key: str = "job_id", ttl_seconds: int | None = None,
                as_of=None) -> DataFrame:
-    """Current state from the appended rows; expired keys are left out when a TTL is given."""
-    state = spark.read.parquet(path).groupBy(key).agg(
-        F.max("last").alias("last"), F.min("uploaded_at").alias("uploaded_at"),
-        F.sum("n_events").alias("n_events"))
+    """Current state from the committed batches; expired keys are left out when a TTL is given."""
+    store = state_store(spark, path, key)
+    state = store.fold(store.read()).drop(BATCH)
     if ttl_seconds is not None:
         state = state.filter(F.col("last.ts") > as_of - F.expr(f"INTERVAL {ttl_seconds} SECOND"))
     return state
 
 
-def compact_state(spark: SparkSession, path: str, target: str, key: str = "job_id") -> None:
-    """One row per key in a new folder, for the next run of the stream to continue from."""
-    read_state(spark, path, key).write.mode("overwrite").parquet(f"{target}/batch=-1")
+def compact_state(spark: SparkSession, path: str, checkpoint: str, key: str = "job_id") -> int:
+    """One row per key for all batches that the stream's checkpoint says are done; returns the last of them.
+
+    A batch that was written but not committed by the stream stays apart, so its replay still replaces it.  Readers see the
+    old runs or the new one, never both.
+    """
+    done = committed_batch(spark, checkpoint)
+    state_store(spark, path, key).compact(done)
+    return done
 
 
 def stuck(log: DataFrame, path: str, checkpoint: str, key: str = "job_id",
           after_minutes: int = V.STUCK_AFTER_MINUTES, delay: str = DEFAULT_DELAY) -> StreamingQuery:
-    """PENDING events without a terminal event of the same key within ``after_minutes``.
+    """PENDING events without a terminal event of the same key within ``after_minutes``, once the watermark has passed that.
 
-    A time-bounded outer join: state older than the bound and the watermark is dropped.
+    Keyed state with timers (``overdue.Overdue``): a key holds its open PENDING events and a bounded number of terminal times.
     """
-    def side(prefix: str, *statuses: str) -> DataFrame:
-        return log.filter(F.col("task_status").isin(*statuses)).select(
-            F.col(key).alias(f"{prefix}_{key}"), F.col("event_id").alias(f"{prefix}_event_id"),
-            F.col("ts").alias(f"{prefix}_ts")).withWatermark(f"{prefix}_ts", delay)
-    waiting, ended = side("p", "PENDING"), side("t", *H.TERMINAL)
-    joined = waiting.join(ended, (F.col(f"p_{key}") == F.col(f"t_{key}")) & (F.col("t_ts") > F.col("p_ts")) & (
-        F.col("t_ts") <= F.col("p_ts") + F.expr(f"INTERVAL {after_minutes} MINUTE")), "left_outer")
-    late = joined.filter(F.col(f"t_{key}").isNull()).select(
-        F.col(f"p_{key}").alias(key), F.col("p_event_id").alias("event_id"), F.col("p_ts").alias("pending_since"))
-    return _start(late, checkpoint, "append", path)
+    kinds = dict(log.dtypes)
+    status = F.col("task_status")
+    events = log.filter(status.isin("PENDING", *H.TERMINAL)).withWatermark("ts", delay) \
+        .select(F.col(key).cast("string").alias(key), "ts", F.unix_micros("ts").alias("moment"),
+                F.col("event_id").cast("string").alias("event_id"), (status == "PENDING").alias("opens"))
+    late = events.groupBy(key).transformWithStateInPandas(
+        Overdue(key, after_minutes), f"`{key}` string, event_id string, pending_since long", "append", "eventTime")
+    found = late.select(F.col(key).cast(kinds[key]).alias(key), F.col("event_id").cast(kinds["event_id"]).alias("event_id"),
+                        F.timestamp_micros("pending_since").alias("pending_since"))
+    # Timers and map state need this store; other streams of the session keep theirs.
+    conf, before = log.sparkSession.conf, log.sparkSession.conf.get(_STORE)
+    conf.set(_STORE, _ROCKSDB)
+    try:
+        return _start(found, checkpoint, "append", path)
+    finally:
+        conf.set(_STORE, before)
+
+
+_STORE = "spark.sql.streaming.stateStore.providerClass"
+_ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
 def rate_windows(log: DataFrame, path: str, checkpoint: str, client: str, window: str, limit: int,
@@ -146,10 +188,14 @@ def rate_windows(log: DataFrame, path: str, checkpoint: str, client: str, window
                                  (F.col("n_requests") > limit).alias("exceeded")), checkpoint, "append", path)
 
 
-def deliver(events: DataFrame, webhooks: DataFrame, path: str, checkpoint: str,
-            document_id: str = "document_id", horizon: int | None = None) -> StreamingQuery:
-    """Valid documents to the outbox; replays and repeated documents (of ``horizon`` batches, or ever) add nothing."""
+def deliver(events: DataFrame, webhooks: DataFrame, path: str, checkpoint: str, document_id: str = "document_id",
+            period: str | None = None) -> StreamingQuery:
+    """Valid documents to the outbox; replays and repeated documents add nothing.
+
+    ``period`` names a column of whole numbers that a document always brings along, such as its month (``append_outbox``).
+    """
     def each(batch: DataFrame, batch_id: int) -> None:
         matches = I.match_subscriptions(I.with_payload(batch, document_id), webhooks)
-        append_outbox(I.outbox(matches, document_id), path, batch_id, horizon)
+        rows = I.outbox(matches, document_id, carry=(period,) if period else ())
+        append_outbox(rows, path, batch_id, F.col(period) if period else None)
     return _start(events, checkpoint, "append", each=each)
