@@ -118,5 +118,13 @@ def bound_sql(name: str) -> str:
     return re.sub(rf"\b(FROM|JOIN) ({'|'.join(bases)})\b", r"\1 {\2}", sql)
 
 
+#: Session setting: into how many partitions a view of texts is dealt (by default as its tables are read).  Small tables are
+#: one split, so whoever measures on many cores sets it; the library's readers leave splits to the session.
+SPLITS = "papertrail.view.splits"
+_TEXTS = ("rendered", "manifest")
+
+
 def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.sql(bound_sql(name), **{b: table(spark, sf_dir, b) for b in VIEWS[name][1]})
+    rows = spark.sql(bound_sql(name), **{b: table(spark, sf_dir, b) for b in VIEWS[name][1]})
+    splits = spark.conf.get(SPLITS, None)
+    return rows.repartition(int(splits), rows.columns[0]) if splits and name in _TEXTS else rows
