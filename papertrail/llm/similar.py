@@ -10,9 +10,10 @@ so that a set may leave out one empty segment, which says nothing.
 
 Sets that share a signature are candidates.  Equal sets are one node from the start.  Within a signature's group, every
 member is compared with one hub, which is linear in the group; members then in one component need no further look.  A
-few rounds take other hubs.  Then whatever pairs of a group still lie in different components and may be linked by a
-bound (sizes; a parity sketch, whose distance never exceeds that of the sets) are compared, so no link between different
-components is lost.  Comparison is exact, on the whole sets.
+few rounds take other hubs, as long as they bring links.  Then whatever pairs of a group still lie in different components
+are compared, so no link between different components is lost.  All pairs first pass a bound (sizes; a parity sketch, whose
+distance never exceeds that of the sets); whole sets are fetched from the texts only for those that remain, and compared
+exactly.
 
 Which signatures occur more than once goes round as a bit table of fixed size; it only thins out what is shuffled.
 
@@ -24,7 +25,7 @@ gives no rows; further columns are not read.
 from __future__ import annotations
 
 import math
-from functools import lru_cache
+from functools import lru_cache, reduce
 
 import numpy as np
 import pyarrow as pa
@@ -40,7 +41,9 @@ REPEATED_BITS = 26
 HUB_ROUNDS = 3
 #: What a match by chance costs, in signatures.
 CHANCE = 1000.0
-_SKETCH, _SEEN = 256, 100_000
+_SKETCH, _SEEN = 1024, 100_000
+#: Signatures a task holds before it packs them, and those of one range, which a task counts at once.
+_HELD, _RANGE = 500_000, 4_000_000
 
 
 def bands(size: int, percent: int) -> tuple[int, int, int]:
@@ -94,6 +97,12 @@ def schemes(size: int, percent: int) -> list[tuple[int, tuple[int, int, int]]]:
     return found
 
 
+@lru_cache(maxsize=1 << 16)
+def expected(size: int, percent: int) -> int:
+    """About how many signatures a set of this size has."""
+    return sum(a + b - spare + a * size // (a + b) for _, (a, b, spare) in schemes(size, percent)) if size else 0
+
+
 def signatures(shingles: np.ndarray, percent: int = PERCENT) -> np.ndarray:
     """Signatures (uint64) of a sorted set of hashes."""
     found = []
@@ -138,7 +147,7 @@ def set_key(shingles: np.ndarray) -> int:
 
 
 def sketch(shingles: np.ndarray) -> list[int]:
-    """Parity of the number of elements at each of 256 places; two sketches differ in no more bits than the sets do."""
+    """Parity of the number of elements at each of 1024 places; two sketches differ in no more bits than the sets do."""
     odd = np.bincount((shingles & np.uint64(_SKETCH - 1)).astype(np.int64), minlength=_SKETCH) & 1
     return np.packbits(odd.astype(np.uint8)).view(np.int64).tolist()
 
@@ -177,64 +186,85 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERC
 
     def describe(batches):
         for batch in batches:
-            n, key, sk = [], [], []
+            n, key, sk, many = [], [], [], []
             for s in sets(*utf8(batch.column("text")), shingle):
                 n.append(len(s))
+                many.append(expected(len(s), percent))
                 key.append(set_key(s) if len(s) else None)
                 sk.append(sketch(s) if len(s) else None)
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(key, pa.int64()),
-                 pa.array(sk, pa.list_(pa.int64())), *[batch.column(c) for c in carry]],
-                ["doc_id", "n", "key", "sketch", *carry])
+                 pa.array(sk, pa.list_(pa.int64())), pa.array(many, pa.int64()), *[batch.column(c) for c in carry]],
+                ["doc_id", "n", "key", "sketch", "signatures", *carry])
 
-    schema = spark.createDataFrame([], "doc_id long, n long, key long, sketch array<long>").schema
+    schema = spark.createDataFrame([], "doc_id long, n long, key long, sketch array<long>, signatures long").schema
     for c in carry:
         schema.add(docs.schema[c])
     described = cut(docs.mapInArrow(describe, schema), "shingle-sets")
-    groups = _groups(docs.select("text"), shingle, percent)
+    total = described.agg(F.sum("signatures")).first()[0] or 0
+    groups = _groups(docs.select("text"), shingle, percent, max(partitions(spark), total // _RANGE + 1))
     nodes = cut(described.join(groups.select("key").distinct(), "key", "left_semi").groupBy("key")
                 .agg(F.first("n").alias("n"), F.first("sketch").alias("sketch")), "nodes")
-    wanted = spark.sparkContext.broadcast(bloom.build(nodes, "key"))
-
-    def collect_sets(batches):
-        seen: set = set()
-        for batch in batches:
-            keys, values = [], []
-            for s in sets(*utf8(batch.column("text")), shingle):
-                if len(s) and (k := set_key(s)) not in seen and bloom.test(wanted.value, np.array([k]).view(np.uint64))[0]:
-                    if len(seen) < _SEEN:  # only spares copies of one task; the rest are dropped after the shuffle
-                        seen.add(k)
-                    keys.append(k)
-                    values.append(s.tobytes())
-            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(values, pa.binary())], ["key", "set"])
-
-    found = cut(docs.select("text").mapInArrow(collect_sets, "key long, set binary").dropDuplicates(["key"]), "sets")
-    nodes = nodes.join(found, "key")
-    members = groups
-    edges = spark.createDataFrame([], "a long, b long")
-    labels = spark.createDataFrame([], "key long, label long")
-    for turn in range(HUB_ROUNDS + 1):
+    fetched: list[DataFrame] = []
+
+    def linked(pairs: DataFrame, keys: DataFrame) -> DataFrame:
+        """The pairs whose whole sets are similar enough; sets of ``keys`` that are not there yet are fetched first."""
+        for there in fetched:
+            keys = keys.join(there.select("key"), "key", "left_anti")
+        keys = cut(keys, "wanted-sets")
+        if keys.limit(1).count():
+            fetched.append(_sets_of(docs, keys, shingle))
+        held = reduce(DataFrame.union, fetched) if fetched else spark.createDataFrame([], "key long, set array<long>")
+        return _similar(pairs, held, percent)
+
+    def described_pairs(pairs: DataFrame) -> DataFrame:
+        """Pairs (a, b) within the bounds."""
+        return pairs.join(nodes.select(F.col("key").alias("a"), F.struct("n", "sketch").alias("x")), "a") \
+            .join(nodes.select(F.col("key").alias("b"), F.struct("n", "sketch").alias("y")), "b") \
+            .filter(_may_link("x", "y", percent)).select("a", "b")
+
+    def ordered(x: str, y: str) -> list[Column]:
+        return [F.least(x, y).alias("a"), F.greatest(x, y).alias("b")]
+
+    # A group's hubs are the same in all rounds, so the sets of all of them are fetched in one pass over the texts.
+    names = [f"hub{t}" for t in range(HUB_ROUNDS)]
+    if names:
+        hubs = cut(groups.groupBy("sig").agg(*[F.min(F.struct(F.xxhash64("key", F.lit(t)), "key"))["key"].alias(name)
+                                               for t, name in enumerate(names)]), "hubs")
+        any_hub = groups.join(hubs.select("sig", F.explode(F.array_distinct(F.array(*names))).alias("hub")), "sig") \
+            .filter("key <> hub").select(*ordered("key", "hub")).distinct()
+        near_hub = cut(described_pairs(any_hub), "hub-pairs")
+    members, edges = groups, spark.createDataFrame([], "a long, b long")
+    labels, turn = spark.createDataFrame([], "key long, label long"), 0
+    while True:
         placed = members.join(labels, "key", "left").select("sig", "key", F.coalesce("label", "key").alias("label"))
-        open_ = placed.groupBy("sig").agg(F.min("label").alias("low"), F.max("label").alias("high"),
-                                          F.min(F.struct(F.xxhash64("key", F.lit(turn)), "key", "label")).alias("hub")) \
-            .filter("low <> high")
-        members = cut(placed.join(open_.select("sig", "hub"), "sig"), "open-groups")
+        open_ = placed.groupBy("sig").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low <> high").select("sig")
+        members = cut(placed.join(open_, "sig"), "open-groups")
         if not members.limit(1).count():
             break
-        if turn < HUB_ROUNDS:
-            pairs = members.filter("label <> hub.label").select(
-                F.least("key", "hub.key").alias("a"), F.greatest("key", "hub.key").alias("b")).distinct()
-            pairs = pairs.join(nodes.select(F.col("key").alias("a"), F.struct("n", "sketch").alias("x")), "a") \
-                .join(nodes.select(F.col("key").alias("b"), F.struct("n", "sketch").alias("y")), "b") \
-                .filter(_may_link("x", "y", percent)).select("a", "b")
+        last = turn >= HUB_ROUNDS
+        if not last:
+            with_hub = members.join(hubs.select("sig", F.col(names[turn]).alias("hub")), "sig")
+            apart = with_hub.join(members.select("sig", F.col("key").alias("hub"), F.col("label").alias("other")), ["sig", "hub"]) \
+                .filter("label <> other").select(*ordered("key", "hub")).distinct()
+            pairs = cut(apart.join(near_hub, ["a", "b"], "left_semi"), "pairs")
+            keys = near_hub
         else:
-            known = members.select("sig", "key", "label").join(nodes.select("key", "n", "sketch"), "key")
+            known = members.join(nodes, "key")
             x, y = (known.select("sig", F.struct("key", "label", "n", "sketch").alias(c)) for c in "xy")
-            pairs = x.join(y, (x["sig"] == y["sig"]) & (F.col("x.label") < F.col("y.label")) & _may_link("x", "y", percent)) \
-                .select(F.least("x.key", "y.key").alias("a"), F.greatest("x.key", "y.key").alias("b")).distinct()
+            pairs = cut(x.join(y, (x["sig"] == y["sig"]) & (F.col("x.label") < F.col("y.label")) & _may_link("x", "y", percent))
+                        .select(*ordered("x.key", "y.key")).distinct(), "pairs")
+            keys = pairs
+        new = cut(linked(pairs, keys.select(F.explode(F.array("a", "b")).alias("key")).distinct()), "links")
         members = members.select("sig", "key")
-        edges = cut(edges.union(_linked(pairs, nodes, percent)), "links")
-        labels = components(edges)
+        if new.limit(1).count():
+            edges = edges.union(new)
+            labels = components(edges)
+        elif not last:
+            turn = HUB_ROUNDS - 1  # another hub would bring nothing either: compare all that is left
+        if last:
+            break
+        turn += 1
     own = described.filter("key IS NOT NULL").groupBy("key").agg(F.min("doc_id").alias("least"))
     placed = own.join(labels, "key", "left").select("key", "least", F.coalesce("label", "key").alias("label"))
     least = placed.groupBy("label").agg(F.min("least").alias("component_id"))
@@ -255,21 +285,20 @@ def _each(batches, shingle: int, percent: int):
                 yield k, signatures(s, percent)
 
 
-def _groups(docs: DataFrame, shingle: int, percent: int) -> DataFrame:
+def _groups(docs: DataFrame, shingle: int, percent: int, ranges: int) -> DataFrame:
     """(sig, key) of the signatures that several different sets have.
 
     Signatures are counted in short form: 48 bits, sorted, as differences, one packed column per task and range.  Those
     that occur once, nearly all, go no further.
     """
     spark = docs.sparkSession
-    ranges = partitions(spark)
 
     def pack(batches):
         held, size = [], 0
         for _, sig in _each(batches, shingle, percent):
             held.append(sig >> np.uint64(16))
             size += len(sig)
-            if size > 2_000_000:
+            if size > _HELD:
                 yield _packed(held, ranges)
                 held, size = [], 0
         if held:
@@ -315,21 +344,41 @@ def _packed(held: list[np.ndarray], ranges: int) -> pa.RecordBatch:
                                        pa.array([x[2] for x in rows], pa.binary())], ["range", "kind", "body"])
 
 
-def _linked(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) whose whole sets are similar enough."""
-    def compare(batches):
+def _sets_of(docs: DataFrame, keys: DataFrame, shingle: int) -> DataFrame:
+    """(key, set) of the given keys, from the texts."""
+    wanted = docs.sparkSession.sparkContext.broadcast(bloom.build(keys, "key"))
+
+    def collect(batches):
+        seen: set = set()
         for batch in batches:
-            keep = []
-            for x, y in zip(batch.column("x"), batch.column("y")):
-                x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
-                both = len(x) + len(y) - len(np.union1d(x, y))
-                keep.append(both * 100 >= percent * (len(x) + len(y) - both))
-            yield pa.RecordBatch.from_arrays([batch.column("a").filter(pa.array(keep)), batch.column("b").filter(pa.array(keep))],
-                                             ["a", "b"])
-
-    return pairs.join(nodes.select(F.col("key").alias("a"), F.col("set").alias("x")), "a") \
-        .join(nodes.select(F.col("key").alias("b"), F.col("set").alias("y")), "b") \
-        .mapInArrow(compare, "a long, b long")
+            held, values, size = [], [], 0
+            for s in sets(*utf8(batch.column("text")), shingle):
+                if len(s) and (k := set_key(s)) not in seen and bloom.test(wanted.value, np.array([k]).view(np.uint64))[0]:
+                    if len(seen) < _SEEN:  # only spares copies of one task; the rest are dropped after the shuffle
+                        seen.add(k)
+                    held.append(k)
+                    values.append(s.view(np.int64))
+                    size += len(s)
+                    if size > _HELD:
+                        yield _set_rows(held, values)
+                        held, values, size = [], [], 0
+            yield _set_rows(held, values)
+
+    found = docs.select("text").mapInArrow(collect, "key long, set array<long>")
+    return cut(found.join(keys, "key", "left_semi").dropDuplicates(["key"]), "sets")
+
+
+def _set_rows(keys: list[int], values: list[np.ndarray]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(values, pa.list_(pa.int64()))], ["key", "set"])
+
+
+def _similar(pairs: DataFrame, held: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) whose whole sets are similar enough."""
+    both = F.size(F.array_intersect("x", "y"))
+    return pairs.join(held.select(F.col("key").alias("a"), F.col("set").alias("x")), "a") \
+        .join(held.select(F.col("key").alias("b"), F.col("set").alias("y")), "b") \
+        .withColumn("both", both).filter((F.size("x") + F.size("y") - F.col("both")) * percent <= F.col("both") * 100) \
+        .select("a", "b")
 
 
 def op2_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
