@@ -20,36 +20,53 @@ QUALITY = 0.3
 SHINGLE, PERCENT = 5, 80
 
 
-def _hashed(docs: DataFrame) -> DataFrame:
-    return docs.withColumn("_h", F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit("\u0000")))) \
-        .withColumn("_k", F.coalesce(F.col("doc_id").cast("string"), F.lit("")))
+def _free(docs: DataFrame, *names: str) -> list[str]:
+    """Names that no column of ``docs`` has, in any case."""
+    taken, out = {c.lower() for c in docs.columns}, []
+    for name in names:
+        name = f"_stage_{name}"
+        while name in taken:
+            name += "_"
+        taken.add(name)
+        out.append(name)
+    return out
+
+
+def _hashed(docs: DataFrame, h: str, k: str) -> DataFrame:
+    """``docs`` with a hash of the text and the id as text, both without nulls."""
+    return docs.withColumn(h, F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit("\u0000")))) \
+        .withColumn(k, F.coalesce(F.col("doc_id").cast("string"), F.lit("")))
 
 
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier does not reject."""
+    score, = _free(docs, "score")
     model = quality.train(docs, table(spark, sf_dir, "labels"))
-    return quality.scored(docs, model, "_score").filter(F.col("_score") >= QUALITY).select(*docs.columns)
+    return quality.scored(docs, model, score).filter(F.col(score) >= QUALITY).select(*docs.columns)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates, the one with the smallest id; documents without words stay."""
-    hashed = _hashed(docs)
-    found = similar.near_duplicates(hashed, SHINGLE, PERCENT, carry=("_h", "_k")).filter("label IS NOT NULL")
-    first = found.groupBy("label").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "_h", "_k")).alias("x"))
-    rest = found.join(first, "label").filter((F.col("_h") != F.col("x._h")) | (F.col("_k") != F.col("x._k"))) \
-        .select("_k", "_h").distinct()
-    kept = hashed.join(rest, ["_k", "_h"], "left_anti")
+    h, k, copy = _free(docs, "hash", "id", "copy")
+    hashed = _hashed(docs, h, k)
+    found = similar.near_duplicates(hashed.select("doc_id", "text", h, k), SHINGLE, PERCENT, carry=(h, k)).filter("label IS NOT NULL")
+    found = cut(found.select("doc_id", "label", h, k), "duplicates")
+    first = found.groupBy("label").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", h, k)).alias("x"))
+    rest = found.join(first, "label").filter((F.col(h) != F.col(f"x.{h}")) | (F.col(k) != F.col(f"x.{k}"))) \
+        .select(k, h).distinct()
+    kept = hashed.join(rest, [k, h], "left_anti")
     # Equal rows: one of them, unless they are empty.
-    copy = F.row_number().over(Window.partitionBy("_k", "_h").orderBy(F.lit(0)))
+    number = F.row_number().over(Window.partitionBy(k, h).orderBy(F.lit(0)))
     wordless = ~F.coalesce(F.col("text"), F.lit("")).rlike("[^\\x20\\x09-\\x0D]")
-    return kept.withColumn("_copy", copy).filter((F.col("_copy") == 1) | wordless).select(*docs.columns)
+    return kept.withColumn(copy, number).filter((F.col(copy) == 1) | wordless).select(*docs.columns)
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold no window of a benchmark item."""
-    hashed = _hashed(docs)
-    found = leaks.contamination(hashed, table(spark, sf_dir, "benchmark"), carry=("_h", "_k"))
-    return hashed.join(found.filter("n_hit > 0").select("_k", "_h").distinct(), ["_k", "_h"], "left_anti").select(*docs.columns)
+    h, k = _free(docs, "hash", "id")
+    hashed = _hashed(docs, h, k)
+    found = leaks.contamination(hashed.select("doc_id", "text", h, k), table(spark, sf_dir, "benchmark"), carry=(h, k))
+    return hashed.join(found.filter("n_hit > 0").select(k, h).distinct(), [k, h], "left_anti").select(*docs.columns)
 
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
