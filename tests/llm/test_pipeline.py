@@ -67,3 +67,17 @@ def test_odd_rows(spark, odd, empty, sf_dir):
     texts = [r.text for r in deduped.collect()]
     assert texts.count("the same text") == 1 and texts.count("repeated id") == 1 and texts.count(None) == 1
     assert sum((t or "").strip(" \n\t") == "" for t in texts) == 4
+
+
+CLASHING = ["_h", "_k", "_copy", "_score", "row", "label", "key", "n", "found", "score", "_stage_hash", "_STAGE_ID", "_stage_copy", "_stage_score",
+            "sig", "spans", "items"]
+
+
+def test_columns_of_any_name_go_through(spark, docs, sf_dir):
+    """Whatever a user's columns are called, rows come out of each stage as they went in (but for redacted texts)."""
+    own = docs.selectExpr("*", *[f"concat('{c}', doc_id) AS `{c}`" for c in CLASHING])
+    for name, stage in C.STAGES[:-1]:
+        want = ids(stage(spark, docs, sf_dir))
+        got = cut(stage(spark, own, sf_dir), "test")
+        assert got.columns == own.columns and ids(got) == want, name
+        assert got.filter(" OR ".join(f"`{c}` <> concat('{c}', doc_id) OR `{c}` IS NULL" for c in CLASHING)).count() == 0, name
