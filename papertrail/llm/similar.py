@@ -286,7 +286,7 @@ def _each(batches, shingle: int, percent: int):
 
 
 def _groups(docs: DataFrame, shingle: int, percent: int, ranges: int) -> DataFrame:
-    """(sig, key) of the signatures that several different sets have.
+    """(sig, key) of the signatures that several different sets have; of signatures that the same sets have, one.
 
     Signatures are counted in short form: 48 bits, sorted, as differences, one packed column per task and range.  Those
     that occur once, nearly all, go no further.
@@ -324,8 +324,11 @@ def _groups(docs: DataFrame, shingle: int, percent: int, ranges: int) -> DataFra
                                              ["sig", "key"])
 
     rows = cut(docs.mapInArrow(thin, "sig long, key long").distinct(), "repeated-signatures")
-    several = rows.groupBy("sig").agg(F.min("key").alias("low"), F.max("key").alias("high")).filter("low <> high").select("sig")
-    return cut(rows.join(several, "sig"), "signature-groups")
+    # Copies share hundreds of signatures: of groups with the same members one is enough.
+    members = [F.count(F.lit(1)).alias("n"), *[F.bit_xor(F.xxhash64("key", F.lit(i))).alias(f"all{i}") for i in (1, 2)]]
+    several = rows.groupBy("sig").agg(F.min("key").alias("low"), F.max("key").alias("high"), *members).filter("low <> high")
+    one = several.groupBy("n", "all1", "all2").agg(F.min("sig").alias("sig")).select("sig")
+    return cut(rows.join(one, "sig"), "signature-groups")
 
 
 def _packed(held: list[np.ndarray], ranges: int) -> pa.RecordBatch:
