@@ -4,12 +4,12 @@ dynamic-typed text tools: Unicode classes, ``.`` stopping only at ``\\n``, NULL
 
 from __future__ import annotations
 
-import re
 import unicodedata
 
 from pyspark.sql import Column, functions as F
 
 from papertrail import fixed_values as V
+from papertrail.functions.dialect import java_pattern
 
 _EXTRA_SPACE = r"\x1c-\x1f"
 _WORD = r"\p{L}\p{N}_"
@@ -19,14 +19,11 @@ _DIGITS = [chr(c) for c in range(128, 0x20000) if unicodedata.category(chr(c)) =
 
 
 def user_pattern(pattern: str | None) -> str | None:
-    """A user's pattern in the dialect of ``re`` for java.util.regex, or BAD_PATTERN."""
+    """A user's pattern in the dialect of ``re`` for java.util.regex, or BAD_PATTERN: not valid, or beyond
+    what java.util.regex can do."""
     if pattern is None:
         return None
-    try:
-        re.compile(pattern)
-    except re.error:
-        return BAD_PATTERN
-    return re.sub(r"\(\?P<(\w+)>", lambda m: f"(?<{m[1].replace('_', '')}>", pattern)
+    return java_pattern(pattern) or BAD_PATTERN
 
 
 def ascii_digits(col: Column) -> Column:

@@ -108,6 +108,38 @@ def outcome(status_code: Column, transport_error: Column) -> Column:
         .when(status_code.between(200, 299), "success").otherwise("failed")
 
 
+#: Retries after a first attempt that failed, and the seconds before the first of them.
+MAX_RETRIES, RETRY_SECONDS = 3, 30
+
+
+def delivery_ledger(deliveries: DataFrame, attempts: DataFrame, as_of: Column, max_retries: int = MAX_RETRIES,
+                    delay_seconds: float = RETRY_SECONDS, growth: float = 1.0, key: str = "delivery_id") -> DataFrame:
+    """Where every delivery of the outbox stands after its attempts (``key``, attempted_at, delivery_status).
+
+    Adds n_attempts, last_status, next_attempt_at and ``ledger``: ``new``, ``delivered`` (an attempt succeeded), ``exhausted`` (the
+    first attempt and all retries failed), ``waiting`` or ``due``.  The wait after the n-th attempt is ``delay_seconds`` times
+    ``growth`` to the power n - 1.  Attempts are folded on the map side first, so a delivery tried over and over is one row per
+    task; of attempts at one moment a success counts, then the largest status.  Attempts without a time count, but set no wait.
+    """
+    status = F.col("delivery_status")
+    folded = attempts.filter(status != "skipped").groupBy(F.col(key).alias("_key")).agg(
+        F.count(F.lit(1)).alias("_n"), F.max(F.struct("attempted_at", (status == "success").alias("ok"), status.alias("status"))).alias("_last"),
+        F.max(status == "success").alias("_ok"))
+    wait = F.make_dt_interval(secs=(F.lit(float(delay_seconds)) * F.pow(F.lit(float(growth)), F.col("_n") - 1)).cast("decimal(18,6)"))
+    again = F.when(~F.col("_ok") & (F.col("_n") <= max_retries), F.coalesce(F.col("_last.attempted_at") + wait, as_of))
+    n = F.coalesce("_n", F.lit(0))
+    ledger = F.when(n == 0, "new").when(F.col("_ok"), "delivered").when(again.isNull(), "exhausted") \
+        .when(again > as_of, "waiting").otherwise("due")
+    return deliveries.join(folded, F.col(key) == F.col("_key"), "left").select(
+        *deliveries.columns, n.alias("n_attempts"), F.col("_last.status").alias("last_status"), again.alias("next_attempt_at"),
+        ledger.alias("ledger"))
+
+
+def due_deliveries(ledger: DataFrame) -> DataFrame:
+    """What a sender takes next: new deliveries and those whose wait is over."""
+    return ledger.filter(F.col("ledger").isin("new", "due"))
+
+
 def delivery_rollup(deliveries: DataFrame, *keys: str) -> DataFrame:
     """Counts and the wall time of parallel calls (their maximum) per key."""
     status = F.col("delivery_status")

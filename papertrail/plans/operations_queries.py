@@ -351,6 +351,16 @@ def delivery_outcome(spark, sf):
     return _deliveries(spark, sf).select("delivery_id", "webhook_id", "delivery_status")
 
 
+def delivery_ledger(spark, sf):
+    """Events as attempts, seven to a delivery at most; every eleventh delivery has none."""
+    tried = _deliveries(spark, sf).withColumn("delivery_id", F.floor(F.col("delivery_id") / 7).cast("long")) \
+        .withColumnRenamed("ts", "attempted_at")
+    ids = tried.select("delivery_id").distinct()
+    kept = tried.filter("delivery_id % 11 <> 0 AND (status_code IS NULL OR status_code >= 300 OR delivery_id % 3 = 0)")
+    as_of = tried.agg(F.max("attempted_at").alias("t")).scalar()
+    return I.delivery_ledger(ids, kept, as_of, max_retries=4, delay_seconds=3600, growth=4.0)
+
+
 def delivery_rollup(spark, sf):
     return I.delivery_rollup(_deliveries(spark, sf), "webhook_id")
 
@@ -367,4 +377,5 @@ QUERIES = {f.__name__: f for f in (
     extract_text_batch, low_confidence_docs, lifecycle_state, stage_run_fold, attempt_fold, status_map, current_state,
     state_lookup, ttl_live_keys, metrics, stage_metrics, stuck_tasks, recovery_queue, retry_rows, failure_state,
     rate_limit_windows, rate_limit_admit, stage_pivot, job_results, webhook_registry, webhooks_active, registry_merge,
-    delivery_gate, subscription_match, subscription_skips, record_store, page_segments, outbox, delivery_outcome, delivery_rollup, delivery_details)}
+    delivery_gate, subscription_match, subscription_skips, record_store, page_segments, outbox, delivery_outcome, delivery_ledger,
+    delivery_rollup, delivery_details)}

@@ -36,6 +36,8 @@ def oracles() -> dict[str, str]:
         "stream_rate": O.L + (
             "SELECT job_id, date_trunc('day', ts)::TIMESTAMP AS window_start, count(*) AS n_requests, count(*) > 5 AS exceeded FROM l GROUP BY ALL "
             "HAVING date_trunc('day', min(ts)) + INTERVAL 1 DAY <= (SELECT max(ts) FROM l) - INTERVAL 10 MINUTE"),
+        "stream_admit": O.L + (
+            "SELECT event_id, job_id, row_number() OVER (PARTITION BY job_id, date_trunc('day', ts) ORDER BY ts, event_id) <= 5 AS admitted FROM l"),
         "stream_outbox": flow + f", {O.REG}, gated AS (SELECT doc_id FROM checks GROUP BY doc_id HAVING {valid}) " + (
             "SELECT sha256(concat_ws('|', CAST(doc_id AS VARCHAR), CAST(webhook_id AS VARCHAR), 'document.processed')) AS delivery_id, doc_id AS document_id, webhook_id "
             "FROM gated, reg WHERE active AND list_contains(string_split(events_csv, ','), 'document.processed')"),

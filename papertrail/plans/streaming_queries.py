@@ -69,6 +69,12 @@ def stream_rate(spark: SparkSession, sf: str) -> DataFrame:
     return spark.read.parquet(out).withColumn("window_start", F.col("window_start").cast("timestamp_ntz"))
 
 
+def stream_admit(spark: SparkSession, sf: str) -> DataFrame:
+    out, state = shared_dir(spark, "admit"), shared_dir(spark, "checkpoint")
+    jobs.finish(jobs.admit_requests(_log(spark, sf).select("event_id", "job_id", "ts"), out, state, "job_id", "1 day", 5))
+    return spark.read.parquet(out).select("event_id", "job_id", "admitted")
+
+
 def stream_outbox(spark: SparkSession, sf: str) -> DataFrame:
     out, state = shared_dir(spark, "outbox"), shared_dir(spark, "checkpoint")
     checked = jobs.document_flow(_view(spark, sf, "manifest", "documents"))
@@ -77,4 +83,5 @@ def stream_outbox(spark: SparkSession, sf: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    stream_ingest, stream_quarantine, stream_dedup, stream_state, stream_stuck, stream_rate, stream_outbox)}
+    stream_ingest, stream_quarantine, stream_dedup, stream_state, stream_stuck, stream_rate, stream_admit,
+    stream_outbox)}

@@ -16,6 +16,7 @@ from papertrail.operators import admission as A, classify as C, extract as X, li
 from papertrail.operators import validate as G, webhooks as I
 from papertrail.sources.sinks import append_first, append_outbox
 from papertrail.sources.store import BATCH, BatchStore, committed_batch
+from papertrail.streaming.admit import Admission
 from papertrail.streaming.overdue import Overdue
 
 DEFAULT_DELAY = "10 minutes"
@@ -166,11 +167,15 @@ def stuck(log: DataFrame, path: str, checkpoint: str, key: str = "job_id",
         Overdue(key, after_minutes), f"`{key}` string, event_id string, pending_since long", "append", "eventTime")
     found = late.select(F.col(key).cast(kinds[key]).alias(key), F.col("event_id").cast(kinds["event_id"]).alias("event_id"),
                         F.timestamp_micros("pending_since").alias("pending_since"))
-    # Timers and map state need this store; other streams of the session keep theirs.
-    conf, before = log.sparkSession.conf, log.sparkSession.conf.get(_STORE)
+    return _with_rocksdb(log, lambda: _start(found, checkpoint, "append", path))
+
+
+def _with_rocksdb(df: DataFrame, start: Callable[[], StreamingQuery]) -> StreamingQuery:
+    """Timers and map state need this store; other streams of the session keep theirs."""
+    conf, before = df.sparkSession.conf, df.sparkSession.conf.get(_STORE)
     conf.set(_STORE, _ROCKSDB)
     try:
-        return _start(found, checkpoint, "append", path)
+        return start()
     finally:
         conf.set(_STORE, before)
 
@@ -188,6 +193,23 @@ def rate_windows(log: DataFrame, path: str, checkpoint: str, client: str, window
                                  (F.col("n_requests") > limit).alias("exceeded")), checkpoint, "append", path)
 
 
+def admit_requests(log: DataFrame, path: str, checkpoint: str, client: str, window: str, limit: int, event_id: str = "event_id",
+                   delay: str = DEFAULT_DELAY) -> StreamingQuery:
+    """Every request with its answer ``admitted``, in the micro-batch it arrives in; windows need not be closed.
+
+    On a log in order of time this is ``lifecycle.rate_admission``.  Requests later than the watermark get no answer; those
+    without a time belong to no window.
+    """
+    schema = log.schema
+    packed = log.withWatermark("ts", delay).select(F.col(client).cast("string").alias("client"), F.unix_millis(F.window("ts", window)["end"]).alias("until"), "ts",
+                         F.unix_micros("ts").alias("moment"), F.col(event_id).cast("long").alias("place"),
+                         F.to_json(F.struct(*[F.col(f"`{c}`") for c in schema.names])).alias("row"))
+    answered = packed.groupBy("client", "until").transformWithStateInPandas(
+        Admission(limit), "row string, admitted boolean", "append", "eventTime")
+    opened = answered.select(F.from_json("row", schema).alias("r"), "admitted").select("r.*", "admitted")
+    return _with_rocksdb(log, lambda: _start(opened, checkpoint, "append", path))
+
+
 def deliver(events: DataFrame, webhooks: DataFrame, path: str, checkpoint: str, document_id: str = "document_id",
             period: str | None = None) -> StreamingQuery:
     """Valid documents to the outbox; replays and repeated documents add nothing.

@@ -242,3 +242,17 @@ def test_outbox_after_a_crash(spark, tmp_path):
     assert sinks.read_outbox(spark, str(out)).count() == 2
     sinks.append_outbox(sent, str(out), 500)
     assert sinks.read_outbox(spark, str(out)).count() == 2 and sinks.read_outbox(spark, str(out), 500).count() == 0
+
+
+def test_delivery_ledger(spark):
+    t = lambda s: None if s is None else START + dt.timedelta(seconds=s)
+    outbox = spark.createDataFrame([(k, "u") for k in "abcdefg"], "delivery_id string, url string")
+    tried = [("b", 0, "failed"), ("c", 0, "failed"), ("c", 10, "success"), ("c", 20, "failed"), ("d", 0, "timeout"), ("d", 50, "error"),
+             *[("e", 10 * i, "failed") for i in range(3)], ("f", None, "failed"), ("g", 5, "skipped"), ("zz", 0, "failed")]
+    attempts = spark.createDataFrame([(k, t(s), o) for k, s, o in tried], "delivery_id string, attempted_at timestamp, delivery_status string")
+    found = I.delivery_ledger(outbox, attempts, F.lit(START + dt.timedelta(seconds=100)), max_retries=2, delay_seconds=30, growth=2.0)
+    got = {r.delivery_id: (r.n_attempts, r.last_status, r.next_attempt_at, r.ledger) for r in found.collect()}
+    assert got == {"a": (0, None, None, "new"), "b": (1, "failed", t(30), "due"), "c": (3, "failed", None, "delivered"),
+                   "d": (2, "error", t(110), "waiting"), "e": (3, "failed", None, "exhausted"), "f": (1, "failed", t(100), "due"),
+                   "g": (0, None, None, "new")}
+    assert sorted(r.delivery_id for r in I.due_deliveries(found).collect()) == ["a", "b", "f", "g"]

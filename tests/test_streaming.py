@@ -124,6 +124,20 @@ def test_thinned_times_answer_alike():
         assert not len(kept) or len(kept) <= 2 * (200 // 20) + 3
 
 
+def test_every_request_is_answered(spark, tmp_path):
+    """A log in order of time, over several batches: the answers of the batch operator, one client with most requests."""
+    log = spark.range(900).select(F.col("id").alias("event_id"), F.when(F.col("id") % 4 > 0, 1).when(F.col("id") % 8 == 0, 2).alias("job_id"),
+                                  F.timestamp_millis(F.lit(1_700_000_000_123) + F.col("id") * 1500).alias("ts"), F.lit("x").alias("note"))
+    folder = tmp_path / "in"
+    for k in range(3):
+        log.filter((F.col("event_id") / 300).cast("int") == k).coalesce(1).write.parquet(str(folder / f"p={k}"))
+        in_turn(folder, k)
+    stream = stream_table(spark, str(folder), log.schema, files_per_batch=1)
+    jobs.finish(jobs.admit_requests(stream, str(tmp_path / "out"), str(tmp_path / "c"), "job_id", "1 minute", 7))
+    got = sorted(map(tuple, spark.read.parquet(str(tmp_path / "out")).select(*log.columns, "admitted").collect()))
+    assert got == sorted(map(tuple, H.rate_admission(log, "job_id", "1 minute", 7).collect())) and sum(r[-1] for r in got) > 100
+
+
 def test_a_copy_40_days_later(spark, tmp_path):
     day = lambda d: START + dt.timedelta(days=d)
     parts = [[("x", day(0), 1), ("y", day(0), 2)], [("z", day(20), 3)], [("x", day(40), 5), ("v", day(40), 6)], [("w", day(1), 4)]]

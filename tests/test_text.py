@@ -1,6 +1,8 @@
 """Text helpers against plain Python."""
 
+import random
 import re
+import warnings
 
 from hypothesis import HealthCheck, Phase, given, settings, strategies as st
 from pyspark.sql import functions as F
@@ -70,4 +72,39 @@ def test_digits_of_other_scripts(spark):
 
 
 def test_user_patterns():
-    assert T.user_pattern("(?P<a_b>v)") == "(?<ab>v)" and T.user_pattern("(") == T.BAD_PATTERN and T.user_pattern(None) is None
+    assert T.user_pattern("(") == T.BAD_PATTERN and T.user_pattern(None) is None
+    assert T.user_pattern("(x)?(?(1)y|z)") == T.BAD_PATTERN   # Java has no conditionals
+
+
+PATTERNS = [
+    "(?P<a>x)(?P=a)", "(?P<a_b>x)(?P<ab>y)", "[[a]", "[]a]+", "[^]a]", "[a&&b]", "[a-c[d]", r"ab\Z", "ab$", "(?m)^b$", r"\Aab", "a{,2}b", "a{x}", "{a",
+    "a{2", r"\v", r"[\b]", r"\N{LATIN SMALL LETTER A}", r"\x41\u0042", r"\101", r"\0", "(?x) a b # c", "(?x)[ #]b", "(?s)a.b", "a.b", r"\w+", r"\W",
+    r"[^\W_]+", r"[\W\d]", r"\bab\b", r"a\Bb", "(?i)äB", "(?i:a)b", "a(?-i:B)", "(?a)\\w+", "(?a:\\d)\\d", r"\s+", r"[\s_]", "(?>a+)b", "a++b", "a*?b", "(a|b)\\1",
+    "(?<=a)b", "(?<!a)b", "a(?=b)", "a(?!b)", "", "a|", "(?#c)a", "[+--]", r"[\]\[]", "é", "\U0001f600.", r"\.", "#", " a", "(?P<x1>a)(?P<x_1>b)(?P=x_1)", "x*", "(?:)",
+    r"(a)(b)(c)(d)(e)(f)(g)(h)(i)(j)\10", "(x)?(?(1)y|z)", "(", "a**", "[z-a]", r"\q", "(?P<a>x", r"(?<=(a))\1", r"(a)(?<=\1)b"]
+TEXTS = ["", "a", "ab", "ab\n", "b", "a\nb", "xx", "xy", "[", "]", "]a", "&", "a&", "aab", "a{x}", "{a", "a{2", "\x0b", "\x08", "A", "AB", "\0", "#b", " b", "a\rb", "äb",
+         "ÄB", "aB", "_", "1", "١", "٣3", "\u00a0", "\x1c", "\u0085", "aa", "ba", "abb", "é", "e\u0301", "\U0001f600x", ".", "#", " a", "abcdefghijj", "-", ",", "a b", "中", "²", "yz"]
+
+
+def test_user_patterns_mean_the_same(spark):
+    """No pattern ends the job; those that Java can express give the answers of the dialect they are written in."""
+    rows, want = [], {}
+    rng = random.Random(3)
+    pieces = [p for p in PATTERNS[:60] if p and T.user_pattern(p) != T.BAD_PATTERN and not p.startswith("(?") and "\\1" not in p]
+    made = ["".join(rng.choice(["{}", "({})", "(?:{})?", "{}|", "[^x]{}"]).format(rng.choice(pieces)) for _ in range(rng.randrange(1, 4))) for _ in range(150)]
+    for pattern in PATTERNS + made:
+        java = T.user_pattern(pattern)
+        with warnings.catch_warnings():
+            warnings.simplefilter("ignore")
+            try:
+                python = re.compile(pattern)
+            except re.error:
+                python = None
+        assert java != T.BAD_PATTERN or python is None or "(?(" in pattern or "(?<=" in pattern, pattern
+        if java != T.BAD_PATTERN:
+            for text in TEXTS:
+                rows.append((pattern, java, text))
+                want[pattern, text] = bool(python.match(text))
+    df = spark.createDataFrame(rows, "pattern string, java string, text string")
+    got = df.select("pattern", "text", F.regexp_like("text", F.concat(F.lit(r"(?Ud)\A(?:"), "java", F.lit(")"))).alias("hit")).collect()
+    assert {(r.pattern, r.text): r.hit for r in got} == want and len(want) > 5000
