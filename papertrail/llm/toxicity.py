@@ -21,6 +21,9 @@ import unicodedata
 from collections import Counter
 from dataclasses import dataclass, field
 
+from bisect import bisect_right
+from itertools import accumulate
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -100,7 +103,10 @@ def matches(folded: str, automaton) -> list[tuple[int, int, float]]:
     for end, (n, weight) in automaton.iter(folded):
         (excepted if weight is None else found).append((end - n + 1, end, weight))
     if excepted:
-        found = [m for m in found if not any(s <= m[0] and m[1] <= e for s, e, _ in excepted)]
+        # Of the exceptions that begin no later, the one that reaches farthest.
+        excepted.sort()
+        starts, reach = [s for s, _, _ in excepted], list(accumulate((e for _, e, _ in excepted), max))
+        found = [m for m in found if not (k := bisect_right(starts, m[0])) or reach[k - 1] < m[1]]
     return found
 
 

@@ -107,3 +107,25 @@ def test_sample_has_one_row_for_a_repeated_id(spark):
     sample = fit_sample(docs, labels, "quality", 3).collect()
     ids = [r.doc_id for r in sample]
     assert 1 in ids and len(ids) == len(set(ids)) <= 3
+
+
+def test_exceptions_against_every_pair():
+    """Excepted are the matches that lie within an exception phrase; 20 000 of one phrase take no longer than as many words."""
+    import random
+    import time
+    import ahocorasick
+    rng, words = random.Random(6), ["ab", "abc", "b c", "c", "cab"]
+    for _ in range(200):
+        automaton = ahocorasick.Automaton()
+        for w in rng.sample(words, 3):
+            automaton.add_word(w, (len(w), 1.0))
+        for w in rng.sample(["a b", "abcab", "b c a", " c ab"], 2):
+            automaton.add_word(w, (len(w), None))
+        automaton.make_automaton()
+        text = "".join(rng.choice("abc ") for _ in range(80))
+        every = [(end - n + 1, end, weight) for end, (n, weight) in automaton.iter(text)]
+        want = [m for m in every if m[2] is not None and not any(s <= m[0] and m[1] <= e for s, e, x in every if x is None)]
+        assert toxicity.matches(text, automaton) == want
+    start = time.perf_counter()
+    toxicity.matches(" cab abcab" * 20_000, automaton)
+    assert time.perf_counter() - start < 5
