@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import os
 import re
+import struct
 import unicodedata
 from functools import lru_cache
 
@@ -19,6 +20,7 @@ import numpy as np
 _PARTS = re.compile(rb"[a-z]+|[0-9]|[^a-z0-9]+")
 _WHOLE = re.compile(rb"['<\x00-\x1f\x7f]")
 _SIGNS = ".,;:!?%#*&$|)"
+_ASCII_SIGNS = _SIGNS.encode()
 #: The byte-level alphabet: printable bytes stand for themselves, the others for the characters from 256 on.
 _PRINTED = [*range(33, 127), *range(161, 173), *range(174, 256)]
 _REST = [b for b in range(256) if b not in _PRINTED]
@@ -32,7 +34,7 @@ class WordCoder(dict):
     again move over, so frequent words stay.
     """
 
-    def __init__(self, path: str, limit: int = 150_000):
+    def __init__(self, path: str, limit: int = 400_000):
         super().__init__()
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
@@ -43,7 +45,7 @@ class WordCoder(dict):
         self.kind = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
 
     def _packed(self, ids: list[int]) -> bytes:
-        return np.array(ids, self.kind).tobytes()
+        return struct.pack(f"<{len(ids)}{'H' if self.kind.itemsize == 2 else 'I'}", *ids)
 
     def _letters(self, word: str) -> bytes:
         """Ids of lower-case letters in composed form."""
@@ -52,13 +54,17 @@ class WordCoder(dict):
         return self._packed([t.id for t in self.model.tokenize(word)])
 
     def _ids(self, word: bytes) -> bytes:
+        plain = word.rstrip(_ASCII_SIGNS)
+        if plain.isalpha():  # ASCII letters, and signs behind them
+            low = plain.lower()
+            if low == word:
+                return self._letters(low.decode())
+            return self[low] + self[word[len(plain):]] if len(plain) < len(word) else self[low]
         if word.isascii():
             if not _WHOLE.search(word):
                 parts = _PARTS.findall(word.lower())
                 if parts != [word]:
                     return b"".join([self[p] for p in parts])
-                if word.isalpha():
-                    return self._letters(word.decode())
         else:
             text = word.decode()
             head = text.rstrip(_SIGNS)
