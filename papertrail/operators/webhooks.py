@@ -150,11 +150,31 @@ def delivery_rollup(deliveries: DataFrame, *keys: str) -> DataFrame:
         F.max("response_time_ms").alias("total_time_ms"))
 
 
-def delivery_details(deliveries: DataFrame, *keys: str, order: str = "delivery_id") -> DataFrame:
+#: Leading characters of a delivery id that part a key's report; ids are hashes, so 3 make up to 4096 even parts.
+PART_CHARS = 3
+
+
+def delivery_details(deliveries: DataFrame, *keys: str, order: str = "delivery_id", part: Column | None = None) -> DataFrame:
     """The details list in long form: ``position`` of each delivery within its key's report, from 0.
 
-    Stays long on purpose: a report may have any number of deliveries.
+    Stays long on purpose: a report may have any number of deliveries.  A key's rows are numbered in parts, and a part starts
+    where the counts of the parts before it end, so a key with most of all rows is many tasks.  ``part`` must not fall as
+    ``order`` rises (null as ``order`` is null); by default the first characters of its text, so for an ``order`` other than
+    text give one.
     """
-    place = F.row_number().over(Window.partitionBy(*keys).orderBy(order)) - 1
-    return deliveries.select(*keys, order, *[c for c in ("webhook_id",) if c not in keys], "delivery_status",
-                             "status_code", "response_time_ms").withColumn("position", place)
+    if part is None:
+        if deliveries.schema[order].dataType.typeName() != "string":
+            raise ValueError(f"{order} is no text: give the part that rises with it")
+        part = F.substring(order, 1, PART_CHARS)
+    rows = deliveries.select(*keys, order, *[c for c in ("webhook_id",) if c not in keys], "delivery_status",
+                             "status_code", "response_time_ms")
+    parted = rows.withColumn("_part", part)
+    place = F.row_number().over(Window.partitionBy(*keys, "_part").orderBy(order)) - 1
+    # One row per key and part, counted on the map side.
+    before = Window.partitionBy(*keys).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    starts = parted.groupBy(*keys, "_part").agg(F.count(F.lit(1)).alias("_n")) \
+        .withColumn("_start", F.coalesce(F.sum("_n").over(before), F.lit(0)))
+    numbered, starts = parted.withColumn("_place", place).alias("r"), starts.alias("s")
+    same = [F.col(f"r.{c}").eqNullSafe(F.col(f"s.{c}")) for c in (*keys, "_part")]
+    return numbered.join(starts, same).select(*[F.col(f"r.{c}") for c in rows.columns],
+                                              (F.col("s._start") + F.col("r._place")).alias("position"))

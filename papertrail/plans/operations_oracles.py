@@ -201,5 +201,5 @@ SELECT j.job_id, CASE WHEN f.job_id IS NOT NULL THEN 'failed' WHEN u.job_id IS N
         "WHEN again IS NULL THEN 'exhausted' WHEN again > (SELECT max(ts) FROM t) THEN 'waiting' ELSE 'due' END AS ledger FROM (SELECT DISTINCT d FROM t) i LEFT JOIN w USING (d)")
     sql["delivery_rollup"] = V_ + ("SELECT webhook_id, count(*) FILTER (delivery_status = 'success') AS webhooks_triggered, count(*) FILTER (delivery_status <> 'success') AS webhooks_failed, "
                                    "0::BIGINT AS webhooks_skipped, max(response_time_ms) AS total_time_ms FROM v GROUP BY webhook_id")
-    sql["delivery_details"] = V_ + "SELECT delivery_id, webhook_id, delivery_status, coalesce(status_code, 0) AS status_code, response_time_ms, CAST(row_number() OVER (PARTITION BY webhook_id ORDER BY delivery_id) - 1 AS INTEGER) AS position FROM v"
+    sql["delivery_details"] = V_ + "SELECT delivery_id, webhook_id, delivery_status, coalesce(status_code, 0) AS status_code, response_time_ms, row_number() OVER (PARTITION BY webhook_id ORDER BY delivery_id) - 1 AS position FROM v"
     return sql

@@ -366,7 +366,7 @@ def delivery_rollup(spark, sf):
 
 
 def delivery_details(spark, sf):
-    return I.delivery_details(_deliveries(spark, sf), "webhook_id").withColumn(
+    return I.delivery_details(_deliveries(spark, sf), "webhook_id", part=F.shiftright("delivery_id", 16)).withColumn(
         "status_code", F.coalesce("status_code", F.lit(0)))
 
 

@@ -256,3 +256,30 @@ def test_delivery_ledger(spark):
                    "d": (2, "error", t(110), "waiting"), "e": (3, "failed", None, "exhausted"), "f": (1, "failed", t(100), "due"),
                    "g": (0, None, None, "new")}
     assert sorted(r.delivery_id for r in I.due_deliveries(found).collect()) == ["a", "b", "f", "g"]
+
+
+def test_positions_across_parts(spark):
+    """A hot key, null keys and null ids, few and many parts: positions are those of one sorted list per key."""
+    rng = random.Random(3)
+    rows = [(rng.choice([1, 1, 1, 1, 2, None]), None if i == 7 else f"{rng.getrandbits(40):010x}", "success", 200, i) for i in range(400)]
+    schema = "webhook_id int, delivery_id string, delivery_status string, status_code int, response_time_ms int"
+    sent = spark.createDataFrame(rows, schema).repartition(5)
+    want = {}
+    for key, id_, *_, ms in sorted(rows, key=lambda r: (str(r[0]), r[1] or "")):
+        want[ms] = sum(r[0] == key and (r[1] or "") < (id_ or "") for r in rows)
+    for part in (None, F.substring("delivery_id", 1, 1), F.lit(0)):
+        found = I.delivery_details(sent, "webhook_id", part=part)
+        assert found.columns == [*sent.columns[:2], *sent.columns[2:], "position"]
+        assert {r.response_time_ms: r.position for r in found.collect()} == want
+    assert I.delivery_details(sent.filter("false"), "webhook_id").collect() == []
+    with pytest.raises(ValueError, match="give the part"):
+        I.delivery_details(sent.withColumn("delivery_id", F.lit(1)), "webhook_id")
+
+
+def test_positions_sort_no_whole_key(spark):
+    """Rows are numbered within (key, part); the only window over a whole key is over counts."""
+    schema = "webhook_id int, delivery_id string, delivery_status string, status_code int, response_time_ms int"
+    plan = I.delivery_details(spark.createDataFrame([], schema), "webhook_id")._jdf.queryExecution().optimizedPlan().toString()
+    windows = [line for line in plan.splitlines() if "Window [" in line]
+    assert len(windows) == 2
+    assert all("_part" in line.rsplit("], [", 2)[1] for line in windows if "row_number()" in line)
