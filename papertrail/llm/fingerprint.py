@@ -91,22 +91,30 @@ def as_text(fp: Column) -> Column:
 
 
 def followers(ids: DataFrame) -> DataFrame:
-    """``ids`` (one row per ``k``) with ``next_k``, the next smaller k; after the smallest comes the largest."""
-    blocked = ids.withColumn("block", F.shiftright("k", BLOCK_BITS))
-    inside = Window.partitionBy("block").orderBy(F.desc("k"))
-    # One row per block of ids, two longs wide: this window never holds documents.
-    over = Window.orderBy(F.desc("block"))
-    blocks = blocked.groupBy("block").agg(F.max("k").alias("top")).select(
-        "block", F.coalesce(F.lead("top").over(over), F.first("top").over(over)).alias("next_top"))
-    return blocked.withColumn("next_in", F.lead("k").over(inside)).join(blocks, "block") \
-        .withColumn("next_k", F.coalesce("next_in", "next_top")).drop("block", "next_in", "next_top")
+    """``ids`` (one row per ``k``) with ``next_k``, the next smaller k; after the smallest comes the largest.
+
+    Blocks of ids lie in blocks of blocks, up to the whole range of a long.  Each level is ordered within the blocks of the
+    next one only, so no window holds more than 2^BLOCK_BITS rows, whether ids are dense or spread out.
+    """
+    levels = [ids.withColumn("block", F.col("k")).withColumn("top", F.col("k"))]
+    for _ in range(64 // BLOCK_BITS):
+        levels.append(levels[-1].groupBy(F.shiftright("block", BLOCK_BITS).alias("block")).agg(F.max("top").alias("top")))
+    over = Window.orderBy(F.desc("block"))  # the last level has at most 2^(64 % BLOCK_BITS) rows
+    found = levels.pop().withColumn("next_k", F.coalesce(F.lead("top").over(over), F.first("top").over(over)))
+    for level in reversed(levels):
+        inside = Window.partitionBy("above").orderBy(F.desc("block"))
+        below = level.withColumn("above", F.shiftright("block", BLOCK_BITS)).withColumn("inside", F.lead("top").over(inside))
+        found = below.join(found.select(F.col("block").alias("above"), F.col("next_k").alias("outside")), "above") \
+            .withColumn("next_k", F.coalesce("inside", "outside")).drop("above", "inside", "outside")
+    return found.drop("block", "top")
 
 
 def edited_fingerprints(docs: DataFrame, k: int = WORDS_PER_KMER) -> DataFrame:
     """Fingerprints of every text and of its edited text, and their likeness to each other and to the next document's."""
     keyed = texts(docs).select(F.coalesce("doc_id", F.lit(_LOWEST)).alias("k"), "text") \
         .select("k", F.xxhash64("text").alias("h"), "text")
-    ids = cut(followers(keyed.groupBy("k").agg(F.max(F.length("text")).alias("n"), F.min("h").alias("first_h"))), "order")
+    ids = cut(keyed.groupBy("k").agg(F.max(F.length("text")).alias("n"), F.min("h").alias("first_h")), "ids")
+    ids = cut(followers(ids), "order")
     need = ids.select(F.col("k").alias("for_k"), F.col("next_k").alias("k"), F.floor(F.col("n") / 3).cast("int").alias("want")) \
         .join(ids.select("k", F.col("first_h").alias("h")), "k")
     # Both joins read ``keyed`` dealt out by k alone, so that its texts are shuffled once: the text hash is compared in a

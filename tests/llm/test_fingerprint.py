@@ -109,3 +109,15 @@ def test_odd_rows(spark, odd, empty):
 def test_plan_has_no_python(spark, odd):
     plan = P.edited_fingerprints(odd)._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan and "Cartesian" not in plan
+
+
+@pytest.mark.parametrize("bits", [14, 3])
+@pytest.mark.parametrize("ids", [
+    [0], [-(1 << 63), (1 << 63) - 1], list(range(-40, 200)),
+    [random.Random(i).getrandbits(64) - (1 << 63) for i in range(300)] + list(range(20))])
+def test_followers_of_dense_and_spread_ids(spark, monkeypatch, bits, ids):
+    monkeypatch.setattr(P, "BLOCK_BITS", bits)
+    order = sorted(ids, reverse=True)
+    got = P.followers(spark.createDataFrame([(i, -i - 1) for i in ids], "k long, n long"))
+    assert got.columns == ["k", "n", "next_k"]
+    assert {r.k: (r.next_k, r.n) for r in got.collect()} == {i: (order[(p + 1) % len(order)], -i - 1) for p, i in enumerate(order)}
