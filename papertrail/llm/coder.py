@@ -93,8 +93,8 @@ class WordCoder(dict):
 
 
 @lru_cache(maxsize=2)
-def word_coder(path: str) -> WordCoder:
-    return WordCoder(path)
+def word_coder(path: str, limit: int = 400_000) -> WordCoder:
+    return WordCoder(path, limit)
 
 
 def tokenizer_path(name: str) -> str:

@@ -31,6 +31,8 @@ from papertrail.llm.common import cut, partitions, table, texts, utf8
 WINDOW = 4096
 #: A shard is closed at so many documents or tokens; an index of one is some 20 MB.
 SHARD_DOCS, SHARD_TOKENS = 1024, 1_500_000
+#: Words a generation of a worker's cache holds, beside its shard.
+CACHED_WORDS = 250_000
 #: Most terms of a seed that are looked up: all of them.
 QUERY_TERMS = None
 _K1, _B = 1.2, 0.75
@@ -40,7 +42,7 @@ _PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long
 def tokenized(docs: DataFrame, tokenizer: str, end_id: int) -> DataFrame:
     """doc_id, ids as bytes, and two min-hashes of the set of ids."""
     def encode(batches):
-        coder = word_coder(tokenizer)
+        coder = word_coder(tokenizer, CACHED_WORDS)
         end = np.array([end_id], coder.kind).tobytes()
         rank = scan.mix(np.arange(1 << 16, dtype=np.uint64) + np.uint64(1)) >> np.uint64(33)
         for batch in batches:
@@ -160,7 +162,7 @@ class Packer:
 def packed(docs: DataFrame, tokenizer: str, end_id: int, window: int = WINDOW, with_ids: bool = False) -> DataFrame:
     """One row per piece; ``with_ids`` adds the piece's token ids as an array."""
     spark = docs.sparkSession
-    coder = word_coder(tokenizer)
+    coder = word_coder(tokenizer, CACHED_WORDS)
     kind, vocabulary = coder.kind.str, max(coder.tokenizer.get_vocab_size(), end_id + 1)
     tokens = cut(tokenized(docs, tokenizer, end_id), "token-ids")
     df, n_docs, mean = document_frequencies(tokens, kind, vocabulary)
