@@ -2,7 +2,9 @@
 
 Folding: lower case, compatibility forms and accents removed, look-alike letters of other scripts, and digits or signs
 standing for letters next to a letter; ``l`` and ``i`` become one, since ``1`` and ``|`` may mean either.  What is left
-are words of letters with one blank between them.
+are words of letters with one blank between them.  Digits and signs at a word's end may belong to it or not (``a55``,
+``idiot$$$``): such a text is also read with all of them folded and with all of them left out, and a word counts if it
+matches in any reading outside that reading's exceptions.
 
 The lexicon is learned: words whose log-odds between toxic and other documents (of a bounded labelled sample outside the
 held-out fold) are high and significant, with the log-odds as weight.  Word pairs around a lexicon word that the sample
@@ -18,7 +20,7 @@ from __future__ import annotations
 
 import re
 import unicodedata
-from bisect import bisect_right
+from bisect import bisect_left, bisect_right
 from collections import Counter
 from dataclasses import dataclass, field
 from itertools import accumulate
@@ -39,7 +41,8 @@ _LOOK_ALIKES = {
 }
 # Digits and signs that stand for letters.
 _SIGNS = {"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "|": "i"}
-_SIGN = re.compile(r"(?<=[^\W\d_])[0134578|](?=[^\W\d_]|[0134578@$|]+[^\W\d_]|\b)|[0134578@$|](?=[0134578@$|]*[^\W\d_])")
+_SIGN = re.compile(r"(?<=[^\W\d_])[01345789|](?=[^\W\d_]|[01345789@$|]+[^\W\d_]|\b)|[01345789@$|](?=[01345789@$|]*[^\W\d_])")
+_TAIL = re.compile(r"(?<=[^\W\d_])[01345789@$|]+(?![\w@$|])")
 _GAP = re.compile(r"[\W\d_]+")
 
 
@@ -60,17 +63,32 @@ class _Folds(dict):
 _FOLDS = _Folds()
 
 
-def fold(text: str) -> str:
-    """Words of letters with one blank before, between and after."""
-    text = text.lower().replace("l", "i") if text.isascii() else text.lower().translate(_FOLDS)
-    text = _SIGN.sub(_letter, text)
-    return f" {_GAP.sub(' ', text).strip()} "
+def _plain(text: str) -> str:
+    return text.lower().replace("l", "i") if text.isascii() else text.lower().translate(_FOLDS)
+
+
+def _words(plain: str) -> str:
+    return f" {_GAP.sub(' ', _SIGN.sub(_letter, plain)).strip()} "
 
 
 def _letter(m: re.Match) -> str:
     return _SIGNS[m[0]]
 
 
+def fold(text: str) -> str:
+    """Words of letters with one blank before, between and after: the first reading."""
+    return _words(_plain(text))
+
+
+def readings(text: str) -> list[str]:
+    """``fold``, and if words end in digits or signs, the other readings; all have the same number of words."""
+    plain = _plain(text)
+    if not _TAIL.search(plain):
+        return [_words(plain)]
+    folded = _TAIL.sub(lambda m: "".join(map(_SIGNS.__getitem__, m[0])), plain)
+    return list(dict.fromkeys(map(_words, (plain, folded, _TAIL.sub("", plain)))))
+
+
 @dataclass
 class Lexicon:
     """Folded words with weights, exception phrases, and the logistic fit (matches, weight, weight per 100 words, 1)."""
@@ -109,9 +127,24 @@ def matches(folded: str, automaton) -> list[tuple[int, int, float]]:
     return found
 
 
-def evidence(folded: str, automaton) -> list[float]:
-    found = matches(folded, automaton)
-    weight, words = sum(m[2] for m in found), max(folded.count(" ") - 1, 1)
+def read_matches(texts_read: list[str], automaton) -> list[float]:
+    """Weights of the words that match in any reading, each word once, by its first reading that matches."""
+    by_word: dict[tuple[int, int], float] = {}
+    for text in texts_read:
+        found = matches(text, automaton)
+        if found and len(texts_read) > 1:
+            blanks = [i for i, c in enumerate(text) if c == " "]
+            for start, end, weight in found:
+                by_word.setdefault((bisect_left(blanks, start), bisect_left(blanks, end)), weight)
+        elif found:
+            return [weight for _, _, weight in found]
+    return list(by_word.values())
+
+
+def evidence(text: str, automaton) -> list[float]:
+    texts_read = readings(text)
+    found = read_matches(texts_read, automaton)
+    weight, words = sum(found), max(texts_read[0].count(" ") - 1, 1)
     return [float(np.log1p(len(found))), float(np.log1p(weight)), float(np.log1p(100 * weight / words)), 1.0]
 
 
@@ -170,7 +203,7 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS, size: int =
     def measure(batches):
         automaton = lexicon.automaton()
         for batch in batches:
-            x = [evidence(fold(t), automaton) for t in batch.column("text").to_pylist()]
+            x = [evidence(t, automaton) for t in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("y"),
                                               pa.array(x, pa.list_(pa.float64()))], ["doc_id", "y", "x"])
 
@@ -192,7 +225,7 @@ def scored(docs: DataFrame, lexicon: Lexicon) -> DataFrame:
     def add(batches):
         automaton = sent.value.automaton()
         for batch in batches:
-            x = np.array([evidence(fold(t), automaton) for t in batch.column("text").to_pylist()], float).reshape(-1, 4)
+            x = np.array([evidence(t, automaton) for t in batch.column("text").to_pylist()], float).reshape(-1, 4)
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id"), pa.array(sent.value.score(x)),
                  pa.array(np.rint(np.expm1(x[:, 0])).astype(np.int64))], ["doc_id", "score", "n_matches"])

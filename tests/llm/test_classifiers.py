@@ -2,6 +2,7 @@
 
 import numpy as np
 import pytest
+from hypothesis import given, settings, strategies as st
 
 from papertrail.llm import quality, toxicity
 from papertrail.llm.common import utf8
@@ -69,6 +70,27 @@ def test_folding():
     assert toxicity.fold("") == "  "
 
 
+def test_readings_of_signs_at_the_end():
+    for text, word in (("a55", "ass"), ("a$$", "ass"), ("a5$", "ass"), ("sh17", "shit"), ("bitche$", "bitches"),
+                       ("idiot$$$", "idiot"), ("idiot5", "idiot"), ("idiot5", "idiots"), ("i9loo", "igioo"), ("do9", "dog")):
+        assert f" {word} " in toxicity.readings(text), text
+    assert toxicity.readings("plain words, 2024") == [" piain words "]
+    lexicon = toxicity.Lexicon({"ass": 2.0, "shit": 1.0, "idiot": 3.0}, {"idiot proof"})
+    automaton = lexicon.automaton()
+    weights = lambda t: sorted(toxicity.read_matches(toxicity.readings(t), automaton))
+    assert weights("a55 sh17 idiot$$$ ass") == [1.0, 2.0, 2.0, 3.0]  # a word that matches in two readings counts once
+    assert weights("idiot proof a55") == [2.0] and weights("idiot proof7 x") == [3.0]
+    assert weights("class 55 as 7") == []
+
+
+@settings(max_examples=400, deadline=None)
+@given(st.text(alphabet="abl5147902$@|_ .-'é\u0301\u0663а", max_size=30))
+def test_readings_have_the_same_words(text):
+    found = toxicity.readings(text)
+    assert found[0] == toxicity.fold(text)
+    assert len({len(x.split()) for x in found}) == 1
+
+
 def test_exception_phrases(spark):
     lexicon = toxicity.train(*labelled(spark), exceptions=("idiot proof",))
     assert "trash can" in lexicon.exceptions and "idiot" in lexicon.words
