@@ -32,7 +32,7 @@ def rule_rows(rules: list[tuple] | None = None) -> list[tuple]:
     return rows
 
 
-def _translated(rules: DataFrame) -> DataFrame:
+def translated(rules: DataFrame) -> DataFrame:
     """The rule table (a few rows) with its patterns as ``user_pattern`` gives them."""
     def run(batches):
         for batch in batches:
@@ -67,7 +67,7 @@ def attach_rules(df: DataFrame, rules: DataFrame, doc_type: str = "document_type
     The table is configuration, grouped by type and joined once; the optimizer sizes the join.  A pattern that does not
     compile fails its check with a message.
     """
-    rules = _translated(rules)
+    rules = translated(rules)
     row = F.struct(
         F.col("position").cast("int").alias("position"), "field", "rule", "fmt", "min_val", "max_val",
         T.float_text(F.col("min_val")).alias("min_text"),
@@ -124,7 +124,7 @@ CHECK_TYPE = ("array<struct<position:int,field:string,rule:string,passed:boolean
               "severity:string,value:string,value_num:double>>")
 
 
-def _rule_check(rule: Column, hit: Column, custom: dict | None = None) -> Column:
+def rule_check(rule: Column, hit: Column, custom: dict | None = None) -> Column:
     value, number = hit["value"], hit["value_num"]
     present = value.isNotNull() | number.isNotNull()
     amount = T.as_number(value, number)
@@ -154,7 +154,7 @@ def rule_checks(flat: Column, keys: Column, rules: Column, custom: dict | None =
     """One check per rule, in rule order."""
     hits = F.transform(rules, lambda r: F.struct(r.alias("r"), F.get(
         flat, (lookup_index(keys, r["field"]) - 1).cast("int")).alias("hit")))
-    judged = F.transform(hits, lambda h: _rule_check(h["r"], h["hit"], custom))
+    judged = F.transform(hits, lambda h: rule_check(h["r"], h["hit"], custom))
     return F.transform(judged, lambda j: _check(
         j["r"]["position"], j["r"]["field"], j["r"]["rule"], j["failure"].isNull(),
         F.coalesce(j["failure"], F.lit(PASSED)),

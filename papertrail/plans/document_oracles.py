@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from papertrail import fixed_values as V
 from papertrail.plans.document_queries import CUSTOM_RULES
-from papertrail.plans.fixtures import RENDERED
+from papertrail.plans.fixtures import RENDERED, SUPPLIER_RULES
 
 
 def q(text: str | None) -> str:
@@ -178,10 +178,12 @@ TRUTHY = "coalesce(value <> '', value_num <> 0, false)"
 SEGMENT = "string_split({0}, '.')[-1]"
 
 
-def checks_cte(rows: list[tuple]) -> str:
+def checks_cte(rows: list[tuple] | str) -> str:
+    """``rows``: the rules, or a SELECT that gives them."""
+    source = rows if isinstance(rows, str) else f"VALUES {rules_values(rows)}"
     formats = "CASE fmt " + " ".join(
         f"WHEN '{n}' THEN regexp_matches(txt, {q('^(?:' + p + ')')})" for n, p in V.FORMAT_VALIDATORS.items()) + " ELSE true END"
-    return f"""rules(document_type, position, field, rule, fmt, min_val, max_val, min_text, max_text, pattern, message, severity) AS (VALUES {rules_values(rows)}),
+    return f"""rules(document_type, position, field, rule, fmt, min_val, max_val, min_text, max_text, pattern, message, severity) AS ({source}),
 doc_rules AS (SELECT d.doc_id, d.document_type, r.position, r.field, r.rule, r.fmt, r.min_val, r.max_val, r.min_text, r.max_text, r.pattern, r.message,
  r.severity, row_number() OVER (PARTITION BY d.doc_id ORDER BY r.document_type = '*', r.position) - 1 AS rn
  FROM docs d JOIN rules r ON r.document_type = d.document_type OR r.document_type = '*'),
@@ -238,6 +240,11 @@ def _custom_rows() -> list[tuple]:
     return out
 
 
+def _supplier_rules() -> str:
+    return ("SELECT document_type, position, field, rule, fmt, min_val, max_val, CAST(min_val AS VARCHAR), CAST(max_val AS VARCHAR), "
+            f"pattern, message, severity FROM ({SUPPLIER_RULES}) s")
+
+
 def oracles() -> dict[str, str]:
     sql: dict[str, str] = {}
     for name, pattern in P.items():
@@ -322,6 +329,12 @@ def oracles() -> dict[str, str]:
         f"regexp_matches(value, {q('^(?:' + p + ')')}) AS is_{n}" for n, p in V.FORMAT_VALIDATORS.items()) + " FROM fields WHERE value IS NOT NULL"
     cu = f"WITH {flow()}, {checks_cte(_custom_rows())} "
     sql["custom_rules"] = cu + "SELECT doc_id, position, field, rule, passed, severity FROM rule_checks"
+    tr = f"WITH {flow()}, {checks_cte(_supplier_rules())} "
+    sql["rule_table_checks"] = tr + "SELECT doc_id, position, field, rule, message, severity, value, value_num FROM rule_checks WHERE NOT passed"
+    sql["rule_table_verdict"] = tr + (
+        "SELECT d.doc_id, d.document_type, count(c.doc_id) AS n_checks, count(*) FILTER (NOT passed) AS n_failed, "
+        "count(*) FILTER (NOT passed AND severity = 'error') AS n_errors, count(*) FILTER (NOT passed AND severity = 'error') = 0 AS is_valid "
+        "FROM docs d LEFT JOIN rule_checks c USING (doc_id) GROUP BY d.doc_id, d.document_type")
     sql["rule_counts"] = c + "SELECT document_type, count(DISTINCT doc_id) AS n_documents, count(*) AS n_rules FROM doc_rules GROUP BY document_type"
     for key, rule, base in (("structure_checks", "structure", c), ("cross_field", "cross_field", c5), ("data_quality", "quality", c)):
         sql[key] = base + f"SELECT doc_id, field, passed, message, severity FROM checks WHERE rule = '{rule}'"

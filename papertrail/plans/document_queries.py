@@ -6,8 +6,9 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from papertrail import fixed_values as V
 from papertrail.functions.fence import fence
-from papertrail.operators import extract as X, records as R, validate as G
+from papertrail.operators import extract as X, records as R, rule_join as J, validate as G
 from papertrail.plans.fixtures import table, view
+from papertrail.session import shared_dir
 
 
 def rendered(spark: SparkSession, sf: str) -> DataFrame:
@@ -213,6 +214,21 @@ def custom_rules(spark: SparkSession, sf: str) -> DataFrame:
     return X.unnest(df, own, "doc_id").select("doc_id", "_item.*").select("doc_id", "position", "field", "rule", "passed", "severity")
 
 
+def stored_records(spark: SparkSession, sf: str) -> DataFrame:
+    """Flat records as a table, for operators that read them twice."""
+    path = shared_dir(spark, "flat-records")
+    recorded(spark, sf).select("doc_id", "document_type", "flat").write.parquet(path)
+    return spark.read.parquet(path)
+
+
+def rule_table_checks(spark: SparkSession, sf: str) -> DataFrame:
+    return J.rule_checks(stored_records(spark, sf), view(spark, sf, "supplier_rules"), "doc_id").drop("passed")
+
+
+def rule_table_verdict(spark: SparkSession, sf: str) -> DataFrame:
+    return J.rule_verdicts(stored_records(spark, sf), view(spark, sf, "supplier_rules"), "doc_id")
+
+
 def rule_counts(spark: SparkSession, sf: str) -> DataFrame:
     docs = X.override_type(rendered(spark, sf)).withColumn("n", F.size(G.rules_for(F.col("document_type"))))
     return docs.groupBy("document_type").agg(
@@ -281,6 +297,8 @@ QUERIES = {
     "checks": checks,
     "format_validators": format_validators,
     "custom_rules": custom_rules,
+    "rule_table_checks": rule_table_checks,
+    "rule_table_verdict": rule_table_verdict,
     "rule_counts": rule_counts,
     "structure_checks": check_rows("structure"),
     "cross_field": check_rows("cross_field", 0.5),

@@ -98,9 +98,28 @@ SELECT event_id AS delivery_id, user_id % 20 AS webhook_id, ts,
 FROM (SELECT *, CASE event_id % 6 WHEN 0 THEN '200' WHEN 1 THEN '204' WHEN 2 THEN '302' WHEN 3 THEN '404' WHEN 4 THEN '500' ELSE '201' END AS element FROM events) e
 """
 
+# A rule table that grows: one rule per supplier, over all types and lookups (name, dotted name, last part, none).
+SUPPLIER_RULES = r"""
+SELECT CASE s_suppkey % 7 WHEN 0 THEN 'invoice' WHEN 1 THEN 'receipt' WHEN 2 THEN 'contract' WHEN 3 THEN 'form' WHEN 4 THEN 'nda'
+            WHEN 5 THEN 'document' ELSE '*' END AS document_type,
+       CAST(s_suppkey AS INT) AS position,
+       CASE s_suppkey % 11 WHEN 0 THEN 'total_amount' WHEN 1 THEN 'vendor.name' WHEN 2 THEN 'receipt_number' WHEN 3 THEN 'amounts_total'
+            WHEN 4 THEN 'payment_method' WHEN 5 THEN 'contract_value' WHEN 6 THEN 'party1' WHEN 7 THEN 'term_duration'
+            WHEN 8 THEN 'contact_email_1' WHEN 9 THEN 'own.code' ELSE 'dates.date' END AS field,
+       CASE s_suppkey % 3 WHEN 0 THEN 'range' WHEN 1 THEN 'required' ELSE 'regex' END AS rule,
+       CAST(NULL AS STRING) AS fmt,
+       CASE WHEN s_suppkey % 3 = 0 THEN s_acctbal END AS min_val,
+       CASE WHEN s_suppkey % 6 = 0 THEN s_acctbal * 4 END AS max_val,
+       CASE WHEN s_suppkey % 3 = 2 THEN '[A-M0-4]' END AS pattern,
+       concat('Rule ', CAST(s_suppkey AS STRING)) AS message,
+       CASE WHEN s_suppkey % 2 = 0 THEN 'error' ELSE 'warning' END AS severity
+FROM supplier
+"""
+
 VIEWS = {
     "rendered": (RENDERED, ("orders", "customer", "nation", "lineitem")),
     "manifest": (MANIFEST, ("documents",)),
+    "supplier_rules": (SUPPLIER_RULES, ("supplier",)),
     "text_pages": (TEXT_PAGES, ("conversations",)),
     "task_log": (TASK_LOG, ("events",)),
     "webhook_log": (WEBHOOK_LOG, ("customer",)),
