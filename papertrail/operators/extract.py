@@ -119,11 +119,12 @@ def contract_fields(text: Column) -> Column:
 
 def form_fields(text: Column, emails: Column, phones: Column, limits: Limits = Limits()) -> Column:
     """The first key/value pairs, then the first e-mail and phone."""
-    keys = _first(T.find_all(text, V.FORM_PAIR_PATTERN, 1), limits.form_pairs)
-    values = _first(T.find_all(text, V.FORM_PAIR_PATTERN, 2), limits.form_pairs)
-    pairs = F.zip_with(keys, values, lambda k, v: F.struct(
-        F.replace(F.lower(T.strip(k)), F.lit(" "), F.lit("_")).alias("name"),
-        T.strip(v).alias("value"), F.lit(None).cast("double").alias("value_num"),
+    # One search for whole pairs; a pair taken alone matches in the same way, so only those kept are taken apart.
+    whole = _first(T.find_all(text, V.FORM_PAIR_PATTERN), limits.form_pairs)
+    part = lambda pair, group: T.strip(F.regexp_extract(pair, T.java_regex(V.FORM_PAIR_PATTERN), group))
+    pairs = F.transform(whole, lambda pair: F.struct(
+        F.replace(F.lower(part(pair, 1)), F.lit(" "), F.lit("_")).alias("name"),
+        part(pair, 2).alias("value"), F.lit(None).cast("double").alias("value_num"),
         F.lit(0.6).alias("confidence")))
     kept = F.filter(pairs, lambda p: (p["name"] != "") & (p["value"] != "")
                     & (F.lit(True) if limits.form_name_chars is None else F.length(p["name"]) < limits.form_name_chars))

@@ -108,3 +108,18 @@ def test_user_patterns_mean_the_same(spark):
     df = spark.createDataFrame(rows, "pattern string, java string, text string")
     got = df.select("pattern", "text", F.regexp_like("text", F.concat(F.lit(r"(?Ud)\A(?:"), "java", F.lit(")"))).alias("hit")).collect()
     assert {(r.pattern, r.text): r.hit for r in got} == want and len(want) > 5000
+
+
+def test_ascii_patterns_match_as_the_general_ones(spark):
+    """On ASCII texts every pattern finds the same with plain classes and borders."""
+    rng = random.Random(11)
+    pieces = ["$ 1,234.50", " 12/03/2024", "2024-01-02", "a.b@c-d.org", "(555) 123-4567", "+1 555.123.4567", "12.5%", "Key: value", "\n", "\t", "\x1c",
+              "\x1f", "\x0b", "_", "x", "7", " ", ":", "By: Jane Doe", "Invoice No: A-77", "PO# 9", "tax id 12-3456789", "\x00", "\x7f"]
+    texts = ["".join(rng.choice(pieces) for _ in range(rng.randint(0, 14))) for _ in range(1500)] + ["", "é 12", "áb 12/03/2024", "x² 5%"]
+    df = spark.createDataFrame([(t,) for t in texts] + [(None,)], "t string")
+    patterns = [*V.PATTERNS.values(), V.FORM_PAIR_PATTERN, *V.NDA_SIGNATURE_PATTERNS]
+    for fold in (False, True):
+        found = df.select(*[T.find_all(F.col("t"), p, 0, fold).alias(f"a{i}") for i, p in enumerate(patterns)],
+                          *[F.regexp_extract_all("t", F.lit(T.java_regex(p, fold)), F.lit(0)).alias(f"b{i}") for i, p in enumerate(patterns)])
+        for row in found.collect():
+            assert row[:len(patterns)] == row[len(patterns):]
