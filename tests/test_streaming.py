@@ -11,7 +11,7 @@ from papertrail.operators import lifecycle as H
 from papertrail.sources import sinks
 from papertrail.sources.readers import stream_files, stream_table
 from papertrail.streaming import jobs
-from papertrail.streaming.overdue import ended, thinned
+from papertrail.streaming.overdue import ended, ended_by_key, thinned, thinned_by_key
 from tests.test_operations import START, event_log
 
 
@@ -214,3 +214,37 @@ def test_file_stream(spark, tmp_path):
         .option("path", str(tmp_path / "o")).option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
     jobs.finish(query)
     assert sorted((r.original_filename, r.file_size) for r in spark.read.parquet(str(tmp_path / "o")).collect()) == [("f0.pdf", 3), ("f1.pdf", 6), ("f2.pdf", 9)]
+
+
+def test_many_keys_share_state(spark, tmp_path):
+    """Thousands of jobs and windows are as many rows of state as there are buckets, over several batches."""
+    at = F.timestamp_micros(F.lit(1_700_000_000_000_000) + F.col("id") * 1_000_000)
+    status = F.when(F.col("id") % 3 > 0, "PENDING").otherwise("SUCCESS")
+    log = spark.range(6000).select(F.col("id").alias("event_id"), (F.col("id") * 7 % 2000).alias("job_id"), at.alias("ts"), status.alias("task_status"))
+    folder = tmp_path / "in"
+    for k in range(2):
+        log.filter((F.col("event_id") / 3000).cast("int") == k).coalesce(1).write.parquet(str(folder / f"p={k}"))
+        in_turn(folder, k)
+    stream = stream_table(spark, str(folder), log.schema, files_per_batch=1)
+    query = jobs.stuck(stream, str(tmp_path / "stuck"), str(tmp_path / "c1"), buckets=5)
+    jobs.finish(query)
+    events = [tuple(r) for r in log.collect()]
+    assert sorted(r.event_id for r in spark.read.parquet(str(tmp_path / "stuck")).collect()) == stuck_ids(events)
+    assert max(o.numRowsTotal for p in query.recentProgress for o in p.stateOperators) < 5 * 20
+    query = jobs.admit_requests(stream, str(tmp_path / "admit"), str(tmp_path / "c2"), "job_id", "1 hour", 1, buckets=5)
+    jobs.finish(query)
+    got = sorted(map(tuple, spark.read.parquet(str(tmp_path / "admit")).select(*log.columns, "admitted").collect()))
+    assert got == sorted(map(tuple, H.rate_admission(log, "job_id", "1 hour", 1).collect()))
+    assert max(o.numRowsTotal for p in query.recentProgress for o in p.stateOperators) < 5 * 20
+
+
+def test_ends_by_key():
+    rng = random.Random(4)
+    for _ in range(200):
+        opens = [(rng.randrange(-1, 4), rng.randrange(60)) for _ in range(rng.randrange(20))]
+        ends = [(rng.randrange(4), rng.randrange(60)) for _ in range(rng.randrange(20))]
+        keys, since = (np.array([x[i] for x in opens], np.int64) for i in range(2))
+        end_keys, times = (np.array([x[i] for x in ends], np.int64) for i in range(2))
+        want = [any(k == key and t < at <= t + 9 for key, at in ends) for k, t in opens]
+        assert ended_by_key(keys, since, end_keys, times, 9).tolist() == want
+        assert ended_by_key(keys, since, *thinned_by_key(end_keys, times, 9), 9).tolist() == want
