@@ -273,7 +273,10 @@ def _joined(spans):
 
 
 def summary(scanned: DataFrame) -> DataFrame:
-    counts = [F.size(F.filter("base", lambda x, k=k: x["kind"] == k)).cast("long").alias(f"n_{KINDS[k]}") for k in range(3)]
+    def count(kind: int):  # a function of two arguments would get the place in the array as the second
+        return F.size(F.filter("base", lambda x: x["kind"] == kind)).cast("long").alias(f"n_{KINDS[kind]}")
+
+    counts = [count(k) for k in range(3)]
     return scanned.select("doc_id", *counts, F.sha2(_joined("base").cast("binary"), 256).alias("base_sha256"),
                         _joined(F.sort_array(F.concat("base", "random"))).alias("spans"))
 

@@ -40,6 +40,14 @@ def test_query(spark, sf_dir, small):
         assert set(text_of(want).split(",")) <= set(r.spans.split(","))
 
 
+def test_counts_are_by_kind_whatever_the_places(spark):
+    texts = ["token=abcdefgh " * 3, "f" * 24 + " token = '" + "0a" * 12 + "' " + "AKIA" + "X" * 16, "AKIA" + "1" * 16, "0f" * 20, "none"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: (r.n_assign, r.n_access, r.n_hex) for r in S.summary(S.scan(docs)).collect()}
+    assert got == {i: tuple(sum(k == j for _, k, _ in base(t)) for j in range(3)) for i, t in enumerate(texts)}
+    assert got[0] == (3, 0, 0) and got[1] == (1, 1, 2)
+
+
 def test_odd_rows(spark, odd, empty):
     rows = S.summary(S.scan(odd)).collect()
     assert len(rows) == odd.count()
