@@ -66,9 +66,11 @@ def document_frequencies(tokens: DataFrame, kind: str, vocabulary: int) -> tuple
     """(documents with each id, documents, mean length)."""
     def count(batches):
         seen, n, total = np.zeros(vocabulary, np.int64), 0, 0
+        place = np.zeros(vocabulary, np.int32)
         for batch in batches:
             data, at = _binary(batch.column("ids"))
-            each = [np.unique(data[i:j].view(kind)) for i, j in zip(at[:-1], at[1:])]
+            number = np.arange((int(np.diff(at).max()) if len(at) > 1 else 0) // data[:0].view(kind).itemsize, dtype=np.int32)
+            each = [_different(data[i:j].view(kind), place, number) for i, j in zip(at[:-1], at[1:])]
             if each:
                 seen += np.bincount(np.concatenate(each), minlength=vocabulary)
                 n, total = n + len(each), total + int(at[-1] - at[0]) // data[:0].view(kind).itemsize
@@ -86,6 +88,13 @@ def document_frequencies(tokens: DataFrame, kind: str, vocabulary: int) -> tuple
     return df, n, total / max(n, 1)
 
 
+def _different(ids: np.ndarray, place: np.ndarray, number: np.ndarray) -> np.ndarray:
+    """The ids, each once: where it stands last.  ``place`` is scratch, one entry per id; ``number`` counts from 0."""
+    number = number[:len(ids)]
+    place[ids] = number
+    return ids[place[ids] == number]
+
+
 def _binary(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """(bytes, offsets) of a binary column without nulls."""
     _, offsets, data = column.buffers()

@@ -104,3 +104,11 @@ def test_every_term_of_a_seed_counts():
     docs = [np.arange(60), np.array([59, 100]), np.array([101])]
     idf = np.linspace(9, 1, 102)
     assert set(packing.Shard(docs, idf, 20.0).neighbours(0).tolist()) == {0, 1}
+
+
+def test_different_ids():
+    """Each id once, as np.unique has them, with scratch left over from another document."""
+    place, number = np.full(1 << 16, 7, np.int32), np.arange(2000, dtype=np.int32)
+    for seed, n in enumerate((0, 1, 5, 2000, 3)):
+        ids = np.random.default_rng(seed).integers(0, 1 << (4 * seed), n).astype("<u2")
+        assert np.sort(packing._different(ids, place, number)).tolist() == np.unique(ids).tolist()
