@@ -137,3 +137,38 @@ def test_nan_fails_no_comparison(spark):
                                f"document_id int, document_type string, flat {flat}")
     got = {r.document_id: r.checks[0].passed for r in G.validate(df, rules).collect()}
     assert got == {1: True, 2: False}
+
+
+def test_known_rules_are_checked_without_an_array_of_rules(spark):
+    rules = [("invoice", "total_amount", "range", {"min": 5, "max": 20}, "Range", "error"), ("invoice", "tax", "range", {"max": 1}, "R", "warning"),
+             ("invoice", "vendor.name", "required", {}, None, "error"), ("form", "mail", "format", {"format": "email"}, "Mail", "error"),
+             ("form", "mail", "format", {"format": "other"}, "Mail", "error"), ("form", "mail", "regex", {"pattern": "a"}, "No a", "error"),
+             ("*", "x_code", "required", {}, "Code", "warning"), ("*", "own.code", "odd", {}, "Odd", "error")]
+    flat = "array<struct<key:string,value:string,value_num:double>>"
+    df = spark.createDataFrame([
+        (1, "invoice", [("amounts.total_amount", None, 4.0), ("tax", "x", None), ("x.code", "", None)]), (2, "invoice", [("total_amount", "21", None)]),
+        (3, "form", [("a_mail", "b@c.de", None), ("mail", "", None), ("code", None, 0.0)]), (4, "form", [("e_mail", "xa", None), ("mail", None, 7.0)]),
+        (5, None, [("z.code", "1", None)]), (6, "form", None), (7, "other", [])], f"document_id int, document_type string, flat {flat}")
+    known = G.validate(df, rules)
+    as_array = df.withColumn("rules", G.rules_for(F.col("document_type"), rules)).withColumn("_keys", F.transform("flat", lambda x: x["key"])) \
+        .select("document_id", G.rule_checks(F.col("flat"), F.col("_keys"), F.col("rules")).alias("c"))
+    want = {r.document_id: r.c for r in as_array.collect()}
+    got = {r.document_id: [c for c in r.checks if c.position < 1000] for r in known.collect()}
+    assert got == want and any(not c.passed for c in got[1])
+    assert "regexp_like(lambda" not in known._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_rollup_counts_once(spark):
+    rows = [("a", "f", "r", True), ("a", "f", "r", False), ("a", None, "r", False), (None, "f", "r", True), ("a", "g", None, True)]
+    df = spark.createDataFrame(rows, "document_type string, field string, rule string, passed boolean")
+    out = G.failure_rollup(df)
+    want = df.rollup("document_type", "field", "rule").agg(F.grouping_id().alias("level"), F.count(F.lit(1)).alias("n_checks"),
+                                                          F.count_if(~F.col("passed")).alias("n_failed"))
+    assert sorted(map(str, out.collect())) == sorted(map(str, want.collect()))
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "Aggregate" in plan.split("Expand", 1)[1] and G.failure_rollup(df.limit(0)).count() == 0
+
+
+def test_rendered_texts_are_dealt_to_all_cores(spark, sf_dir):
+    from papertrail.plans.fixtures import view
+    assert view(spark, sf_dir, "rendered").rdd.getNumPartitions() >= 2 * spark.sparkContext.defaultParallelism

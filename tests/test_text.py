@@ -123,3 +123,23 @@ def test_ascii_patterns_match_as_the_general_ones(spark):
                           *[F.regexp_extract_all("t", F.lit(T.java_regex(p, fold)), F.lit(0)).alias(f"b{i}") for i, p in enumerate(patterns)])
         for row in found.collect():
             assert row[:len(patterns)] == row[len(patterns):]
+
+
+def test_plain_forms_agree_on_ascii(spark):
+    rnd = random.Random(5)
+    words = ["Invoice", "PO", "tax", "total", "between", "and", "Name:", "By: __", "Title", "term", "years", "laws of", "purpose", "cash",
+             "receipt", "3rd day of May, 2024", "12/3/2024", "$ 1,200.50", "9", "a@b.co", "(", '"Company"', "\x1c", "\x1f", "\t", "\x0b", "\n", ".", ","]
+    texts = ["".join(rnd.choice(words) + rnd.choice(["", " ", " ", "\n"]) for _ in range(rnd.randrange(14))) for _ in range(300)]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    t = F.col("t")
+    patterns = [*V.PATTERNS.values(), V.TAX_PATTERN, V.PARTY_PATTERN, V.FORM_PAIR_PATTERN, *V.NDA_TERM_PATTERNS, *V.NDA_SIGNATURE_PATTERNS,
+                *V.NDA_JURISDICTION_PATTERNS, V.NDA_PURPOSE_PATTERN, V.NDA_PARTIES_PATTERN, V.CELL_SEPARATOR]
+
+    def forms(plain):
+        return F.struct(T.trimmed(t, plain).alias("strip"), *[f.alias(f"{k}{i}") for i, p in enumerate(patterns) for k, f in (
+            ("s", T.search(t, p, 0, plain=plain)), ("d", T.search(t, p, 0, dotall=True, plain=plain)), ("f", T.found(t, p, plain=plain)))])
+
+    amount = T.find_all(t, V.PATTERNS["amount"])
+    rows = df.select(forms(True).alias("a"), forms(False).alias("b"), F.transform(amount, T.parse_ascii_amount).alias("x"),
+                     F.transform(amount, T.parse_amount).alias("y")).collect()
+    assert all(r.a == r.b and r.x == r.y for r in rows) and any(r.y for r in rows)
