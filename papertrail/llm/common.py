@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from papertrail.session import shared_dir
 
 #: Bytes of text that one numpy pass handles at a time; a longer document is a pass of its own.
-CHUNK_BYTES = 2 << 20
+CHUNK_BYTES = 1 << 18
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -77,7 +77,7 @@ class Words:
 
 
 def words(data: np.ndarray, offsets: np.ndarray, kind: np.ndarray):
-    """``Words`` of consecutive documents, some megabytes at a time; ASCII letters are lower-cased."""
+    """``Words`` of consecutive documents, a quarter of a megabyte at a time; ASCII letters are lower-cased."""
     for first, last in chunks(offsets):
         at = offsets[first:last + 1] - offsets[first]
         lower = LOWER[data[offsets[first]:offsets[last]]]
@@ -92,7 +92,7 @@ def words(data: np.ndarray, offsets: np.ndarray, kind: np.ndarray):
         after[:-1] = inside
         after[at] = False
         end = np.flatnonzero(inside & ~after[1:]) + 1
-        size = 1 << max(21, int(len(lower)).bit_length())
+        size = 1 << max(18, int(len(lower)).bit_length())
         power, inverse = _tables(size)
         total = np.zeros(len(lower) + 1, np.uint64)
         np.cumsum(_VALUE[lower] * power[:len(lower)], out=total[1:])

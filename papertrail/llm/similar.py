@@ -11,11 +11,12 @@ so that a set may leave out one empty segment, which says nothing.
 Sets that share a signature are candidates.  Equal sets are one node from the start.  Within a signature's group, every
 member is compared with one hub, which is linear in the group; members then in one component need no further look.  A
 few rounds take other hubs, as long as they bring links.  Then whatever pairs of a group still lie in different components
-are compared, so no link between different components is lost.  All pairs first pass a bound (sizes; a parity sketch, whose
-distance never exceeds that of the sets); whole sets are fetched from the texts only for those that remain, and compared
-exactly.
+are compared, so no link between different components is lost; no pair is looked at twice.  All pairs first pass bounds (sizes;
+parity sketches, whose distance never exceeds that of the sets: one of 1024 places, and for larger sets one of about as many places
+as they have elements); whole sets are fetched from the texts only for those that remain, and compared exactly.
 
-Which signatures occur more than once goes round as a bit table of fixed size; it only thins out what is shuffled.
+Signatures meet in one shuffle, packed: shortened ones as differences, each with some bytes of its set's key, both so long that
+few meet by chance, which adds candidates and loses none.  What is shuffled grows with the texts, whatever share repeats.
 
 Defined results: a null or empty text, or one of blanks, has no shingles and is its own component; repeated rows are
 equal sets and one component; a null id is never the smallest of a component unless all its ids are null; an empty table
@@ -35,15 +36,15 @@ from papertrail.llm import bloom, scan
 from papertrail.llm.common import cut, partitions, table, utf8
 
 SHINGLE, PERCENT = 3, 90
-#: Bits of the table of repeated signatures: 2^26, 8 MB.
-REPEATED_BITS = 26
 #: Rounds that compare with a hub, before all pairs left in a group are.
 HUB_ROUNDS = 3
 #: What a match by chance costs, in signatures.
 CHANCE = 1000.0
 _SKETCH, _SEEN = 1024, 100_000
 #: Signatures a task holds before it packs them, and those of one range, which a task counts at once.
-_HELD, _RANGE = 500_000, 4_000_000
+_HELD, _RANGE = 500_000, 1_000_000
+#: Bits of a shortened signature, and of a shortened key, beyond those that number all of them.
+_SIG_SPARE, _KEY_SPARE = 12, 8
 
 
 def bands(size: int, percent: int) -> tuple[int, int, int]:
@@ -152,6 +153,15 @@ def sketch(shingles: np.ndarray) -> list[int]:
     return np.packbits(odd.astype(np.uint8)).view(np.int64).tolist()
 
 
+def wide_sketch(shingles: np.ndarray) -> list[int] | None:
+    """As ``sketch``, at least as many places as elements, a power of two; null where 1024 are enough."""
+    if len(shingles) <= _SKETCH:
+        return None
+    places = 1 << (len(shingles) - 1).bit_length()
+    odd = np.bincount((shingles & np.uint64(places - 1)).astype(np.int64), minlength=places) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64).tolist()
+
+
 def _may_link(a: str, b: str, percent: int) -> Column:
     """Bounds that two linked sets keep: sizes, and the distance of their sketches."""
     na, nb = F.col(f"{a}.n"), F.col(f"{b}.n")
@@ -160,6 +170,21 @@ def _may_link(a: str, b: str, percent: int) -> Column:
     return (F.least(na, nb) * 100 >= F.greatest(na, nb) * percent) & (apart * (100 + percent) <= (na + nb) * (100 - percent))
 
 
+def _may_link_wide(a: str, b: str, percent: int) -> Column:
+    """The bound by wide sketches; the larger of two is folded to the places of the smaller."""
+    low, high = F.least(F.size(f"{a}.wide"), F.size(f"{b}.wide")), F.greatest(F.size(f"{a}.wide"), F.size(f"{b}.wide"))
+
+    def folded(x: str, i: Column) -> Column:
+        further = F.when((F.size(f"{x}.wide") == high) & (high > low), F.get(f"{x}.wide", i + low)).otherwise(F.lit(0).cast("long"))
+        return F.get(f"{x}.wide", i).bitwiseXOR(further)
+
+    apart = F.aggregate(F.sequence(F.lit(0), low - 1), F.lit(0),
+                        lambda d, i: d + F.bit_count(folded(a, i).bitwiseXOR(folded(b, i))))
+    # Sizes within their bound differ by less than a factor of two, so do the places.
+    known = F.col(f"{a}.wide").isNotNull() & F.col(f"{b}.wide").isNotNull() & (high <= 2 * low)
+    return F.when(known, apart * (100 + percent) <= (F.col(f"{a}.n") + F.col(f"{b}.n")) * (100 - percent)).otherwise(F.lit(True))
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(key, label): the smallest key of each component of edges (a, b).
 
@@ -186,56 +211,52 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERC
 
     def describe(batches):
         for batch in batches:
-            n, key, sk, many = [], [], [], []
+            n, key, sk, wide, many = [], [], [], [], []
             for s in sets(*utf8(batch.column("text")), shingle):
                 n.append(len(s))
                 many.append(expected(len(s), percent))
                 key.append(set_key(s) if len(s) else None)
                 sk.append(sketch(s) if len(s) else None)
+                wide.append(wide_sketch(s))
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(key, pa.int64()),
-                 pa.array(sk, pa.list_(pa.int64())), pa.array(many, pa.int64()), *[batch.column(c) for c in carry]],
-                ["doc_id", "n", "key", "sketch", "signatures", *carry])
+                 pa.array(sk, pa.list_(pa.int64())), pa.array(wide, pa.list_(pa.int64())), pa.array(many, pa.int64()),
+                 *[batch.column(c) for c in carry]],
+                ["doc_id", "n", "key", "sketch", "wide", "signatures", *carry])
 
-    schema = spark.createDataFrame([], "doc_id long, n long, key long, sketch array<long>, signatures long").schema
+    schema = spark.createDataFrame([], "doc_id long, n long, key long, sketch array<long>, wide array<long>, signatures long").schema
     for c in carry:
         schema.add(docs.schema[c])
     described = cut(docs.mapInArrow(describe, schema), "shingle-sets")
-    total = described.agg(F.sum("signatures")).first()[0] or 0
-    groups = _groups(docs.select("text"), shingle, percent, max(partitions(spark), total // _RANGE + 1))
+    groups = _groups(docs.select("text"), described.select("key", "signatures"), shingle, percent)
     nodes = cut(described.join(groups.select("key").distinct(), "key", "left_semi").groupBy("key")
-                .agg(F.first("n").alias("n"), F.first("sketch").alias("sketch")), "nodes")
+                .agg(F.first("n").alias("n"), F.first("sketch").alias("sketch"), F.first("wide").alias("wide")), "nodes")
     fetched: list[DataFrame] = []
 
-    def linked(pairs: DataFrame, keys: DataFrame) -> DataFrame:
-        """The pairs whose whole sets are similar enough; sets of ``keys`` that are not there yet are fetched first."""
+    def linked(pairs: DataFrame) -> DataFrame:
+        """The pairs whose whole sets are similar enough; sets that are not there yet are fetched first."""
+        keys = cut(pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct(), "wanted-sets")
+        lacking = keys
         for there in fetched:
-            keys = keys.join(there.select("key"), "key", "left_anti")
-        keys = cut(keys, "wanted-sets")
-        if keys.limit(1).count():
-            fetched.append(_sets_of(docs, keys, shingle))
+            lacking = lacking.join(there.select("key"), "key", "left_anti")
+        lacking = cut(lacking, "wanted-sets")
+        if lacking.limit(1).count():
+            fetched.append(_sets_of(docs, lacking, shingle))
         held = reduce(DataFrame.union, fetched) if fetched else spark.createDataFrame([], "key long, set array<long>")
-        return _similar(pairs, held, percent)
+        return _similar(pairs, held.join(keys, "key", "left_semi"), percent)
+
+    def with_nodes(pairs: DataFrame, *columns: str) -> DataFrame:
+        return pairs.join(nodes.select(F.col("key").alias("a"), F.struct(*columns).alias("x")), "a") \
+            .join(nodes.select(F.col("key").alias("b"), F.struct(*columns).alias("y")), "b")
 
-    def described_pairs(pairs: DataFrame) -> DataFrame:
-        """Pairs (a, b) within the bounds."""
-        return pairs.join(nodes.select(F.col("key").alias("a"), F.struct("n", "sketch").alias("x")), "a") \
-            .join(nodes.select(F.col("key").alias("b"), F.struct("n", "sketch").alias("y")), "b") \
-            .filter(_may_link("x", "y", percent)).select("a", "b")
+    def within_wide(pairs: DataFrame) -> DataFrame:
+        return with_nodes(pairs, "n", "wide").filter(_may_link_wide("x", "y", percent)).select("a", "b")
 
     def ordered(x: str, y: str) -> list[Column]:
         return [F.least(x, y).alias("a"), F.greatest(x, y).alias("b")]
 
-    # A group's hubs are the same in all rounds, so the sets of all of them are fetched in one pass over the texts.
-    names = [f"hub{t}" for t in range(HUB_ROUNDS)]
-    if names:
-        hubs = cut(groups.groupBy("sig").agg(*[F.min(F.struct(F.xxhash64("key", F.lit(t)), "key"))["key"].alias(name)
-                                               for t, name in enumerate(names)]), "hubs")
-        any_hub = groups.join(hubs.select("sig", F.explode(F.array_distinct(F.array(*names))).alias("hub")), "sig") \
-            .filter("key <> hub").select(*ordered("key", "hub")).distinct()
-        near_hub = cut(described_pairs(any_hub), "hub-pairs")
     members, edges = groups, spark.createDataFrame([], "a long, b long")
-    labels, turn = spark.createDataFrame([], "key long, label long"), 0
+    labels, looked, turn = spark.createDataFrame([], "key long, label long"), spark.createDataFrame([], "a long, b long"), 0
     while True:
         placed = members.join(labels, "key", "left").select("sig", "key", F.coalesce("label", "key").alias("label"))
         open_ = placed.groupBy("sig").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low <> high").select("sig")
@@ -244,18 +265,17 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERC
             break
         last = turn >= HUB_ROUNDS
         if not last:
-            with_hub = members.join(hubs.select("sig", F.col(names[turn]).alias("hub")), "sig")
-            apart = with_hub.join(members.select("sig", F.col("key").alias("hub"), F.col("label").alias("other")), ["sig", "hub"]) \
-                .filter("label <> other").select(*ordered("key", "hub")).distinct()
-            pairs = cut(apart.join(near_hub, ["a", "b"], "left_semi"), "pairs")
-            keys = near_hub
+            hubs = members.groupBy("sig").agg(F.min(F.struct(F.xxhash64("key", F.lit(turn)), "key", "label")).alias("hub"))
+            apart = members.join(hubs, "sig").filter("label <> hub.label").select(*ordered("key", "hub.key")).distinct()
+            apart = cut(apart.join(looked, ["a", "b"], "left_anti"), "pairs-apart")
+            looked = looked.union(apart)
+            pairs = with_nodes(apart, "n", "sketch").filter(_may_link("x", "y", percent)).select("a", "b")
         else:
             known = members.join(nodes, "key")
             x, y = (known.select("sig", F.struct("key", "label", "n", "sketch").alias(c)) for c in "xy")
-            pairs = cut(x.join(y, (x["sig"] == y["sig"]) & (F.col("x.label") < F.col("y.label")) & _may_link("x", "y", percent))
-                        .select(*ordered("x.key", "y.key")).distinct(), "pairs")
-            keys = pairs
-        new = cut(linked(pairs, keys.select(F.explode(F.array("a", "b")).alias("key")).distinct()), "links")
+            pairs = x.join(y, (x["sig"] == y["sig"]) & (F.col("x.label") < F.col("y.label")) & _may_link("x", "y", percent)) \
+                .select(*ordered("x.key", "y.key")).distinct().join(looked, ["a", "b"], "left_anti")
+        new = cut(linked(cut(within_wide(pairs), "pairs")), "links")
         members = members.select("sig", "key")
         if new.limit(1).count():
             edges = edges.union(new)
@@ -285,66 +305,115 @@ def _each(batches, shingle: int, percent: int):
                 yield k, signatures(s, percent)
 
 
-def _groups(docs: DataFrame, shingle: int, percent: int, ranges: int) -> DataFrame:
-    """(sig, key) of the signatures that several different sets have; of signatures that the same sets have, one.
+def _groups(docs: DataFrame, described: DataFrame, shingle: int, percent: int) -> DataFrame:
+    """(sig, key) of the shortened signatures that several different sets have; of signatures that the same sets have, one.
 
-    Signatures are counted in short form: 48 bits, sorted, as differences, one packed column per task and range.  Those
-    that occur once, nearly all, go no further.
+    ``described``: key and signatures, the number of them, of every text.  A range of signatures is sorted at once, by one task.
     """
-    spark = docs.sparkSession
+    rows_, total = described.agg(F.count("key"), F.coalesce(F.sum("signatures"), F.lit(0))).first()
+    ranges = max(partitions(docs.sparkSession), total // _RANGE + 1)
+    bits = min(max(total.bit_length() + _SIG_SPARE, 40), 64)
+    width = min(max(-(-(rows_.bit_length() + _KEY_SPARE) // 8), 4), 8)
+    mask = (1 << 8 * width) - 1
 
     def pack(batches):
-        held, size = [], 0
-        for _, sig in _each(batches, shingle, percent):
-            held.append(sig >> np.uint64(16))
+        held, keys, size = [], [], 0
+        for key, sig in _each(batches, shingle, percent):
+            held.append(sig >> np.uint64(64 - bits))
+            keys.append(key & mask)
             size += len(sig)
             if size > _HELD:
-                yield _packed(held, ranges)
-                held, size = [], 0
+                yield _packed(held, keys, ranges, bits, width)
+                held, keys, size = [], [], 0
         if held:
-            yield _packed(held, ranges)
-
-    def count(group: pa.Table) -> pa.Table:
-        short = [np.cumsum(np.concatenate([np.frombuffer(body[:8], "<u8"), np.frombuffer(body[8:], kind)]), dtype=np.uint64)
-                 for body, kind in zip(group["body"].to_pylist(), group["kind"].to_pylist())]
-        values, n = np.unique(np.concatenate(short), return_counts=True)
-        return pa.table({"sig": pa.array(scan.mix(values[n > 1]).view(np.int64))})
-
-    repeated = docs.mapInArrow(pack, "range int, kind string, body binary").groupBy("range").applyInArrow(count, "sig long")
-    known = spark.sparkContext.broadcast(bloom.build(repeated, "sig", REPEATED_BITS))
-
-    def thin(batches):
-        for batch in batches:
-            found, owner = [np.empty(0, np.uint64)], [np.empty(0, np.int64)]
-            for key, sig in _each([batch], shingle, percent):
-                kept = sig[bloom.test(known.value, scan.mix(sig >> np.uint64(16)))]
-                found.append(kept)
-                owner.append(np.full(len(kept), key, np.int64))
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found).view(np.int64)), pa.array(np.concatenate(owner))],
-                                             ["sig", "key"])
-
-    rows = cut(docs.mapInArrow(thin, "sig long, key long").distinct(), "repeated-signatures")
-    # Copies share hundreds of signatures: of groups with the same members one is enough.
-    members = [F.count(F.lit(1)).alias("n"), *[F.bit_xor(F.xxhash64("key", F.lit(i))).alias(f"all{i}") for i in (1, 2)]]
-    several = rows.groupBy("sig").agg(F.min("key").alias("low"), F.max("key").alias("high"), *members).filter("low <> high")
-    one = several.groupBy("n", "all1", "all2").agg(F.min("sig").alias("sig")).select("sig")
-    return cut(rows.join(one, "sig"), "signature-groups")
-
-
-def _packed(held: list[np.ndarray], ranges: int) -> pa.RecordBatch:
-    """Short signatures by range of their values; one that the task has met twice is there twice."""
-    values, n = np.unique(np.concatenate(held), return_counts=True)
-    values = np.sort(np.concatenate([values, values[n > 1]]))
-    place = ((values >> np.uint64(16)) * np.uint64(ranges)) >> np.uint64(32)
+            yield _packed(held, keys, ranges, bits, width)
+
+    def meet(group: pa.Table) -> pa.Table:
+        sig, key = _unpacked(group, width)
+        order = np.argsort(sig, kind="stable")
+        sig = sig[order]
+        again = sig[1:] == sig[:-1]
+        kept = np.append(again, False) | np.append(False, again)
+        sig, key = sig[kept], key[order[kept]]
+        order = np.lexsort((key, sig))
+        sig, key = _distinct(sig[order], key[order])  # copies of a set
+        at, n = _runs(sig)
+        several = np.repeat(n > 1, n)
+        sig, key = sig[several], key[several]
+        at, n = _runs(sig)
+        if not len(at):
+            return pa.table({c: pa.array([], pa.int64()) for c in ("sig", "key", "n", "all1", "all2")})
+        all1, all2 = (np.bitwise_xor.reduceat(scan.mix(key + np.uint64(c)), at) for c in (1, 1 << 63))
+        # Copies share hundreds of signatures: of groups with the same members one is enough, here and of all ranges.
+        order = np.lexsort((all2, all1, n))
+        same = (n[order][1:] == n[order][:-1]) & (all1[order][1:] == all1[order][:-1]) & (all2[order][1:] == all2[order][:-1])
+        one = np.ones(len(n), bool)
+        one[order[1:][same]] = False
+        first = np.zeros(len(sig), bool)
+        first[at] = True
+        chosen = np.repeat(one, n)
+        other = ~first[chosen]
+
+        def once(x: np.ndarray) -> pa.Array:
+            return pa.array(np.repeat(x, n)[chosen].view(np.int64), mask=other)
+
+        return pa.table({"sig": pa.array(sig[chosen].view(np.int64)), "key": pa.array(key[chosen].view(np.int64)),
+                         "n": once(n), "all1": once(all1), "all2": once(all2)})
+
+    rows = cut(docs.mapInArrow(pack, "range int, width int, body binary, keys binary").groupBy("range")
+               .applyInArrow(meet, "sig long, key long, n long, all1 long, all2 long"), "repeated-signatures")
+    one = rows.filter("n IS NOT NULL").groupBy("n", "all1", "all2").agg(F.min("sig").alias("sig")).select("sig")
+    short = F.col("key").bitwiseAND(F.lit(mask if width < 8 else -1).cast("long"))
+    keys = described.filter("key IS NOT NULL").select("key").distinct().withColumn("short", short)
+    found = rows.join(one, "sig").select("sig", F.col("key").alias("short")).join(keys, "short").select("sig", "key")
+    return cut(found, "signature-groups")
+
+
+def _runs(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(first places, lengths) of the runs of equal values."""
+    at = np.flatnonzero(np.append(True, values[1:] != values[:-1])[:len(values)])
+    return at, np.diff(np.append(at, len(values)))
+
+
+def _distinct(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted pairs without those that equal the one before."""
+    new = np.append(True, (a[1:] != a[:-1]) | (b[1:] != b[:-1]))[:len(a)]
+    return a[new], b[new]
+
+
+def _low_bytes(values: np.ndarray, width: int) -> np.ndarray:
+    return np.ascontiguousarray(values.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width])
+
+
+def _from_bytes(raw: bytes, width: int) -> np.ndarray:
+    wide = np.zeros((len(raw) // width, 8), np.uint8)
+    wide[:, :width] = np.frombuffer(raw, np.uint8).reshape(-1, width)
+    return wide.view("<u8")[:, 0]
+
+
+def _packed(held: list[np.ndarray], keys: list[int], ranges: int, bits: int, width: int) -> pa.RecordBatch:
+    """Signatures of ``bits`` bits by range of their values, with ``width`` bytes of their sets' keys."""
+    values = np.concatenate(held)
+    order = np.argsort(values)
+    owners = _low_bytes(np.repeat(np.array(keys, np.uint64), [len(x) for x in held])[order], width)
+    values = values[order]
+    place = ((values >> np.uint64(bits - 32)) * np.uint64(ranges)) >> np.uint64(32)
     edge = np.searchsorted(place, np.arange(ranges + 1, dtype=np.uint64))
     rows = []
     for r in np.flatnonzero(np.diff(edge)).tolist():
         part = values[edge[r]:edge[r + 1]]
         steps = np.diff(part)
-        kind = "<u4" if not len(steps) or steps.max() < 1 << 32 else "<u8"
-        rows.append((r, kind, part[:1].astype("<u8").tobytes() + steps.astype(kind).tobytes()))
-    return pa.RecordBatch.from_arrays([pa.array([x[0] for x in rows], pa.int32()), pa.array([x[1] for x in rows]),
-                                       pa.array([x[2] for x in rows], pa.binary())], ["range", "kind", "body"])
+        size = max(int(steps.max(initial=0)).bit_length() + 7 >> 3, 1)
+        rows.append((r, size, part[:1].astype("<u8").tobytes() + _low_bytes(steps, size).tobytes(), owners[edge[r]:edge[r + 1]].tobytes()))
+    return pa.RecordBatch.from_arrays([pa.array([x[0] for x in rows], pa.int32()), pa.array([x[1] for x in rows], pa.int32()),
+                                       *[pa.array([x[k] for x in rows], pa.binary()) for k in (2, 3)]], ["range", "width", "body", "keys"])
+
+
+def _unpacked(group: pa.Table, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """(signatures, keys' low bytes) of a range."""
+    sig = [np.cumsum(np.append(np.frombuffer(body[:8], "<u8"), _from_bytes(body[8:], size)), dtype=np.uint64)
+           for body, size in zip(group["body"].to_pylist(), group["width"].to_pylist())]
+    return np.concatenate(sig), _from_bytes(b"".join(group["keys"].to_pylist()), width)
 
 
 def _sets_of(docs: DataFrame, keys: DataFrame, shingle: int) -> DataFrame:

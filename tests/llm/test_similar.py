@@ -110,3 +110,50 @@ def test_odd_and_empty(spark, odd, empty):
     got = sorted((str(r.doc_id), r.n_shingles, str(r.component_id)) for r in similar.near_duplicates(odd).collect())
     assert got == brute([(r.doc_id, r.text) for r in odd.collect()])
     assert similar.near_duplicates(empty).collect() == []
+
+
+def test_only_repeated_signatures_go_on(spark, monkeypatch):
+    """Before, a bit table of fixed size let others through, more with every document, up to all of them."""
+    monkeypatch.setattr(similar, "REPEATED_BITS", 12, raising=False)
+    seen = {}
+    monkeypatch.setattr(similar, "cut", lambda df, purpose, cut=similar.cut: seen.setdefault(purpose, []).append(cut(df, purpose)) or seen[purpose][-1])
+    rows = [(i, " ".join(f"w{i}x{j}" for j in range(60))) for i in range(200)]
+    rows += [(200 + i, rows[i][1] + " more") for i in range(5)] + [(300, rows[0][1])]
+    got = run(spark, rows)
+    assert {d: c for d, _, c in got if int(d) >= 200} == {**{str(200 + i): str(i) for i in range(5)}, "300": "0"}
+    kept = seen["repeated-signatures"][0].groupBy("sig").count()
+    assert kept.filter("count = 1").count() == 0 and kept.count() >= 5
+    # Any two groups have different members, and a signature's sets are those that have it.
+    groups = [frozenset(r.k) for r in seen["signature-groups"][0].groupBy("sig").agg({"key": "collect_set"}).toDF("sig", "k").collect()]
+    assert len(groups) == len(set(groups)) and all(len(g) > 1 for g in groups)
+
+
+def test_packed_signatures():
+    rng = np.random.default_rng(3)
+    sig = [np.unique(rng.integers(0, 1 << 48, n, dtype=np.uint64)) for n in (1, 700, 40)]
+    keys = [5, (1 << 40) - 1, 77]
+    batch = similar._packed(sig, keys, 7, 48, 5)
+    got = []
+    for r in range(batch.num_rows):
+        s, k = similar._unpacked(batch.slice(r, 1), 5)
+        assert (np.diff(s.astype(np.int64)) >= 0).all() and len({int(x) * 7 >> 48 for x in s}) == 1
+        got += zip(s.tolist(), k.tolist())
+    assert sorted(got) == sorted((int(x), k) for s, k in zip(sig, keys) for x in s)
+
+
+@pytest.mark.parametrize("percent", [80, 90])
+def test_wide_sketches(spark, percent):
+    """No linked pair is lost, also where the numbers of places differ; unrelated pairs are told apart."""
+    rng = np.random.default_rng(percent)
+    rows, linked = [], []
+    for n in (1000, 1025, 2047, 2049, 5000, 16500):
+        x = np.unique(scan.mix(rng.integers(0, 1 << 62, n, dtype=np.uint64)))
+        for share in (0, 1 - percent / 100, 0.5, 1):
+            y = np.unique(np.concatenate([x[int(len(x) * share):], scan.mix(rng.integers(0, 1 << 62, int(len(x) * share * (share > 0.4)), dtype=np.uint64))]))
+            both = len(np.intersect1d(x, y))
+            linked.append(100 * both >= percent * (len(x) + len(y) - both))
+            rows.append((len(rows), (len(x), similar.wide_sketch(x)), (len(y), similar.wide_sketch(y))))
+    df = spark.createDataFrame(rows, "i int, x struct<n: long, wide: array<long>>, y struct<n: long, wide: array<long>>")
+    kept = {r.i for r in df.filter(similar._may_link_wide("x", "y", percent)).collect()}
+    assert {i for i, l in enumerate(linked) if l} <= kept
+    assert not [i for i in kept if i % 4 == 3 and len(rows[i][1][1] or []) and len(rows[i][2][1] or [])]
